@@ -27,13 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: what is written survives lost executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vantagrid-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +47,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast if its rows are counted to fit.
 
@@ -52,12 +61,6 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def sql_words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+")
-    return F.filter(parts, lambda w: w != "")
-
-
-def words(text: str | None) -> list[bytes]:
-    """The same words as UTF-8; ``bytes.split`` knows exactly these six separators."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def whole_text(name: str = "text") -> Column:
+    """The column as a string, null as the empty text."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
