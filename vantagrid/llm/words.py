@@ -65,13 +65,20 @@ class Words:
     first: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def separators(plain: str) -> np.ndarray:
+    """A table of bytes that part words: every ASCII sign outside of ``plain``."""
+    table = np.arange(256) < 128
+    table[[ord(c) for c in plain]] = False
+    return table
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, separator: np.ndarray = _SEPARATOR) -> Words:
     """The words of the texts ``data[offsets[i]:offsets[i + 1]]``."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64))
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     edges = offsets[(offsets > 0) & (offsets < n)]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -128,12 +135,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def pieces(column: pa.Array, lower: bool, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
+def pieces(column: pa.Array, lower: bool, chunk: int = CHUNK_BYTES, separator: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
     """(from row, to row, bytes, offsets, words) for runs of rows of about ``chunk`` bytes."""
     data, at = buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + chunk, side="right")) - 1)
         run, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        yield i, j, run, offsets, words_of(run, offsets, lower)
+        yield i, j, run, offsets, words_of(run, offsets, lower, separator)
         i = j
