@@ -205,4 +205,4 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write(pages(spark, sf_dir), path)
-    return captures(spark, path)
+    return captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
