@@ -9,7 +9,7 @@ is (m - 2^-b) / (1 - 2^-b).  Pairs that this estimate puts far below the
 threshold are dropped; the rest is confirmed on the full sets.
 
 No bucket emits all its pairs.  Equal sets are one *class* from the start.
-First every member of a bucket is compared with one centre, and what is
+First every member of a bucket is compared with one centre drawn for that bucket, and what is
 confirmed is contracted to components.  Then only members of one bucket that
 lie in different components are compared, inside tasks on packed signatures
 and in blocks of bounded size; a bucket of thousands of near copies has become
@@ -229,9 +229,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     classes = materialise(full.groupBy("key").agg(F.min("doc_id").alias("first_id")))
     nodes = materialise(full.groupBy("key").agg(F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _SIGS)))
     every = nodes.select("key", F.explode("bands").alias("bucket"))
-    centres = every.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # Each bucket draws its own centre, so a group that shares many buckets is compared with many of its members.
+    drawn = F.min(F.struct(F.xxhash64("bucket", "key").alias("h"), "key"))
+    centres = every.groupBy("bucket").agg(drawn.alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("least.key").alias("centre"))
     members = materialise(every.join(centres, "bucket").select("bucket", "key", "centre"))
-    star = members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    star = members.where("key != centre").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")).distinct()
     links = confirm(docs, classes, materialise(_estimated(star, nodes, percent)), k, percent)
     names = components(links)
     tried = materialise(_between_components(members.select("bucket", "key"), nodes, names, percent))
