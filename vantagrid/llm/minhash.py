@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash (operator 1).
 
-Every set of word shingles gets ``PERMUTATIONS`` minima.  Bands of
-``BAND_ROWS`` whole minima give the buckets in which candidates meet; of each
+Every set of word shingles gets ``PERMUTATIONS`` minima.  ``BANDS`` bands of
+``BAND_ROWS`` of the whole minima give the buckets in which candidates meet; of each
 minimum only the ``BITS`` low bits are kept, packed into longs.  From the
 number of unequal places in two packed signatures follows the similarity,
 corrected for places that agree by chance: with a share m of equal places it
@@ -42,7 +42,8 @@ from .common import documents, materialise, small
 from .components import components
 from .words import SHINGLE_WORDS, mix, pieces, shingles
 
-PERMUTATIONS = 128
+PERMUTATIONS = 512
+BANDS = 32
 BAND_ROWS = 4
 BITS = 2
 PERCENT = 75
@@ -61,14 +62,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0, *map(len, sets[:-1])])
     out = np.empty((len(sets), PERMUTATIONS), dtype=np.uint32)
+    held = np.empty_like(values)
     for k in range(PERMUTATIONS):
-        out[:, k] = np.minimum.reduceat(values * _MULTIPLIERS[k] + _ADDENDS[k], at)
+        np.multiply(values, _MULTIPLIERS[k], out=held)
+        held += _ADDENDS[k]
+        out[:, k] = np.minimum.reduceat(held, at)
     return out
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """One 64-bit bucket key for each band of each row."""
-    bands = least.astype(np.uint64).reshape(len(least), -1, BAND_ROWS)
+    bands = least[:, : BANDS * BAND_ROWS].astype(np.uint64).reshape(len(least), BANDS, BAND_ROWS)
     keys = np.arange(bands.shape[1], dtype=np.uint64)[None, :].repeat(len(least), axis=0)
     for i in range(BAND_ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
@@ -112,7 +116,7 @@ def _signatures(k: int):
                 full = [s for s in sets if len(s)]
                 rows = np.flatnonzero([len(s) > 0 for s in sets])
                 keys = [None] * len(sets)
-                bands = np.zeros((0, PERMUTATIONS // BAND_ROWS), np.int64)
+                bands = np.zeros((0, BANDS), np.int64)
                 sigs = np.zeros((len(sets), _LONGS), np.int64)
                 if full:
                     least = minima(full)
