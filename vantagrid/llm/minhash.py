@@ -192,6 +192,8 @@ def _apart(most: int):
         comp = np.unique(np.asarray(table["component"].to_pylist(), dtype=object), return_inverse=True)[1]
         block = table["block"].to_numpy()
         sigs = np.stack([table[s].to_numpy() for s in _SIGS], axis=1).view(np.uint64)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), BANDS)
+        bucket = table["bucket"][0].as_py()
         two = len(np.unique(block)) == 2
         home = np.bincount(comp).argmax()
         left, right = [], []
@@ -202,6 +204,8 @@ def _apart(most: int):
             hit = (unequal <= most) & (comp != comp[i]) & ((block != block[i]) | (not two))
             hit[:i] &= comp[:i] == home  # each other pair once
             js = np.flatnonzero(hit)
+            # A pair that shares several buckets comes out of the first of them only.
+            js = js[bands[i, (bands[js] == bands[i]).argmax(axis=1)] == bucket]
             left.append(np.full(len(js), i))
             right.append(js)
         none = np.zeros(0, np.int64)
@@ -216,7 +220,7 @@ def _between_components(members: DataFrame, nodes: DataFrame, names: DataFrame,
     named = members.join(names.select(F.col("node").alias("key"), "component"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    rows = named.join(mixed.select("bucket", "n"), "bucket").join(nodes.select("key", *_SIGS), "key")
+    rows = named.join(mixed.select("bucket", "n"), "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # Every pair of blocks meets in one task; a bucket of one block isn't copied.
