@@ -39,9 +39,16 @@ def mixed(s, d) -> DataFrame:
     return grid.mixed_cells(S, scene.triangles(s, d))
 
 
+_validity: dict[tuple[str, str], DataFrame] = {}
+
+
 def valid(s, d) -> DataFrame:
-    voxels = S.voxels(s).withColumnRenamed("voxel", "point")
-    return voxels.join(mixed(s, d), ["i", "j", "k"], "left_anti")
+    """Voxels that no triangle meets; built once for each session and scene, and kept in the shared folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _validity:
+        voxels = S.voxels(s).withColumnRenamed("voxel", "point")
+        _validity[key] = checkpointed(voxels.join(mixed(s, d), ["i", "j", "k"], "left_anti"))
+    return _validity[key]
 
 
 def seen(s, d) -> DataFrame:
