@@ -53,7 +53,7 @@ def rows_of(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def test_near_duplicates_equal_brute_force(docs):
+def brute_components(docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for r in docs.collect():
@@ -71,8 +71,28 @@ def test_near_duplicates_equal_brute_force(docs):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(docs):
+    found = rows_of(minhash.near_duplicates(docs))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == brute_components(docs)
+
+
+def test_near_duplicates_of_a_loose_group(spark, monkeypatch):
+    """Copies around the threshold, of which no centre links all; buckets in several blocks."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(140)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(140), rng.randint(0, 9)):
+            words[at] += str(rng.randrange(50))
+        rows.append((i, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     found = rows_of(minhash.near_duplicates(docs))
-    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == brute_components(docs)
 
 
 def test_substrings_equal_brute_force(docs):

@@ -9,12 +9,13 @@ is (m - 2^-b) / (1 - 2^-b).  Pairs that this estimate puts far below the
 threshold are dropped; the rest is confirmed on the full sets.
 
 No bucket emits all its pairs.  Equal sets are one *class* from the start.
-First every member of a bucket is compared with one centre drawn for that bucket, and what is
-confirmed is contracted to components.  Then only members of one bucket that
-lie in different components are compared, inside tasks on packed signatures
-and in blocks of bounded size; a bucket of thousands of near copies has become
-one component by then and is passed over.  So every pair that shares a bucket
-is either compared or already connected.
+First every member of a bucket is compared with one centre drawn for that
+bucket, and what is confirmed is contracted to components.  Then members of one
+bucket that lie in different components are compared inside tasks, in blocks
+of bounded size: by packed signatures, and what stays a candidate by full sets.
+A task gives only links that join components it had not joined yet, so its
+output is bounded by its members.  Every pair that shares a bucket is either
+compared or already connected.
 
 With 32 bands of 4 rows a pair of similarity 0.75 meets in some bucket with
 probability 1 - 5e-6; the estimate's margin of four standard errors loses
@@ -143,11 +144,15 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
         for batch in batches:
             for i, j, _, _, words in pieces(batch["text"], lower=True):
-                asked = batch["key"].slice(i, j - i).to_pylist()
-                sets = [s for s, key in zip(shingles(words, k), asked) if hashlib.md5(s.tobytes()).digest() == key]
-                keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
+                keys, sets = [], []
+                for s, key in zip(shingles(words, k), batch["key"].slice(i, j - i).to_pylist()):
+                    if key not in given and hashlib.md5(s.tobytes()).digest() == key:
+                        given.add(key)
+                        keys.append(key)
+                        sets.append(s)
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 items = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))], ["key", "items"])
@@ -155,18 +160,22 @@ def _sets(k: int):
     return run
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough.
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The full sets (key, items) of the classes ``wanted(key)``.
 
-    Sets are made anew from the text of one document of each class that
-    stands in a pair; where a doc_id is repeated or null, the text whose set
-    has the asked key is taken.
+    Sets are made anew from the text of one document of each class; where a
+    doc_id is repeated or null, the text whose set has the asked key is taken.
     """
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     ids = materialise(classes.join(wanted, "key", "left_semi").select("key", F.col("first_id").alias("doc_id")))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = rows.join(small(ids, 64), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
-    sets = materialise(texts.mapInArrow(_sets(k), "key binary, items array<long>"))
+    return materialise(texts.mapInArrow(_sets(k), "key binary, items array<long>"))
+
+
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = full_sets(docs, classes, wanted, k)
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("left")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("items").alias("right")), "b")
     shared = F.size(F.array_intersect("left", "right"))
@@ -184,50 +193,92 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int32)
 
 
-def _apart(most: int):
-    """Within one block pair of a bucket: pairs of different components that stay candidates."""
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A small integer for each distinct value."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _suspects(most: int):
+    """Within one block of a bucket: the members of pairs that lie in different components and stay candidates.
+
+    Guests (members outside the bucket's most frequent component) are compared
+    with the block's residents; a pair of guests in the block of the larger key.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table["key"].combine_chunks()
-        comp = np.unique(np.asarray(table["component"].to_pylist(), dtype=object), return_inverse=True)[1]
-        block = table["block"].to_numpy()
+        comp, key = _codes(table["component"]), np.asarray(table["key"].to_pylist(), dtype=object)
+        guest, resident = table["guest"].to_numpy(), table["resident"].to_numpy()
         sigs = np.stack([table[s].to_numpy() for s in _SIGS], axis=1).view(np.uint64)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), BANDS)
-        bucket = table["bucket"][0].as_py()
-        two = len(np.unique(block)) == 2
-        home = np.bincount(comp).argmax()
-        left, right = [], []
-        # Members of the most frequent component need not be compared among themselves.
-        for i in np.flatnonzero(comp != home).tolist():
-            x = sigs[i] ^ sigs
-            unequal = _popcount((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(axis=1)
-            hit = (unequal <= most) & (comp != comp[i]) & ((block != block[i]) | (not two))
-            hit[:i] &= comp[:i] == home  # each other pair once
-            js = np.flatnonzero(hit)
-            # A pair that shares several buckets comes out of the first of them only.
+        bucket, here = table["bucket"][0].as_py(), np.flatnonzero(resident)
+        asked = np.zeros(len(comp), bool)
+        for i in np.flatnonzero(guest).tolist():
+            js = here[(comp[here] != comp[i]) & (~guest[here] | (key[here] > key[i]))]
+            x = sigs[i] ^ sigs[js]
+            js = js[_popcount((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(axis=1) <= most]
+            # A pair that shares several buckets is looked at in the first of them only.
             js = js[bands[i, (bands[js] == bands[i]).argmax(axis=1)] == bucket]
-            left.append(np.full(len(js), i))
-            right.append(js)
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
-        return pa.table({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b))}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+            asked[js] = True
+            asked[i] |= len(js) > 0
+        return table.select(["bucket", "block", "key", "component", "guest", "resident"]).filter(pa.array(asked))
+
+    return run
+
+
+def _forest(percent: int):
+    """Within one block of a bucket: links, by full sets, that suffice to join the components they join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        comp, keys = _codes(table["component"]).copy(), table["key"].combine_chunks()
+        guest, resident = table["guest"].to_numpy(), table["resident"].to_numpy()
+        items = table["items"].combine_chunks()
+        at, values = items.offsets.to_numpy(), items.values.to_numpy()
+        sizes = np.diff(at)
+        held, codes = np.unique(values[at[0] : at[-1]], return_inverse=True)
+        at = at - at[0]
+        # Postings: who holds each shingle.
+        order = np.argsort(codes, kind="stable")
+        owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+        first = np.searchsorted(codes[order], np.arange(len(held) + 1))
+        left, right = [], []
+        for i in np.flatnonzero(guest).tolist():
+            mine = codes[at[i] : at[i + 1]]
+            shared = np.zeros(len(sizes), np.int64)
+            for c in mine.tolist():
+                shared[owner[first[c] : first[c + 1]]] += 1
+            linked = resident & (comp != comp[i]) & (100 * shared >= percent * (sizes + sizes[i] - shared))
+            for j in np.flatnonzero(linked).tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    left.append(i)
+                    right.append(j)
+        a, b = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        return pa.table({"a": keys.take(a), "b": keys.take(b)}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     return run
 
 
-def _between_components(members: DataFrame, nodes: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that share a bucket but not a component."""
+def _between_components(docs: DataFrame, classes: DataFrame, members: DataFrame, nodes: DataFrame, names: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links, confirmed on full sets, between members of one bucket that lie in different components.
+
+    Pairs are never emitted: tasks first name the members that stand in a
+    candidate pair, then get the full sets of these and give a forest of links.
+    Rows of a bucket's most frequent component go to one block each; only the
+    bucket's other members are copied, once for each of its blocks.
+    """
     named = members.join(names.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = named.withColumn("component", F.coalesce("component", "key"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    rows = named.join(mixed.select("bucket", "n"), "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Every pair of blocks meets in one task; a bucket of one block isn't copied.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lower", F.least("block", "other")).withColumn("upper", F.greatest("block", "other"))
-    found = rows.groupBy("bucket", "lower", "upper").applyInArrow(_apart(most_unequal(percent)), "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = materialise(named.withColumn("component", F.coalesce("component", "key")))
+    each = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("bucket", F.col("home.component").alias("home"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(mixed, "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
+    rows = rows.withColumn("guest", F.col("component") != F.col("home")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    rows = rows.withColumn("resident", F.col("own") == F.col("block")).drop("home", "blocks", "own")
+    kinds = "bucket long, block int, key binary, component binary, guest boolean, resident boolean"
+    asked = materialise(rows.groupBy("bucket", "block").applyInArrow(_suspects(most_unequal(percent)), kinds))
+    sets = full_sets(docs, classes, asked.select("key").distinct(), k)
+    return materialise(asked.join(sets, "key").groupBy("bucket", "block").applyInArrow(_forest(percent), "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -244,10 +295,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     star = members.where("key != centre").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")).distinct()
     links = confirm(docs, classes, materialise(_estimated(star, nodes, percent)), k, percent)
     names = components(links)
-    tried = materialise(_between_components(members.select("bucket", "key"), nodes, names, percent))
-    if not tried.isEmpty():
-        links = links.union(confirm(docs, classes, tried, k, percent))
-        names = components(links)
+    more = _between_components(docs, classes, members.select("bucket", "key"), nodes, names, k, percent)
+    if not more.isEmpty():
+        names = components(links.union(more))
     named = classes.join(names.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = materialise(named.join(least, "component").select("key", "component_id"))
