@@ -269,7 +269,7 @@ def _between_components(docs: DataFrame, classes: DataFrame, members: DataFrame,
     named = members.join(names.select(F.col("node").alias("key"), "component"), "key", "left")
     named = materialise(named.withColumn("component", F.coalesce("component", "key")))
     each = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND n > 2")  # a bucket of two has been compared with its centre
     mixed = mixed.select("bucket", F.col("home.component").alias("home"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(mixed, "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
     rows = rows.withColumn("guest", F.col("component") != F.col("home")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
