@@ -219,6 +219,30 @@ def test_warc_round_trip(spark):
     assert len(nested) == 6 and all(r["request"] and r["metadata"] for r in nested)
 
 
+def test_warc_keeps_every_repeated_row(spark, monkeypatch):
+    """Rows equal in page, url and payload, in two of these, and without a page: one capture each, and revisits refer to one that is there."""
+    monkeypatch.setattr(warc, "NUMBERS_AT_ONCE", 2)
+    rows = [(1, "u", "p")] * 5 + [(1, "v", "p"), (1, None, "p"), (1, "", "p"), (4, "u", "p"), (4, "u", "p"), (4, "w", "p"), (1, "u", "q")]
+    rows += [(None, "u", "p")] * 3 + [(None, "v", None), (None, None, None), (None, None, "")]
+    path = scratch(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    found = Counter((r["page_id"], r["target_uri"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.captures(spark, path).collect())
+    assert found == Counter((i, u or "about:blank", len(h or ""), "revisit" if i == 4 else "response", 1 if i == 4 else None) for i, u, h in rows)
+    records = warc.read(spark, path).collect()
+    ids = {r["record_id"] for r in records}
+    assert len(ids) == len(records) == 3 * len(rows) and all(r["refers_to"] in ids for r in records if r["refers_to"])
+
+
+def test_pages_with_odd_rows(spark):
+    rows = [(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (7, None, "x"), (7, None, "x"), (7, None, None), (8, "", "")]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS number", "2 AS n_chars")
+    assert html.extract(odd).count() == 6 and html.extract(odd.limit(0)).count() == 0
+    for table, n in ((odd, 6), (odd.limit(0), 0)):
+        path = scratch(spark, "warc")
+        warc.write(table, path)
+        assert warc.captures(spark, path).count() == n
+
+
 CALLS = {
     "op1": minhash.near_duplicates,
     "op1 kept": minhash.deduplicate,

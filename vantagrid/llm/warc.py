@@ -15,7 +15,7 @@ payload's digest, combined before the shuffle, so a payload that a third of all
 pages share makes no large task.  Payloads shorter than ``least_bytes`` are always responses.
 
 Null html is the empty payload.  Among rows that repeat a page_id and payload each
-is its own capture; all of them are responses if theirs is the smallest.  Rows whose page_id is null can't be referred to: they are
+is its own capture, with a number in its name; all of them are responses if theirs is the smallest.  Rows whose page_id is null can't be referred to: they are
 responses.  A null url is written as ``about:blank``.  Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,15 +26,18 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, pages, scratch, small, whole_text
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 6000
+#: So many captures of equal rows are written by one task.
+NUMBERS_AT_ONCE = 256
 #: The date of every record: a capture's table has none, and equal input shall give equal archives.
 DATE = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,26 +88,42 @@ def write(table: DataFrame, path: str, least_bytes: int = 0) -> None:
             yield pa.array([payload_digest(h.encode("utf-8", "surrogatepass")) for h in batch.to_pylist()], pa.string())
 
     rows = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"))
-    digests = F.arrow_udf(digest_of, "string")
-    found = rows.select("page_id", digests("html").alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
+    rows = rows.withColumn("digest", F.arrow_udf(digest_of, "string")("html")).withColumn("url_key", F.md5(F.coalesce("url", F.lit(""))))
+    same = ["digest", "page_id", "url_key"]
+    counted = materialise(rows.select(*same, F.octet_length("html").alias("n")).groupBy(*same).agg(F.count("*").alias("copies"), F.max("n").alias("n")))
     # Only payloads with several captures are of interest; the others need no look-up.
-    firsts = found.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
-    firsts = small(materialise(firsts.select("digest", "first_id")), 96)
-    marked = rows.withColumn("digest", digests("html")).join(firsts, "digest", "left")
+    page = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url_key"))
+    firsts = counted.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min(page).alias("first"), F.sum("copies").alias("captures")).where("captures > 1 AND first IS NOT NULL")
+    firsts = small(materialise(firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url_key").alias("first_url"))), 160)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for row in batch.to_pylist():
                 page, first = row["page_id"], row["first_id"]
                 later = first is not None and page is not None and page != first and len(row["html"].encode("utf-8", "surrogatepass")) >= least_bytes
-                out += capture_records(row["capture"], page, row["url"], row["html"], row["digest"], first if later else None, f"{first}:{row['digest']}" if later else None)
+                refers = (first, f"{first}:{row['digest']}:{row['first_url']}:0") if later else (None, None)
+                for number in range(row["number"], row["number"] + row["numbers"]):
+                    capture = f"{'null' if page is None else page}:{row['digest']}:{row['url_key']}:{number}"
+                    out += capture_records(capture, page, row["url"], row["html"], row["digest"], *refers)
+                    held += len(row["html"])
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                        out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    # The response of a page is named by its page and payload; repeated rows get a number of their own.
-    named = marked.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest"))
-    named = named.withColumn("capture", F.when((F.col("page_id") == F.col("first_id")) | F.col("page_id").isNull(), F.col("capture")).otherwise(F.concat_ws(":", "capture", F.md5(F.coalesce("url", F.lit(""))))))
-    records = named.mapInArrow(run, "value string")
+    # A capture is named by its page, payload and url, and by a number among the rows that are equal in these.
+    # Such rows are equal in all: one of them and their count stand for them, dealt in parts to the tasks.
+    repeated = counted.where("copies > 1").select(*(F.col(c).alias(f"r_{c}") for c in same), "copies")
+    single = rows.withColumn("number", F.lit(0).cast("long")).withColumn("numbers", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        repeated = small(materialise(repeated), 128)
+        equal = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in same))
+        many = rows.join(repeated, equal).groupBy(*same).agg(F.first("url").alias("url"), F.first("html").alias("html"), F.first("copies").alias("copies"))
+        many = many.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(NUMBERS_AT_ONCE).cast("long")))).repartition("digest", "page_id", "url_key", "number")
+        many = many.withColumn("numbers", F.least(F.lit(NUMBERS_AT_ONCE).cast("long"), F.col("copies") - F.col("number")))
+        single = single.join(repeated, equal, "left_anti").unionByName(many.drop("copies"))
+    records = single.join(firsts, "digest", "left").mapInArrow(run, "value string")
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
