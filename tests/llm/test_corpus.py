@@ -189,6 +189,36 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_at_the_allowed_edits(spark):
+    """Copies with as many left out, changed or added words as allowed, between empty and tiny texts, against brute force."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items, rows = {i: say(n) for i, n in enumerate((3, 15, 30, 45, 59, 80))}, []
+    for i, item in items.items():
+        k = decontaminate.edits_allowed(len(item))
+        for kind in range(4):
+            for extra in (0, 0, 0, 0, 0, 1):
+                words = list(item)
+                for at in sorted(rng.sample(range(len(item)), min(k + extra, len(item) - 1)), reverse=True):
+                    how = rng.randrange(3) if kind == 3 else kind
+                    words[at : at + 1] = ([], say(1), [words[at], *say(1)])[how]
+                rows += [say(25) + words + say(25), [], say(2), words]
+
+    def least(item, words):
+        row = [0] * (len(words) + 1)
+        for i, x in enumerate(item):
+            last, row = row, [i + 1]
+            for j, y in enumerate(words):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return min(row)
+
+    expected = {(d, i): e for d, words in enumerate(rows) for i, item in items.items() for e in [least(item, words)] if e <= decontaminate.edits_allowed(len(item))}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.matches(docs, bench).collect()}
+    assert len(expected) > 200 and found == expected, f"{len(found)} of {len(expected)}"
+
+
 def test_language(spark):
     say = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["żółw", "kwiat", "drzewo", "źrebię"]}
     rng = random.Random(4)
