@@ -173,6 +173,40 @@ def test_pii_spans_and_disclosing_terms(spark):
     assert "Zorblat" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[10]["text"] is None and clean[20]["text"] == rows[7][1]
 
 
+def test_pii_terms_equal_brute_force(spark):
+    """Entities of one text, of several and of many; terms by mutual information over all documents, copies too."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [f"{say(12)} Qwerva met bob@one.example.org {say(12)} {say(9)} Qwerva", f"{say(9)} Tolmic 10.0.0.1 {say(9)}", f"{say(4)} Tolmic and 10.0.0.1 {say(40)} Farrow"]
+    rows += [f"{say(10)} Sender{rng.choice('pqrs') * 3} desk@big.example.org {say(30)} Sender{rng.choice('pqrs') * 3}" for _ in range(25)]
+    rows += [f"{say(20)} Nimbus", f"{say(9)} +1 (017) 555-7713 Nimbus", None, ""] + [say(rng.randint(1, 60)) for _ in range(60)]
+    rows += rows[3:8]
+    plain = [t or "" for t in rows]
+    terms = [{w.lower() for w in re.findall("[A-Za-z]{3,}", t)} for t in plain]
+    near, entities = [], []
+    for t in plain:
+        mine = defaultdict(set)
+        spans = pii.base_spans(t)
+        for kind, a, b in spans:
+            around = WORDS.findall(t[:a])[-pii.CONTEXT :] + WORDS.findall(t[b:])[: pii.CONTEXT]
+            mine[kind, t[a:b]] |= {w.lower() for x in around for w in re.findall("[A-Za-z]{3,}", x)}
+        near.append(mine)
+        entities.append(set(mine))
+    n, log = len(rows), __import__("math").log
+    count, holds = Counter(w for s in terms for w in s), Counter(e for s in entities for e in s)
+    both = Counter((e, w) for m in near for e, ws in m.items() for w in ws)
+    told = {p for p, c in both.items() if log(c * n / (count[p[1]] * holds[p[0]])) / log(n / holds[p[0]]) >= pii.GENERALISE}
+    found = rows_of(pii.spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)))
+    for i, t in enumerate(plain):
+        taken = [(a, b) for _, a, b in pii.base_spans(t)]
+        mine = {w for e, w in told if e in entities[i]}
+        expected = {f"term:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z]+", t) if m[0].lower() in mine and not any(a < m.end() and m.start() < b for a, b in taken)}
+        assert {s for s in found[i]["spans"].split(",") if s.startswith("term")} == expected
+    for i, name in ((0, "Qwerva"), (1, "Tolmic")):
+        assert f"term:{rows[i].index(name)}:{rows[i].index(name) + 6}" in found[i]["spans"]
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]

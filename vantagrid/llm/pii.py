@@ -6,7 +6,7 @@ is dropped and not tried again.
 
 *Terms.*  What is protected are the entities: the values of base spans.  A term (a run of
 three letters or more, lower-cased) is looked at if it stands within
-``CONTEXT`` words of an entity in at least ``SUPPORT`` different texts.  Over all
+``CONTEXT`` words of an entity, in however few texts.  Over all
 documents the corpus tells how strongly it reveals the entity: the pointwise
 mutual information log(p(t, e) / (p(t) p(e))) as a share of the entity's
 information content -log p(e).  Full disclosure is 1: the term never stands
@@ -15,7 +15,9 @@ on removed, wherever it stands in a text that holds the entity.
 
 Term counts follow the whole corpus.  A scan passes on only words whose
 hash is set in a bitmap of ``BITMAP`` bits, made from the candidates; its size is
-fixed whatever the input, and the join after it is exact.
+fixed whatever the input, and the join after it is exact.  As many terms disclose an
+entity that many texts hold, entities and terms meet only inside the texts that
+hold both: a second scan, of texts with entities, names these pairs.
 
 Null text counts as empty: no spans.  Only the text decides, so null or repeated
 doc_ids and repeated rows change nothing but counts.  Extra columns are
@@ -38,7 +40,6 @@ from .words import pieces, separators, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 8
-SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.99
 BITMAP = 1 << 20
@@ -165,6 +166,41 @@ def _frequencies(bits: bytes):
     return run
 
 
+def _bitmap(terms: DataFrame) -> bytes:
+    """Bits for the hashes of these terms, ``BITMAP`` in all."""
+    slots = terms.select(F.col("term_hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"]
+    bits = np.zeros(BITMAP, bool)
+    bits[slots.to_numpy()] = True
+    return np.packbits(bits).tobytes()
+
+
+def _held(bits: bytes):
+    """(entity, term, text_key) for all entities of a text and all its terms whose hash is set in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        names = ["entity", "term", "text_key"]
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["text_key"].to_pylist(), batch["text"].to_pylist()):
+                found = {_entity(k, text[a:b]) for k, a, b in base_spans(text)}
+                if not found:
+                    continue
+                words = sorted({_scan_key(m[0]) for m in _SCANNED.finditer(text) if _TERM.fullmatch(m[0])})
+                if not words:
+                    continue
+                hit = wanted[_hash(words) & (BITMAP - 1)]
+                for entity in found:
+                    out += [(entity, w, key) for w, h in zip(words, hit.tolist()) if h]
+                    if len(out) >= COMPACT_AT // 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+
+    return run
+
+
 def _text_key(text: Column) -> Column:
     return F.md5(text)
 
@@ -174,28 +210,31 @@ def disclosures(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(whole_text().alias("text")).withColumn("text_key", _text_key(F.col("text")))
     near = materialise(rows.mapInArrow(_contexts, "entity string, term string, text_key string"))
-    # Each document counts, copies too; SUPPORT counts different texts.
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts"))
+    # Each document counts, copies too.
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
 
     def hashed(terms: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in terms:
             yield pa.array(_hash(batch.to_pylist()) if len(batch) else [], pa.int64())
 
-    candidates = materialise(pairs.where(F.col("texts") >= SUPPORT).withColumn("term_hash", F.arrow_udf(hashed, "long")("term")))
-    slots = candidates.select(F.col("term_hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("slot")).distinct().collect()  # BITMAP at most
-    bits = np.zeros(BITMAP, bool)
-    bits[[r["slot"] for r in slots]] = True
-    counted = rows.select("text").mapInArrow(_frequencies(np.packbits(bits).tobytes()), "term_hash long, n long") if slots else spark.createDataFrame([], "term_hash long, n long")
-    terms = counted.groupBy("term_hash").agg(F.sum("n").alias("n_term"))
-    entities = near.where("term IS NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    candidates = materialise(pairs.where("term IS NOT NULL").withColumn("term_hash", F.arrow_udf(hashed, "long")("term")))
+    bits = _bitmap(candidates)
+    counted = rows.select("text").mapInArrow(_frequencies(bits), "term_hash long, n long") if any(bits) else spark.createDataFrame([], "term_hash long, n long")
+    terms = small(materialise(counted.groupBy("term_hash").agg(F.sum("n").alias("n_term"))), 64)
     total = docs.count()
-    known = candidates.join(terms, "term_hash").join(entities, "entity")
+    # An entity stands in n_both documents at least, so its share is at most log(total / n_term) / log(total / n_both).
+    known = candidates.join(terms, "term_hash").where((F.col("n_both") < total) & (F.log(total / F.col("n_term")) >= GENERALISE * F.log(total / F.col("n_both")) - 1e-9))
+    entities = materialise(pairs.where("term IS NULL").select("entity", F.col("n_both").alias("n_entity")))
+    known = materialise(known).join(small(entities, 160), "entity")
     pmi = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.log(total / F.col("n_entity"))
     told = known.withColumn("share", share).where((F.col("share") >= GENERALISE) & (F.col("n_entity") < total))
-    told = materialise(told.select("entity", "term", "share"))
-    held = near.where("term IS NULL").select("entity", "text_key").distinct()
-    mine = held.join(told, "entity").groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    told = materialise(told.select("entity", "term", "term_hash", "share"))
+    bits = _bitmap(told)
+    if not any(bits):
+        return spark.createDataFrame([], "text_key string, terms array<struct<term: string, remove: boolean>>")
+    held = materialise(rows.mapInArrow(_held(bits), "entity string, term string, text_key string").distinct())
+    mine = held.join(small(told.select("entity", "term", "share"), 256), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
     return materialise(mine.groupBy("text_key").agg(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("remove"))).alias("terms")))
 
 
