@@ -61,3 +61,12 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).first()["valid_voxels"] > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_greedy_query_takes_every_place(spark):
+    from vantagrid.plans import queries
+
+    path = "/root/testdata/sf0.001"
+    found = queries.w1(spark, path).orderBy("step").collect()
+    assert {r["place"] for r in found} == {r["cam_idx"] for r in scene.cameras(spark, path).collect()}
+    assert found[-1]["covered"] == queries.seen(spark, path).select("point").distinct().count()

@@ -290,7 +290,7 @@ def w4(s, d):
 def w1(s, d):
     reach = seen(s, d).select(F.col("cam_idx").alias("place"), F.col("point").alias("voxel"))
     places = scene.cameras(s, d).select(F.col("cam_idx").alias("place"), "px", "py", "pz")
-    return s.createDataFrame(placement.greedy_curve(reach, places, 4), "step int, place int, covered long")
+    return s.createDataFrame(placement.greedy_curve(reach, places, places.count()), "step int, place int, covered long")
 
 
 @_query("j10_assignment", None)
