@@ -64,3 +64,11 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 def whole_text(name: str = "text") -> Column:
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def unused_name(df: DataFrame, kind: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name = f"_{kind}"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    return name

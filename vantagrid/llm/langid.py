@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unused_name
 
 PROFILE = 300
 LONGEST = 3
 TRAIN_DOCS = 2000
 UNDETERMINED = "und"
+COMPACT_AT = 1 << 18
 #: The pipeline rejects what scores lower: no learnt language is near.
 LEAST_SCORE = 0.1
 _BORDER = np.uint64(1)
@@ -81,15 +82,34 @@ def ranked(keys: np.ndarray, most: int = PROFILE) -> np.ndarray:
     return keys[first[order]]
 
 
+class _Tally:
+    """Counts of keys, kept short by summing whenever ``COMPACT_AT`` keys have come together."""
+
+    def __init__(self):
+        self.keys, self.counts, self.pending, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.pending.append(keys)
+        self.held += len(keys)
+        if self.held > COMPACT_AT:
+            self.compact()
+
+    def compact(self) -> None:
+        found, n = np.unique(np.concatenate([self.keys[:0], *self.pending]), return_counts=True)
+        every, at = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, n]), len(every)).astype(np.int64)
+        self.keys, self.pending, self.held = every, [], 0
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams with their counts, by language, summed over each batch."""
     for batch in batches:
-        langs = np.asarray(batch["lang"].to_pylist(), dtype=object)
-        texts = batch["text"].to_pylist()
-        for lang in sorted(set(langs)):
-            found = [ngrams(texts[i]) for i in np.flatnonzero(langs == lang)]
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+        tallies: dict[str, _Tally] = {}
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            tallies.setdefault(lang, _Tally()).add(ngrams(text.as_py()))
+        for lang, tally in sorted(tallies.items()):
+            tally.compact()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tally.keys), pa.string()), pa.array(tally.keys.view(np.int64)), pa.array(tally.counts)], ["lang", "gram", "n"])
 
 
 def held_out() -> F.Column:
@@ -135,27 +155,43 @@ class Profiles:
         return self.langs[k], float(1 - apart[k] / (self.most * len(mine)))
 
 
+def _said(known: Profiles, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text; one text at a time is a Python string."""
+    found = [known.nearest(text.as_py()) for text in texts]
+    return [lang for lang, _ in found], [score for _, score in found]
+
+
 def identify(docs: DataFrame, profiles: dict[str, list[int]], most: int = PROFILE) -> DataFrame:
     """Add ``lang_pred`` and ``score``; only the text is looked at."""
 
-    def predict(batches):
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Profiles(profiles, most)
         for texts in batches:
-            langs, scores = zip(*map(known.nearest, texts.to_pylist())) if len(texts) else ((), ())
+            langs, scores = _said(known, texts)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return predict(batches)
-
-    said = F.arrow_udf(typed, "lang_pred string, score double")
-    return docs.withColumn("_said", said(F.col("text").cast("string"))).withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+    inner = unused_name(docs, "said")
+    said = docs.withColumn(inner, F.arrow_udf(predict, "lang_pred string, score double")(F.col("text").cast("string")))
+    return said.withColumn("lang_pred", F.col(f"{inner}.lang_pred")).withColumn("score", F.col(f"{inner}.score")).drop(inner)
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents whose language can be told, with ``lang`` set to it."""
-    said = identify(docs, learn(docs))
-    kept = said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """The pipeline's stage: documents whose language can be told, with ``lang`` set to it.
+
+    One pass predicts and lets only the accepted rows out, so that a text goes to Python once.
+    """
+    profiles, schema = learn(docs), docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.lit(None).cast("string")).schema
+    names, at = docs.columns, docs.columns.index("lang")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(profiles)
+        for batch in batches:
+            langs, scores = _said(known, batch["text"])
+            good = [lang != UNDETERMINED and score >= LEAST_SCORE for lang, score in zip(langs, scores)]
+            columns = [pa.array(langs, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(good, pa.bool_()))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(keep, schema)
 
 
 def predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
