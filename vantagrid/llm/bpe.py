@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction (operator 8).
 
-A text is cut into halves until the pieces are short.  A piece is encoded on
+A text is cut into halves until the pieces are short (``LEAF_CHARS``).  A piece is encoded on
 its own; two neighbours are joined by encoding anew a window around the cut.
 The window grows until both of its ends lie at a *stable* place: a space
 between two letters.  The pre-token pattern can't match across such a place,
@@ -17,21 +17,21 @@ replaced.  Repeated rows are kept, and an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LEAF_CHARS = 8192
-FIRST_WINDOW = 64
-#: Letters of Latin-1 suffice: fewer stable places only mean larger windows.
-_STABLE = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ]) (?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+LEAF_CHARS = 512
+LEAF_IDS = 128
+FIRST_WINDOW = 16
+_STABLE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -100,7 +100,7 @@ def tree_encode(text: str, codec, sizes, leaf_chars: int = LEAF_CHARS) -> list[i
     return _join(left, tree_encode(left, codec, sizes, leaf_chars), right, tree_encode(right, codec, sizes, leaf_chars), codec, sizes)
 
 
-def tree_decode(ids: list[int], codec, leaf_ids: int = LEAF_CHARS) -> bytes:
+def tree_decode(ids: list[int], codec, leaf_ids: int = LEAF_IDS) -> bytes:
     if len(ids) <= leaf_ids:
         return codec.decode_bytes(ids)
     cut = len(ids) // 2
@@ -110,23 +110,21 @@ def tree_decode(ids: list[int], codec, leaf_ids: int = LEAF_CHARS) -> bytes:
 def encode(docs: DataFrame, path: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Add ``ids_le`` (the ids as little-endian unsigned 32-bit integers) and ``n_tokens``."""
 
-    @F.pandas_udf("binary")
-    def ids_of(texts: pd.Series) -> pd.Series:
+    def ids_of(texts: pa.Array) -> pa.Array:
         codec, sizes = _codec(path)
-        return pd.Series([np.array(tree_encode(t or "", codec, sizes, leaf_chars), dtype="<u4").tobytes() for t in texts], dtype=object)
+        return pa.array((np.array(tree_encode(t.as_py() or "", codec, sizes, leaf_chars), dtype="<u4").tobytes() for t in texts), pa.binary())
 
-    return docs.withColumn("ids_le", ids_of(F.col(text_col))).withColumn("n_tokens", (F.octet_length("ids_le") / 4).cast("long"))
+    return docs.withColumn("ids_le", F.arrow_udf(ids_of, "binary")(F.col(text_col).cast("string"))).withColumn("n_tokens", (F.octet_length("ids_le") / 4).cast("long"))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``, the bytes that the ids of ``ids_le`` stand for."""
 
-    @F.pandas_udf("binary")
-    def bytes_of(packed: pd.Series) -> pd.Series:
+    def bytes_of(packed: pa.Array) -> pa.Array:
         codec, _ = _codec(path)
-        return pd.Series([tree_decode(np.frombuffer(x, dtype="<u4").tolist(), codec) for x in packed], dtype=object)
+        return pa.array((tree_decode(np.frombuffer(x.as_py(), dtype="<u4").tolist(), codec) for x in packed), pa.binary())
 
-    return tokens.withColumn("decoded", bytes_of("ids_le"))
+    return tokens.withColumn("decoded", F.arrow_udf(bytes_of, "binary")("ids_le"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
