@@ -2,9 +2,12 @@
 
 *Base spans.*  E-mail addresses, IP addresses, card numbers and phone numbers,
 found leftmost and without overlap for each kind; a match that fails its check
-is dropped and not tried again.
+is dropped and not tried again.  All four scans are linear in the text.
 
-*Terms.*  What is protected are the entities: the values of base spans.  A term (a run of
+*Secrets.*  A run of ``SECRET_CHARS`` or more letters, digits and ``_+/=-`` that mixes letters and digits, and whose
+own signs carry ``SECRET_BITS`` of information each (their empirical entropy), is a key or token: protected too, and removed.
+
+*Terms.*  What is protected are the entities: the values of base spans and secrets.  A term (a run of
 three letters or more, lower-cased) is looked at if it stands within
 ``CONTEXT`` words of an entity, in however few texts.  Over all
 documents the corpus tells how strongly it reveals the entity: the pointwise
@@ -19,7 +22,7 @@ fixed whatever the input, and the join after it is exact.  As many terms disclos
 entity that many texts hold, entities and terms meet only inside the texts that
 hold both: a second scan, of texts with entities, names these pairs.
 
-Null text counts as empty: no spans.  Only the text decides, so null or repeated
+Null text counts as empty: no spans.  A column that bears an inner name passes through.  Only the text decides, so null or repeated
 doc_ids and repeated rows change nothing but counts.  Extra columns are
 ignored by ``spans_query`` and kept by ``sanitise``; an empty table gives an empty
 result.
@@ -27,7 +30,11 @@ result.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +42,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, small, whole_text
+from .common import documents, materialise, small, unused_name, whole_text
 from .words import pieces, separators, words_of
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET_CHARS = 20
+SECRET_BITS = 3.0
 CONTEXT = 8
 GENERALISE = 0.9
 REMOVE = 0.99
 BITMAP = 1 << 20
 COMPACT_AT = 1 << 20
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A match takes whole runs of digits, so the next one can't begin inside a run either.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _APART = separators("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _DIGIT = re.compile("[0-9]")
+_SECRET = re.compile(rf"[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}+")
+_LETTER = re.compile("[A-Za-z]")
 
 
 def _digits(s: str) -> str:
@@ -67,15 +80,31 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """An address holds one sign ``@``; it begins where the run of local signs before that begins, or the last address ends."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at) if start < at else None
+        if found:
+            yield "email", start, found.end()
+            last = found.end()
+        at = text.find("@", at + 1)
+
+
+def _octet(digits: str) -> bool:
+    significant = digits.lstrip("0")
+    return len(significant) < 3 or (len(significant) == 3 and significant <= "255")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then by start."""
-    out = []
-    if "@" in text:
-        # A text without the sign has no address; the search would still try every place.
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    out = list(_emails(text))
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 13 <= len(d) <= 19 and _luhn(d):
@@ -85,6 +114,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def bits_per_sign(run: str) -> float:
+    """The empirical entropy of the signs of a run."""
+    n = len(run)
+    return -sum(c / n * math.log2(c / n) for c in Counter(run).values())
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    found = []
+    for m in _SECRET.finditer(text):
+        run = m[0]
+        if _DIGIT.search(run) and _LETTER.search(run) and bits_per_sign(run) >= SECRET_BITS:
+            found.append(("secret", *m.span()))
+    return found
+
+
+def _overlaps(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
+    """Whether [start, end) meets one of the stretches, which are in order of their start; their ends rise too."""
+    at = bisect_right(taken, (start, math.inf))
+    return (at > 0 and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end)
+
+
+def _merged(found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, joined where they overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def protected_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, and secrets that overlap none of them."""
+    base = base_spans(text)
+    secrets = secret_spans(text)
+    if base and secrets:
+        taken = _merged(base)
+        secrets = [s for s in secrets if not _overlaps(s[1], s[2], taken)]
+    return base, secrets
+
+
 def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _digits(value)}"
 
@@ -107,29 +178,32 @@ _SCANNED = re.compile("[A-Za-z\x80-\U0010ffff]+")
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entity, term, text_key) for terms near an entity; a row with a null term for each entity."""
+    names = ["entity", "term", "text_key"]
     for batch in batches:
-        rows = []
-        for key, text in zip(batch["text_key"].to_pylist(), batch["text"].to_pylist()):
-            found = base_spans(text)
+        rows: list[tuple[str, str | None, str]] = []
+        for key, value in zip(batch["text_key"].to_pylist(), batch["text"]):
+            text = value.as_py()
+            found = sum(protected_spans(text), [])
             if not found:
                 continue
-            entities = {(_entity(k, text[a:b]), None, key) for k, a, b in found}
-            taken = sorted((a, b) for _, a, b in found)
+            entities: set[tuple[str, str | None, str]] = {(_entity(k, text[a:b]), None, key) for k, a, b in found}
+            taken = _merged(found)
+            words = [m.span() for m in _WORD.finditer(text)]
+            starts, ends = [w[0] for w in words], [w[1] for w in words]
             for kind, a, b in found:
                 name = _entity(kind, text[a:b])
-                before = [m.span() for m in _WORD.finditer(text, max(0, a - 40 * CONTEXT), a)][-CONTEXT:]
-                after = []
-                for m in _WORD.finditer(text, b):
-                    if len(after) == CONTEXT:
-                        break
-                    after.append(m.span())
-                for x, y in before + after:
+                before, after = bisect_left(starts, a), bisect_right(ends, b)
+                near = [(x, min(y, a)) for x, y in words[max(0, before - CONTEXT) : before]] + [(max(x, b), y) for x, y in words[after : after + CONTEXT]]
+                for x, y in near:
                     for m in _SCANNED.finditer(text, x, y):
-                        if _TERM.fullmatch(m[0]) and not any(p < m.end() and m.start() < q for p, q in taken):
+                        if _TERM.fullmatch(m[0]) and not _overlaps(*m.span(), taken):
                             entities.add((name, _scan_key(m[0]), key))
             rows += entities
-        columns = list(zip(*rows)) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["entity", "term", "text_key"])
+            if len(rows) >= COMPACT_AT // 16:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
 
 
 def _frequencies(bits: bytes):
@@ -182,8 +256,9 @@ def _held(bits: bytes):
         names = ["entity", "term", "text_key"]
         for batch in batches:
             out = []
-            for key, text in zip(batch["text_key"].to_pylist(), batch["text"].to_pylist()):
-                found = {_entity(k, text[a:b]) for k, a, b in base_spans(text)}
+            for key, value in zip(batch["text_key"].to_pylist(), batch["text"]):
+                text = value.as_py()
+                found = {_entity(k, text[a:b]) for k, a, b in sum(protected_spans(text), [])}
                 if not found:
                     continue
                 words = sorted({_scan_key(m[0]) for m in _SCANNED.finditer(text) if _TERM.fullmatch(m[0])})
@@ -239,14 +314,14 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 
 def all_spans(text: str, terms: list[dict] | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], dict[str, bool]]:
-    """Base spans, spans of disclosing terms, and which of the terms are removed."""
-    base = base_spans(text)
+    """Base spans, then spans of secrets and of disclosing terms, and which of the terms are removed."""
+    base, secrets = protected_spans(text)
     if not terms:
-        return base, [], {}
+        return base, secrets, {}
     remove = {t["term"]: t["remove"] for t in terms}
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _merged(base + secrets)
     extra = [("term", *m.span()) for m in _SCANNED.finditer(text) if _scan_key(m[0]) in remove]
-    return base, [s for s in extra if not any(a < s[2] and s[1] < b for a, b in taken)], remove
+    return base, secrets + [s for s in extra if not _overlaps(s[1], s[2], taken)], remove
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -254,7 +329,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def replaced(text: str, terms: list[dict] | None) -> str:
-    """The text with base spans named by kind, and terms shaped or removed."""
+    """The text with base spans and secrets named by kind, and terms shaped or removed."""
     base, extra, remove = all_spans(text, terms)
     out, at = [], 0
     for kind, a, b in sorted(base + extra, key=lambda s: (s[1], s[2])):
@@ -269,42 +344,47 @@ def replaced(text: str, terms: list[dict] | None) -> str:
     return "".join([*out, text[at:]])
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
+def _with_terms(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the terms of each text, and the name of that column."""
     told = disclosures(docs)
-    keyed = docs.withColumn("_text_key", _text_key(whole_text()))
-    told = told.select(F.col("text_key").alias("_told_key"), F.col("terms").alias("_terms"))
-    return keyed.join(small(told, 2048), F.col("_text_key") == F.col("_told_key"), "left").drop("_text_key", "_told_key")
+    key, told_key, terms = (unused_name(docs, kind) for kind in ("text_key", "told_key", "terms"))
+    keyed = docs.withColumn(key, _text_key(whole_text()))
+    told = told.select(F.col("text_key").alias(told_key), F.col("terms").alias(terms))
+    return keyed.join(small(told, 2048), F.col(key) == F.col(told_key), "left").drop(key, told_key), terms
+
+
+_FOUND = (*KINDS, "secret", "term")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, digest of the base spans, and all spans."""
+    """doc_id, counts by kind, digest of the base spans, and all spans; also how many secrets and terms the method adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
-            base, every, counts = [], [], {k: [] for k in KINDS}
-            for text, terms in zip(batch["text"].to_pylist(), batch["_terms"].to_pylist()):
-                found, extra, _ = all_spans(text, terms)
+            base, every, counts = [], [], {k: [] for k in _FOUND}
+            for value, terms in zip(batch["text"], batch["_terms"]):
+                found, extra, _ = all_spans(value.as_py(), terms.as_py())
                 base.append(hashlib.sha256(_joined(found).encode()).hexdigest())
                 every.append(_joined(found + extra))
-                for k in KINDS:
-                    counts[k].append(sum(s[0] == k for s in found))
-            columns = [batch["doc_id"], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array(every, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                kinds = Counter(s[0] for s in found + extra)
+                for k in _FOUND:
+                    counts[k].append(kinds[k])
+            columns = [batch["doc_id"], *(pa.array(counts[k], pa.int64()) for k in _FOUND), pa.array(base, pa.string()), pa.array(every, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in _FOUND), "base_sha256", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return _with_terms(rows).mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    rows, _ = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in _FOUND) + ", base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data and disclosing terms replaced in ``text``, and ``n_chars`` to match; null stays null."""
+    """``docs`` with personal data, secrets and disclosing terms replaced in ``text``, and ``n_chars`` to match; null stays null."""
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, terms in texts:
-            yield pa.array([None if t is None else replaced(t, m) for t, m in zip(text.to_pylist(), terms.to_pylist())], pa.string())
+            yield pa.array((None if not t.is_valid else replaced(t.as_py(), m.as_py()) for t, m in zip(text, terms)), pa.string())
 
-    clean = _with_terms(docs).withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), F.col("_terms")))
+    clean, terms = _with_terms(docs)
+    clean = clean.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), F.col(terms)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
     return clean.select(*docs.columns)
