@@ -10,18 +10,23 @@ Jaccard similarity for likeness, and containment of one in the other, which stay
 documents.  The sketch of a union is the union of sketches cut in the same way, so they can be merged.
 
 The *next* document (descending doc_id, after the last the first) is found without a global order:
-documents are dealt into ranges of doc_id, each range also gets a copy of the first row of the
-following one, and a window within the range looks one row ahead.  The number of ranges is
-bounded, so only that many range heads reach the driver.
+documents are dealt into ranges between quantiles of doc_id, each range also gets a copy of the first row of the
+following one, and a window within the range looks one row ahead.  A doc_id that fills several quantiles, and a null
+one, is cut into ranges by a hash of the text.  The number of ranges is
+bounded, so only that many bounds and range heads reach the driver.
 
 Null text counts as empty; empty texts have the empty fingerprint.  Two empty
 sketches have likeness 1, an empty one and another 0.  Rows with a null doc_id come last;
-equal doc_ids follow each other by text.  Repeated rows are kept.  Extra
+equal doc_ids follow each other by a hash of the text.  Repeated rows are kept.  Extra
 columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,24 +88,47 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), " ")
 
 
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Add ``_hash`` of the text and ``_range``: larger ranges come first, as larger doc_ids do."""
+    n, some = rows.agg(F.count("*"), F.count("doc_id")).first()
+    ranges = min(MOST_RANGES, -(-n // ROWS_PER_RANGE)) or 1
+    bounds: list[int] = []
+    if some and ranges > 1:
+        quantiles = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)
+        bounds = list(rows.agg(quantiles).first()[0])  # fewer than ``ranges``
+    often = {v: c + 1 for v, c in Counter(bounds).items() if c > 1}
+    bounds = sorted(set(bounds))
+    width = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda of, last: F.size(F.filter(of, lambda x: x <= F.col("doc_id") if last else x < F.col("doc_id")))
+    first = F.from_json(F.lit(json.dumps([p[0] for p in parts])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    part = F.greatest(below(first, True) - 1, F.lit(0))
+    cell = (part * width + F.coalesce(below(F.get(fine, part), False), F.lit(0))).cast("long")
+    pieces = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps({str(v): c for v, c in often.items()})), "map<string,int>"), F.col("doc_id").cast("string")), F.lit(0)) if often else F.lit(0)
+    nulls = -(-(n - some) // ROWS_PER_RANGE)
+    share = lambda count: F.floor(F.shiftrightunsigned("_hash", 32) * count / (1 << 32)).cast("long")
+    known = F.when(pieces > 0, (2 * cell + 1) * MOST_RANGES + MOST_RANGES - 1 - share(pieces)).otherwise(2 * cell * MOST_RANGES)
+    # Hashes count as unsigned in the order too, so that ranges and order agree.
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    return rows.withColumn("_range", F.when(F.col("doc_id").isNull(), -1 - share(F.lit(min(MOST_RANGES, max(1, nulls))))).otherwise(known))
+
+
 def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     """Add ``next_<column>``: that of the next row by descending doc_id, after the last that of the first."""
-    spark = rows.sparkSession
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = min(MOST_RANGES, -(-n // ROWS_PER_RANGE)) or 1
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    # Null ids form a range of their own, after all others.
-    place = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(_LOWEST))
-    ranged = rows.withColumn("_range", place)
-    heads = [tuple(r) for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("head")).orderBy(F.desc("_range")).collect()]  # `ranges` + 2 at most
-    ghosts = [(mine, head, heads[i - 1][0]) for i, (mine, head) in enumerate(heads)]
-    to = spark.createDataFrame(ghosts, "_range long, _head long, _ghost long")
-    joined = ranged.join(F.broadcast(to), "_range")
+    ranged = _ranged(rows)
+    rank = F.col("_hash").bitwiseXOR(F.lit(_LOWEST))  # rises as the unsigned hash does
+    head = F.max(F.struct("doc_id", F.bitwise_not(rank).alias("rank")))
+    heads = [(r["_range"], *r["head"]) for r in ranged.groupBy("_range").agg(head.alias("head")).orderBy(F.desc("_range")).collect()]  # bounded by the ranges
+    ghosts = [(mine, doc_id, at, heads[i - 1][0]) for i, (mine, doc_id, at) in enumerate(heads)]
+    to = rows.sparkSession.createDataFrame(ghosts, "_range long, _head long, _head_rank long, _ghost long")
+    joined = ranged.join(F.broadcast(to), "_range").withColumn("_rank", rank)
     own, copy = F.struct(F.col("_range"), F.lit(False).alias("ghost")), F.struct(F.col("_ghost").alias("_range"), F.lit(True).alias("ghost"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("_head")), F.array(own, copy)).otherwise(F.array(own))
-    dealt = joined.withColumn("_to", F.explode(copies)).withColumn("_range", F.col("_to._range")).withColumn("_copy", F.col("_to.ghost")).drop("_to", "_head", "_ghost")
-    order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), "text")
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where(~F.col("_copy")).drop("_copy", "_range")
+    is_head = F.col("doc_id").eqNullSafe(F.col("_head")) & (F.bitwise_not("_rank") == F.col("_head_rank"))
+    dealt = joined.withColumn("_to", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))))
+    dealt = dealt.withColumn("_range", F.col("_to._range")).withColumn("_copy", F.col("_to.ghost")).drop("_to", "_head", "_head_rank", "_ghost", "_hash")
+    order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), "_rank", "text")
+    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where(~F.col("_copy")).drop("_copy", "_range", "_rank")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
