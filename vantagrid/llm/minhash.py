@@ -11,8 +11,8 @@ threshold are dropped; the rest is confirmed on the full sets.
 No bucket emits all its pairs.  Equal sets are one *class* from the start.
 First every member of a bucket is compared with one centre drawn for that
 bucket, and what is confirmed is contracted to components.  Then members of one
-bucket that lie in different components are compared inside tasks, in blocks
-of bounded size: by packed signatures, and what stays a candidate by full sets.
+bucket that lie in different components are compared inside tasks, in tiles
+of bounded size on both sides: by packed signatures, and what stays a candidate by full sets.
 A task gives only links that join components it had not joined yet, so its
 output is bounded by its members.  Every pair that shares a bucket is either
 compared or already connected.
@@ -24,8 +24,9 @@ fewer than 1 in 10,000 of the pairs at the threshold itself.
 Null and empty texts have no shingles and are linked with nothing.  Rows with
 a null doc_id are linked like others, and the smallest doc_id that is there
 names their component (null if there is none).  Repeated rows are one class;
-all rows that bear the smallest doc_id are kept.  Extra columns are ignored
-by ``near_duplicates`` and kept by ``deduplicate``, and an empty table gives
+all rows that bear the smallest doc_id are kept.  ``deduplicate`` judges each row by its own
+text, so rows that share a doc_id may differ.  Extra columns are ignored
+by ``near_duplicates`` and kept by ``deduplicate``, whatever their names, and an empty table gives
 an empty result.
 """
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, small
+from .common import documents, materialise, small, unused_name
 from .components import components
 from .words import SHINGLE_WORDS, mix, pieces, shingles
 
@@ -86,18 +87,18 @@ def packed(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(low.shape[2], dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
-def most_unequal(percent: int = PERCENT) -> int:
-    """Up to so many unequal places a pair stays a candidate."""
-    s, chance = percent / 100, 2.0**-BITS
-    equal = s + (1 - s) * chance
-    error = (equal * (1 - equal) / PERMUTATIONS) ** 0.5
-    return int(PERMUTATIONS * (1 - equal + MARGIN_ERRORS * error))
+_CHANCE = 2.0**-BITS
 
 
-def estimate(unequal: Column) -> Column:
-    """Similarity from the number of unequal places, corrected for chance."""
-    chance = 2.0**-BITS
-    return F.greatest(F.lit(0.0), ((1 - unequal / PERMUTATIONS) - chance) / (1 - chance))
+def estimate(unequal):
+    """Similarity from the number of unequal places (a column or an array), corrected for places that agree by chance."""
+    return ((1 - unequal / PERMUTATIONS) - _CHANCE) / (1 - _CHANCE)
+
+
+def least_estimate(percent: int = PERCENT) -> float:
+    """From this estimate on a pair stays a candidate: ``MARGIN_ERRORS`` standard errors below the threshold."""
+    equal = percent / 100 + (1 - percent / 100) * _CHANCE
+    return percent / 100 - MARGIN_ERRORS * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - _CHANCE)
 
 
 def unequal_places(left: str, right: str) -> Column:
@@ -129,17 +130,20 @@ def _signatures(k: int):
                 sizes[1:][rows] = bands.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands.ravel())), *(pa.array(np.ascontiguousarray(sigs[:, s])) for s in range(_LONGS))],
-                    ["doc_id", "n_shingles", "key", "bands", *_SIGS],
+                     pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands.ravel())), *(pa.array(np.ascontiguousarray(sigs[:, s])) for s in range(_LONGS)),
+                     *(batch[c].slice(i, j - i) for c in batch.schema.names[2:])],
+                    ["doc_id", "n_shingles", "key", "bands", *_SIGS, *batch.schema.names[2:]],
                 )
 
     return run
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), bands, and the packed signature in ``s0 ...``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures(k), "doc_id long, n_shingles long, key binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SIGS))
+def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, key (of the set), bands, and the packed signature in ``s0 ...``; with ``text_key`` also the MD5 of the text."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.md5(text).alias("text_key")] if text_key else []))
+    kinds = "doc_id long, n_shingles long, key binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SIGS)
+    return rows.mapInArrow(_signatures(k), kinds + (", text_key string" if text_key else ""))
 
 
 def _sets(k: int):
@@ -185,7 +189,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("key").alias("a"), F.struct(*_SIGS).alias("l"))
     right = nodes.select(F.col("key").alias("b"), F.struct(*_SIGS).alias("r"))
-    near = pairs.join(left, "a").join(right, "b").where(unequal_places("l", "r") <= most_unequal(percent))
+    near = pairs.join(left, "a").join(right, "b").where(estimate(unequal_places("l", "r")) >= least_estimate(percent))
     return near.select("a", "b")
 
 
@@ -198,35 +202,35 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
-def _suspects(most: int):
-    """Within one block of a bucket: the members of pairs that lie in different components and stay candidates.
+def _suspects(least: float):
+    """Within one tile of a bucket: the members of pairs that lie in different components and stay candidates.
 
-    Guests (members outside the bucket's most frequent component) are compared
-    with the block's residents; a pair of guests in the block of the larger key.
+    The tile's guests (some of the members outside the bucket's most frequent component) are compared
+    with its residents; a pair of such members only with the larger key as resident.
     """
 
     def run(table: pa.Table) -> pa.Table:
         comp, key = _codes(table["component"]), np.asarray(table["key"].to_pylist(), dtype=object)
-        guest, resident = table["guest"].to_numpy(), table["resident"].to_numpy()
+        guest, resident, outside = table["guest"].to_numpy(), table["resident"].to_numpy(), table["outside"].to_numpy()
         sigs = np.stack([table[s].to_numpy() for s in _SIGS], axis=1).view(np.uint64)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), BANDS)
         bucket, here = table["bucket"][0].as_py(), np.flatnonzero(resident)
         asked = np.zeros(len(comp), bool)
         for i in np.flatnonzero(guest).tolist():
-            js = here[(comp[here] != comp[i]) & (~guest[here] | (key[here] > key[i]))]
+            js = here[(comp[here] != comp[i]) & (~outside[here] | (key[here] > key[i]))]
             x = sigs[i] ^ sigs[js]
-            js = js[_popcount((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(axis=1) <= most]
+            js = js[estimate(_popcount((x | (x >> np.uint64(1))) & np.uint64(_LOW)).sum(axis=1)) >= least]
             # A pair that shares several buckets is looked at in the first of them only.
             js = js[bands[i, (bands[js] == bands[i]).argmax(axis=1)] == bucket]
             asked[js] = True
             asked[i] |= len(js) > 0
-        return table.select(["bucket", "block", "key", "component", "guest", "resident"]).filter(pa.array(asked))
+        return table.select(["bucket", "row", "column", "key", "component", "guest", "resident"]).filter(pa.array(asked))
 
     return run
 
 
 def _forest(percent: int):
-    """Within one block of a bucket: links, by full sets, that suffice to join the components they join."""
+    """Within one tile of a bucket: links, by full sets, that suffice to join the components they join."""
 
     def run(table: pa.Table) -> pa.Table:
         comp, keys = _codes(table["component"]).copy(), table["key"].combine_chunks()
@@ -263,27 +267,35 @@ def _between_components(docs: DataFrame, classes: DataFrame, members: DataFrame,
 
     Pairs are never emitted: tasks first name the members that stand in a
     candidate pair, then get the full sets of these and give a forest of links.
-    Rows of a bucket's most frequent component go to one block each; only the
-    bucket's other members are copied, once for each of its blocks.
+    A bucket's members are its columns, those outside its most frequent component its rows;
+    both are cut into parts of about ``BLOCK``, so a tile's size doesn't grow with the bucket.
     """
     named = members.join(names.select(F.col("node").alias("key"), "component"), "key", "left")
     named = materialise(named.withColumn("component", F.coalesce("component", "key")))
     each = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND n > 2")  # a bucket of two has been compared with its centre
-    mixed = mixed.select("bucket", F.col("home.component").alias("home"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
-    rows = rows.withColumn("guest", F.col("component") != F.col("home")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = rows.withColumn("resident", F.col("own") == F.col("block")).drop("home", "blocks", "own")
-    kinds = "bucket long, block int, key binary, component binary, guest boolean, resident boolean"
-    asked = materialise(rows.groupBy("bucket", "block").applyInArrow(_suspects(most_unequal(percent)), kinds))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("home.component").alias("home"), parts(F.col("n")).alias("columns"), parts(F.col("n") - F.col("home.n")).alias("rows"))
+    placed = named.join(mixed, "bucket").join(nodes.select("key", "bands", *_SIGS), "key")
+    own = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
+    placed = placed.withColumn("outside", F.col("component") != F.col("home")).withColumn("own_row", own(1, "rows")).withColumn("own_column", own(2, "columns"))
+    tile = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: tile(r, F.col("own_column")))
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: tile(F.col("own_row"), c))
+    placed = placed.withColumn("tile", F.explode(F.when(F.col("outside"), F.array_union(down, across)).otherwise(down)))
+    placed = placed.withColumn("row", F.col("tile.row")).withColumn("column", F.col("tile.column"))
+    placed = placed.withColumn("guest", F.col("outside") & (F.col("own_row") == F.col("row"))).withColumn("resident", F.col("own_column") == F.col("column"))
+    placed = placed.select("bucket", "row", "column", "key", "component", "outside", "guest", "resident", "bands", *_SIGS)
+    kinds = "bucket long, row int, column int, key binary, component binary, guest boolean, resident boolean"
+    asked = materialise(placed.groupBy("bucket", "row", "column").applyInArrow(_suspects(least_estimate(percent)), kinds))
     sets = full_sets(docs, classes, asked.select("key").distinct(), k)
-    return materialise(asked.join(sets, "key").groupBy("bucket", "block").applyInArrow(_forest(percent), "a binary, b binary").distinct())
+    return materialise(asked.join(sets, "key").groupBy("bucket", "row", "column").applyInArrow(_forest(percent), "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    sigs = materialise(signatures(docs, k))
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; with ``text_key`` also the MD5 of its text."""
+    carried = ["text_key"] if text_key else []
+    sigs = materialise(signatures(docs, k, text_key))
     full = sigs.where("key IS NOT NULL")
     classes = materialise(full.groupBy("key").agg(F.min("doc_id").alias("first_id")))
     nodes = materialise(full.groupBy("key").agg(F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _SIGS)))
@@ -301,13 +313,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     named = classes.join(names.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = materialise(named.join(least, "component").select("key", "component_id"))
-    out = sigs.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "key",
-    ).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = sigs.select("doc_id", "n_shingles", "key", *carried).join(ids, "key", "left")
+    named = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", named.alias("component_id"), F.col("doc_id").eqNullSafe(named).alias("kept"), *carried)
 
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -315,9 +323,11 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT)
 
     Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, k, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialise(gone)
-    return docs.join(small(gone, 16), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    gone_id, gone_key = unused_name(docs, "gone_id"), unused_name(docs, "gone_key")
+    gone = near_duplicates(docs, k, percent, text_key=True).where("NOT kept AND doc_id IS NOT NULL")
+    gone = materialise(gone.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct())
+    same = (docs["doc_id"].cast("long") == F.col(gone_id)) & (F.md5(docs["text"].cast("string")) == F.col(gone_key))
+    return docs.join(small(gone, 64), same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
