@@ -1,47 +1,80 @@
 """Sharding by longest-processing-time scheduling (operator 9).
 
 Rows with equal texts form a group that stays together.  Groups are sorted
-by size and each goes to the least-loaded shard, kept in a heap.  The heap
-runs over a list whose length is fixed by parameters, whatever the input:
-the *heavy* groups (more than ``1 / heavy_parts`` of all bytes, so fewer than
-``heavy_parts`` of them) one by one, and the rest as ``bins`` hash bins of
-whole groups.  The shards then differ by about one bin at most, unless one
+by size and each goes to the least-loaded shard, kept in a heap; equal loads go to the lower shard.
+
+Groups stay distributed.  What the scheduler gets is the sorted list of *runs*: how many groups there are of
+each size.  A size of more than ``EXACT_BITS`` bits counts by its leading ones, so the list is bounded whatever the input.
+Equal groups of a run are alike to the scheduler: it says how many of them each shard
+takes, a short run one by one through the heap, a long one by the level up to which greedy choice fills the shards.
+Each group finds its place in its run by numbering within strips of the run, and so its shard.
+No shard is then larger than the mean by more than its last group, unless one
 group alone is larger than a fair shard, which no scheduling can mend.
 
 A null text has no bytes and belongs with the empty texts: size 1, CRC 0.
 Rows whose doc_id is null or repeated each get a slot of their own.  Extra
-columns are dropped.  An empty table gives an empty result.
+columns are dropped, whatever their names.  Very long texts are only measured and hashed.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise, small
 
 SHARDS = 16
-BINS = 16384
-HEAVY_PARTS = 1024
+EXACT_BITS = 17
+#: Runs up to this length go through the heap one by one.
+SHORT_RUN = 64
+
+
+def longest_first(runs: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """(size, groups for each shard) of (size, groups) runs, the largest size first."""
+    loads, out = [0] * shards, []
+    for size, count in sorted(runs, reverse=True):
+        taken = _short(loads, size, count) if count <= SHORT_RUN else _long(loads, size, count)
+        loads = [load + size * n for load, n in zip(loads, taken)]
+        out.append((size, taken))
+    return out
 
 
-def longest_first(loads: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
-    """(item, shard) for (item, size) loads: the largest first, to the least-loaded shard.
+def _short(loads: list[int], size: int, count: int) -> list[int]:
+    heap = [(load, s) for s, load in enumerate(loads)]
+    heapq.heapify(heap)
+    taken = [0] * len(loads)
+    for _ in range(count):
+        load, s = heap[0]
+        taken[s] += 1
+        heapq.heapreplace(heap, (load + size, s))
+    return taken
 
-    Equal sizes go by item, equal loads to the lower shard.
-    """
-    heap = [(0, s) for s in range(shards)]
-    out = []
-    for item, size in sorted(loads, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out.append((item, shard))
-        heapq.heappush(heap, (load + size, shard))
-    return out
+
+def _long(loads: list[int], size: int, count: int) -> list[int]:
+    """As ``_short``: greedy choice takes the ``count`` least of the loads that shards pass through."""
+    below = lambda level: [max(0, -(-(level - load) // size)) for load in loads]  # noqa: E731  choices at a load under the level
+    low, high = min(loads), min(loads) + size * (count + 1)
+    while high - low > 1:  # the highest level below which at most ``count`` choices lie
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    taken, left = below(low), count - sum(below(low))
+    for s, load in enumerate(loads):
+        if left and load <= low and (low - load) % size == 0:
+            taken[s] += 1
+            left -= 1
+    return taken
+
+
+def _leading(size: Column) -> Column:
+    """The size, or its leading bits where it has more than ``EXACT_BITS``."""
+    extra = F.greatest(F.lit(0), F.floor(F.log2(size)).cast("int") + 1 - EXACT_BITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", size, extra), extra)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, group_id and shard for every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -51,24 +84,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, heavy_parts:
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("group_id"),
     )
-    bin_of = F.pmod(F.xxhash64("group_id"), F.lit(bins)).cast("int")
-    groups = rows.groupBy("group_id").agg(F.sum("size").alias("bytes"))
-    # One pass for the sizes of groups; only bounded sums leave it.
-    by_bin = groups.groupBy(bin_of.alias("bin")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"))
-    sums = {r["bin"]: r["bytes"] for r in by_bin.collect()}  # at most `bins` rows
-    total = sum(sums.values())
-    heavy = groups.where(F.col("bytes") > total / heavy_parts).collect() if total else []  # fewer than heavy_parts
-    heavy_schema = "group_id string, heavy int"
-    marks = spark.createDataFrame([(r["group_id"], bins + i) for i, r in enumerate(sorted(heavy, key=lambda r: r["group_id"]))], heavy_schema)
-    loads = dict(sums)
-    if heavy:
-        home = dict(marks.select("group_id", bin_of.alias("bin")).collect())
-        for i, r in enumerate(sorted(heavy, key=lambda r: r["group_id"])):
-            loads[home[r["group_id"]]] -= r["bytes"]
-            loads[bins + i] = r["bytes"]
-    placed = spark.createDataFrame(longest_first(list(loads.items()), shards), "item int, shard int")
-    with_bins = rows.join(F.broadcast(marks), "group_id", "left").withColumn("item", F.coalesce("heavy", bin_of))
-    return with_bins.join(F.broadcast(placed), "item", "left").drop("item", "heavy")
+    groups = rows.groupBy("group_id").agg(F.sum("size").alias("bytes")).withColumn("run", _leading(F.col("bytes")))
+    strips = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = materialise(groups.select("group_id", "run", F.pmod(F.xxhash64("group_id"), F.lit(strips)).cast("int").alias("strip")))
+    counts = materialise(groups.groupBy("run", "strip").agg(F.count("*").alias("n")))
+    runs = [(r["run"], r["n"]) for r in counts.groupBy("run").agg(F.sum("n").alias("n")).toLocalIterator()]  # a run for each leading value
+    bounds = [(size, s, sum(taken[:s]), sum(taken[: s + 1])) for size, taken in longest_first(runs, shards) for s in range(shards) if taken[s]]
+    placed = spark.createDataFrame(bounds, "run long, shard int, first long, end long")
+    # The groups of a strip have consecutive places in their run.
+    before = Window.partitionBy("run").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("run", "strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("run", "strip").orderBy("group_id")) - 1
+    numbered = groups.withColumn("nth", nth).join(starts, ["run", "strip"]).select("group_id", "run", (F.col("start") + F.col("nth")).alias("place"))
+    homes = numbered.join(small(placed, 48), "run").where("place >= first AND place < end").select("group_id", "shard")
+    return rows.join(small(materialise(homes), 64), "group_id")
 
 
 def slots(placed: DataFrame, parts: int | None = None) -> DataFrame:
@@ -89,8 +118,8 @@ def slots(placed: DataFrame, parts: int | None = None) -> DataFrame:
     return numbered.join(starts, ["shard", "strip"]).withColumn("slot", (F.col("start") + F.col("nth")).cast("long"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
-    return slots(assign(docs, shards, bins, heavy_parts)).select(
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    return slots(assign(docs, shards)).select(
         "doc_id",
         "size",
         "text_crc32",
