@@ -2,27 +2,32 @@
 
 The standard library's streaming parser turns a page into *lines*, one for
 each block (paragraph, heading, list item, cell and so on).  A line's
-text-to-tag ratio is its length by the number of tags in it.  Lines within navigation, footers,
-sidebars, forms, adverts, notices and reader comments, told by element, role or
-class, have ratio 0; text of scripts, styles and the head makes no lines at all.
+text-to-tag ratio is its length by the number of tags in it; text of scripts, styles and the head makes no lines at all.
 The ratios are smoothed by a Gaussian kernel, and a two-means threshold over the
 smoothed ratios parts content from the rest.
 
-A region is kept whole: where the page has an ``article`` or ``main`` element with content lines, every line
-in it is content but for the excluded ones, so that a short paragraph among long ones
-isn't lost.  In other pages it is the content lines and the lines between two of
-them that are at most ``GAP`` apart.
+*Region.*  On every page the content lines select the region: the innermost grouping element
+that holds more than half of their text, or the ``article`` or ``main`` element that it lies in.  A region is
+kept whole, so that a short paragraph among long ones isn't lost; where nothing smaller than the page
+itself is found, it is the content lines and the lines between two of them that are at most ``GAP`` apart.
+
+*Priors.*  Lines in ``article`` and ``main`` weigh ``MAIN_WEIGHT`` times in that choice.  Navigation, footers, sidebars, forms,
+adverts, notices and reader comments, told by element, role or class, have ratio 0 and are left out, and so are
+menus: ``MENU_LINES`` lines or more in a row that are links as a whole.  Where all
+exclusions together would leave less than ``LEAST_LEFT`` of the page's text, those that hold more than half of it aren't believed, as in a page that
+is one large form; navigation, footers and sidebars always are.
 
 Within a line runs of white space become one space; lines are joined by one
 space in page order.  Null and empty pages have an empty text.  Rows with null or
-repeated page_id are treated one by one; extra columns are ignored by ``query``
-and kept by ``extract``; an empty table gives an empty result.
+repeated page_id are treated one by one; very long pages and deep nesting take time in proportion to their length; extra columns are ignored by ``query``
+and kept by ``extract``, but for ``text`` and ``n_chars``, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,9 +39,14 @@ from .common import pages
 
 SIGMA = 1.0
 GAP = 3
+MAIN_WEIGHT = 2
+MENU_LINES = 3
+LEAST_LEFT = 0.02
 #: Fixed sets of element names, from the HTML standard.
 SILENT = {"script", "style", "head", "title", "template", "noscript", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video", "map"}
 EXCLUDED = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+#: Of these an exclusion is always believed.
+NEVER = {"nav", "footer", "aside", "menu"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
@@ -46,6 +56,8 @@ INLINE = {
 #: Elements that a following element of their kind, or a block for ``p``, closes.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "aside", "nav", "footer", "header", "form", "blockquote"}
+#: Elements that a region can be.
+GROUPING = {"html", "body", "article", "main", "section", "div", "td", "center", "form", "blockquote"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|side|widgets?|comments?|disqus|repl(?:y|ies)|"
@@ -55,25 +67,47 @@ _NAMED = re.compile(
 _SPACE = re.compile(r"\s+")
 
 
+#: Elements that can close others or end the search for what they close.
+_BINDING = {"p", *CLOSED_BY, *SCOPE}
+
+
+@dataclass
+class Line:
+    text: str
+    tags: int
+    link_chars: int
+    element: int
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, excluded, in a main element) for each line of a page."""
+    """Collects the lines of a page, and its block elements as (name, parent, boilerplate).
+
+    Each step looks at the open elements that matter to it alone, so time doesn't grow with the depth of nesting.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, excluded, silent, main
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.elements: list[tuple[str, int, bool]] = [("", -1, False)]
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, the block element that it lies in, silent
+        self.places: dict[str, list[int]] = {}  # where in the stack each name is open
+        self.binding: list[int] = []  # where in the stack p, list items and scopes are open
+        self.blocks: list[int] = [0]  # where in the stack elements that aren't inline are open
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.link_chars = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, excluded, _, main = self.stack[-1]
-            self.lines.append((text, max(1, self.tags), excluded, main))
-        self.parts, self.tags = [], 0
+            self.lines.append(Line(text, max(1, self.tags), self.link_chars, self.stack[-1][1]))
+        self.parts, self.tags, self.link_chars = [], 0, 0
 
     def pop_to(self, at: int) -> None:
-        self.flush()
+        for k in range(len(self.stack) - 1, at - 1, -1):
+            self.places[self.stack[k][0]].pop()
+        for held in (self.binding, self.blocks):
+            while held and held[-1] >= at:
+                held.pop()
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -81,7 +115,7 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag not in INLINE:
             self.flush()
-            for at in range(len(self.stack) - 1, 0, -1):
+            for at in reversed(self.binding):
                 name = self.stack[at][0]
                 if (name == "p" and tag not in VOID) or tag in CLOSED_BY.get(name, ()):
                     self.pop_to(at)
@@ -91,15 +125,23 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, excluded, silent, main = self.stack[-1]
+        _, element, silent = self.stack[-1]
         found = dict(attrs)
-        named = f"{found.get('class') or ''} {found.get('id') or ''}"
-        main = main or tag in MAIN or found.get("role") == "main"
-        excluded = excluded or tag in EXCLUDED or (tag == "header" and not main) or (found.get("role") or "").lower() in ROLES or "hidden" in found
-        excluded = excluded or (tag not in ("html", "body", *MAIN) and bool(_NAMED.search(named)))
-        if tag in INLINE and excluded != self.stack[-1][1]:
-            self.flush()
-        self.stack.append((tag, excluded, silent or tag in SILENT, main))
+        boiler = tag in EXCLUDED or (found.get("role") or "").lower() in ROLES or "hidden" in found
+        boiler = boiler or (tag not in ("html", "body", *MAIN) and bool(_NAMED.search(f"{found.get('class') or ''} {found.get('id') or ''}")))
+        if tag not in INLINE or boiler:
+            if tag in INLINE:
+                self.flush()
+            name = "main" if found.get("role") == "main" else tag
+            self.elements.append((name, element, boiler))
+            element = len(self.elements) - 1
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        if tag in _BINDING:
+            self.binding.append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        self.stack.append((tag, element, silent or tag in SILENT))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -108,21 +150,26 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at][0] == tag:
-                if tag in INLINE and all(s[1] == self.stack[at - 1][1] for s in self.stack[at:]):
-                    del self.stack[at:]
-                else:
-                    self.pop_to(at)
-                return
-            if tag in INLINE and self.stack[at][0] not in INLINE:
+        where = self.places.get(tag)
+        if not where:
+            if tag not in INLINE:
+                self.flush()
+            return
+        at = where[-1]
+        if tag in INLINE:
+            if at < self.blocks[-1]:  # it was opened outside of the block
                 return
-        if tag not in INLINE:
+            if self.stack[at - 1][1] != self.stack[-1][1]:
+                self.flush()
+        else:
             self.flush()
+        self.pop_to(at)
 
     def handle_data(self, data):
         if not self.stack[-1][2]:
             self.parts.append(data)
+            if self.places.get("a"):
+                self.link_chars += len("".join(data.split()))
 
     def parse_marked_section(self, i, report=1):
         try:
@@ -152,6 +199,43 @@ def threshold(values: np.ndarray) -> float:
     return float(min(cut, values.max()))
 
 
+def _content(ratios: np.ndarray) -> np.ndarray:
+    """Which lines belong to the cluster of high smoothed ratios."""
+    values = smoothed(ratios)
+    found = (values >= threshold(values)) & (ratios > 0)
+    return found if found.any() else ratios == ratios.max()
+
+
+def _menus(lines: list[Line]) -> np.ndarray:
+    """Lines of runs that are links as a whole."""
+    linked = [0 < len("".join(x.text.split())) <= x.link_chars for x in lines] + [False]
+    out, first = np.zeros(len(lines), bool), 0
+    for i, link in enumerate(linked):
+        if not link:
+            if i - first >= MENU_LINES:
+                out[first:i] = True
+            first = i + 1
+    return out
+
+
+def _held(parents: list[int], at: list[int], weight: np.ndarray) -> list[float]:
+    """The weight that each element holds, with all below it; parents come before their children."""
+    total = [0.0] * len(parents)
+    for e, w in zip(at, weight.tolist()):
+        total[e] += w
+    for e in range(len(parents) - 1, 0, -1):
+        total[parents[e]] += total[e]
+    return total
+
+
+def _inherited(parents: list[int], own: list[bool]) -> list[bool]:
+    """Which elements lie in one of ``own``, or are one."""
+    out = list(own)
+    for e in range(1, len(parents)):
+        out[e] = out[e] or out[parents[e]]
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -162,24 +246,42 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    usable = np.array([not excluded for _, _, excluded, _ in lines])
+    names, parents, boiler = ([e[i] for e in parser.elements] for i in range(3))
+    at = [x.element for x in lines]
+    main = _inherited(parents, [n in MAIN for n in names])
+    # The head of a page is boilerplate, the head of an article isn't.
+    boiler = [b or (n == "header" and not m) for b, n, m in zip(boiler, names, main)]
+    size, ratios = np.array([len(x.text) for x in lines]), np.array([len(x.text) / x.tags for x in lines])
+    menu = _menus(lines)
+    left = lambda: ~np.array(_inherited(parents, boiler))[at] & ~menu
+    usable = left()
+    if size[usable].sum() < LEAST_LEFT * size.sum():
+        held = _held(parents, at, size)
+        boiler = [b and (n in NEVER or 2 * h <= held[0]) for b, n, h in zip(boiler, names, held)]
+        usable = left()
     if not usable.any():
         return ""
-    ratios = np.array([len(text) / tags if ok else 0.0 for (text, tags, _, _), ok in zip(lines, usable)])
-    values = smoothed(ratios)
-    content = (values >= threshold(values)) & usable
-    if not content.any():
-        content = usable & (ratios == ratios.max())
-    main = np.array([in_main for _, _, _, in_main in lines])
-    if (main & usable).any():
-        keep = main & usable
-    else:
-        keep = content.copy()
-        at = np.flatnonzero(content)
-        for a, b in zip(at, at[1:]):
+    ratios = np.where(usable, ratios, 0.0)
+    content = _content(ratios) & usable
+    weighs = np.where(np.array(main)[at], MAIN_WEIGHT, 1)
+    held = _held(parents, at, np.where(content, size * weighs, 0))
+    region = 0
+    for e in range(1, len(names)):  # children come after their parents: the last is the innermost
+        if names[e] in GROUPING and 2 * held[e] > held[0]:
+            region = e
+    above = region
+    while above > 0:
+        if names[above] in MAIN:
+            region = above
+        above = parents[above]
+    if names[region] in ("", "html", "body"):
+        keep, places = content.copy(), np.flatnonzero(content)
+        for a, b in zip(places, places[1:]):
             if b - a <= GAP:
                 keep[a:b] |= usable[a:b]
-    return " ".join(text for (text, _, _, _), k in zip(lines, keep) if k)
+    else:
+        keep = np.array(_inherited(parents, [e == region for e in range(len(names))]))[at] & usable
+    return " ".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(table: DataFrame, html: str = "html") -> DataFrame:
