@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bound_batches, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 512
@@ -110,6 +110,8 @@ def tree_decode(ids: list[int], codec, leaf_ids: int = LEAF_IDS) -> bytes:
 def encode(docs: DataFrame, path: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Add ``ids_le`` (the ids as little-endian unsigned 32-bit integers) and ``n_tokens``."""
 
+    bound_batches(docs.sparkSession)
+
     def ids_of(texts: pa.Array) -> pa.Array:
         codec, sizes = _codec(path)
         return pa.array((np.array(tree_encode(t.as_py() or "", codec, sizes, leaf_chars), dtype="<u4").tobytes() for t in texts), pa.binary())

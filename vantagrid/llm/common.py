@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What goes to a Python worker at once, unless the session says otherwise: texts may be very long.
+BATCH_BYTES = 4 << 20
 #: A side smaller than this may be broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -15,11 +17,13 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a local
-    temporary folder is taken.
+    Only where ``spark.checkpoint.dir`` is unset on a single machine (tests) a local
+    temporary folder is taken; a cluster without the setting is refused, as its executors share no such folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes in this session, where its user hasn't set the bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -38,16 +49,19 @@ def materialise(df: DataFrame) -> DataFrame:
     This cuts the lineage: what is written survives lost executors.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 

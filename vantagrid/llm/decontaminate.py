@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bound_batches, documents
 from .words import mix, pieces, runs, separators, words_of
 
 ERRORS = 0.2
@@ -251,6 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return F.arrow_udf(run, "int")
 
+    bound_batches(docs.sparkSession)
     for items in _blocks(benchmark):
         docs = docs.where(counter(items)(F.col("text").cast("string")) == 0)
     return docs

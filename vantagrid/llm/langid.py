@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, unused_name
+from .common import bound_batches, documents, unused_name
 
 PROFILE = 300
 LONGEST = 3
@@ -180,6 +180,7 @@ def accept(docs: DataFrame) -> DataFrame:
 
     One pass predicts and lets only the accepted rows out, so that a text goes to Python once.
     """
+    bound_batches(docs.sparkSession)
     profiles, schema = learn(docs), docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.lit(None).cast("string")).schema
     names, at = docs.columns, docs.columns.index("lang")
 

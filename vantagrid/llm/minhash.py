@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, small, unused_name
+from .common import bound_batches, documents, materialise, small, unused_name
 from .components import components
 from .words import SHINGLE_WORDS, mix, pieces, shingles
 
@@ -323,6 +323,7 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT)
 
     Rows with a null doc_id stay.
     """
+    bound_batches(docs.sparkSession)
     gone_id, gone_key = unused_name(docs, "gone_id"), unused_name(docs, "gone_key")
     gone = near_duplicates(docs, k, percent, text_key=True).where("NOT kept AND doc_id IS NOT NULL")
     gone = materialise(gone.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct())

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, small, unused_name, whole_text
+from .common import bound_batches, documents, materialise, small, unused_name, whole_text
 from .words import pieces, separators, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -383,6 +383,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         for text, terms in texts:
             yield pa.array((None if not t.is_valid else replaced(t.as_py(), m.as_py()) for t, m in zip(text, terms)), pa.string())
 
+    bound_batches(docs.sparkSession)
     clean, terms = _with_terms(docs)
     clean = clean.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), F.col(terms)))
     if "n_chars" in docs.columns:
