@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -73,40 +74,85 @@ def in_box(p: Vec, centre: Vec, half: Vec, q: Sequence[Column]) -> Column:
     return (F.abs(local[0]) <= f32(half[0])) & (F.abs(local[1]) <= f32(half[1])) & (F.abs(local[2]) <= f32(half[2]))
 
 
-def triangle_meets_cell(a: Vec, b: Vec, c: Vec, centre: Vec, half: float) -> Column:
-    """Exact test of a triangle against a cube by separating axes; touching counts.
+def separating_axes(a: Vec, b: Vec, c: Vec, edges: list[Vec], half: float) -> Column:
+    """What of the exact test of a triangle against a cube depends on the triangle alone: an array of (x, y, z, low, high).
 
-    The corners relative to the cube are bound once, as the variable of a lambda, so that the
-    thirteen tests don't each spell them out.
+    A cube of half-width ``half`` is apart from the triangle where an axis' product with its centre lies outside of
+    [low, high].  Axes are the crosses of the triangle's edges with the cube's axes, and its normal; the cube's own
+    axes are left out, there the extents of the two decide.
     """
-    corners = F.struct(*(x.alias(f"{n}{axis}") for n, p in zip("abc", (a, b, c)) for x, axis in zip(sub(p, centre), "xyz")))
-    return F.exists(F.array(corners), lambda r: _meets_cube(*(tuple(r[f"{n}{axis}"] for axis in "xyz") for n in "abc"), half))
-
-
-def _meets_cube(a: Vec, b: Vec, c: Vec, half: float) -> Column:
-    v, edges = (a, b, c), [sub(b, a), sub(c, b), sub(a, c)]
-    zero = F.lit(0.0)
-    axes = [axis for x, y, z in edges for axis in ((zero, -z, y), (z, zero, -x), (-y, x, zero))]
-    apart = F.lit(False)
-    for axis in [*axes, cross(edges[0], edges[1])]:
-        spans = [dot(p, axis) for p in v]
-        reach = half * (F.abs(axis[0]) + F.abs(axis[1]) + F.abs(axis[2]))
-        apart = apart | (F.least(*spans) > reach) | (F.greatest(*spans) < -reach)
-    for i in range(3):
-        spans = [p[i] for p in v]
-        apart = apart | (F.least(*spans) > half) | (F.greatest(*spans) < -half)
-    return ~apart
-
-
-def halton(index: Column, base: int, digits: int) -> Column:
-    """The radical inverse of ``index`` in ``base``, from its lowest ``digits`` digits."""
-    total, step = F.lit(0.0), 1
-    for _ in range(digits):
-        total = total + (F.floor(index / step) % base).cast("double") / (step * base)
-        step *= base
-    return total
+    zero, out = F.lit(0.0), []
+    for edge in edges:
+        for k in range(3):  # cross with the unit vector k: only the two other components count
+            i, j = (k + 1) % 3, (k + 2) % 3
+            axis = [zero, zero, zero]
+            axis[i], axis[j] = edge[j], -edge[i]
+            spans = [p[i] * edge[j] - p[j] * edge[i] for p in (a, b, c)]
+            out.append((axis, spans, half * (F.abs(edge[i]) + F.abs(edge[j]))))
+    normal = cross(edges[0], edges[1])
+    level = dot(normal, a)  # the same for all three corners, but for rounding
+    out.append((normal, [level, dot(normal, b)], half * (F.abs(normal[0]) + F.abs(normal[1]) + F.abs(normal[2]))))
+    rows = (F.struct(*(c.alias(n) for c, n in zip(axis, "xyz")), (F.least(*spans) - reach).alias("low"), (F.greatest(*spans) + reach).alias("high")) for axis, spans, reach in out)
+    return F.array(*rows)
+
+
+def obb_extent(centre: Vec, half: Vec, q: Sequence[Column]) -> tuple[Vec, Vec]:
+    """Least and largest corner of an oriented box: a half-axis reaches as far as its turned parts add up to."""
+    turned = [rotate(q, tuple(half[i] if i == k else F.lit(0.0) for i in range(3))) for k in range(3)]
+    reach = tuple(sum((F.abs(t[axis]) for t in turned[1:]), F.abs(turned[0][axis])) for axis in range(3))
+    return sub(centre, reach), add(centre, reach)
+
+
+def halton(index: Column, base: int) -> Column:
+    """The radical inverse of ``index`` in ``base``: its digits mirrored behind the point."""
+    digits = F.sequence(F.lit(0), F.ceil(F.log(F.greatest(index, F.lit(1)).cast("double") + 1) / F.log(F.lit(float(base)))).cast("int"))
+    power = lambda d: F.pow(F.lit(float(base)), d)
+    return F.aggregate(digits, F.lit(0.0), lambda total, d: total + (F.floor(index / power(d)) % base).cast("double") / power(d + 1))
+
+
+def ball_point(index: Column, radius: float) -> Vec:
+    """A low-discrepancy point of a ball: distance, height and turn from the radical inverses in 2, 3 and 5."""
+    far, height, turn = radius * F.cbrt(halton(index, 2)), 2 * halton(index, 3) - 1, 2 * math.pi * halton(index, 5)
+    flat = far * F.sqrt(1 - height * height)
+    return flat * F.cos(turn), far * height, flat * F.sin(turn)
 
 
 def coverage_weight(n: Column, alpha: float = 2.0) -> Column:
     """Fixed-point weight of one more camera on a place that ``n`` already see."""
     return F.floor(16384 / F.pow(n + 1, F.lit(alpha)) + 0.5).cast("long")
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of the text's UTF-16 units; products are split so that they fit a long."""
+    prime, mask = 16777619, 0xFFFFFFFF
+    raw = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    times = lambda h: (((F.shiftright(h, 16) * prime).bitwiseAND(0xFFFF) * 65536) + h.bitwiseAND(0xFFFF) * prime).bitwiseAND(F.lit(mask))
+    start = F.lit(2166136261).cast("long")
+    return F.when(F.length(text) == 0, start).otherwise(F.aggregate(units, start, lambda h, u: times(h.bitwiseXOR(u))))
+
+
+def horizontal_fov(vertical: Column, aspect: Column) -> Column:
+    """Degrees across, from degrees upright; an aspect that isn't positive counts as 1."""
+    ratio = F.when(aspect > 0, aspect).otherwise(F.lit(1.0))
+    return F.degrees(2 * F.atan(F.tan(F.radians(vertical) / 2) * ratio))
+
+
+def yaw_pitch(yaw: Column, pitch: Column) -> tuple[Column, Column, Column, Column]:
+    """The quaternion of a turn about y, then about the new x; degrees, pitch held within 89."""
+    half_yaw, half_pitch = F.radians(yaw) / 2, F.radians(F.least(F.greatest(pitch, F.lit(-89.0)), F.lit(89.0))) / 2
+    return F.cos(half_yaw) * F.sin(half_pitch), F.sin(half_yaw) * F.cos(half_pitch), -F.sin(half_yaw) * F.sin(half_pitch), F.cos(half_yaw) * F.cos(half_pitch)
+
+
+def segment_distance(p: Vec, a: Vec, b: Vec) -> Column:
+    """How far a point lies from the stretch between a and b."""
+    way = sub(b, a)
+    along = F.coalesce(F.try_divide(dot(sub(p, a), way), dot(way, way)), F.lit(0.0))
+    return length(sub(p, add(a, scale(way, F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))))))
+
+
+def rectangle_distance(p: Vec, centre: Vec, q: Sequence[Column], width: Column, depth: Column) -> Column:
+    """How far a point lies from a rectangle that its quaternion turns out of the xz plane."""
+    local = unrotate(q, sub(p, centre))
+    beyond = lambda c, size: F.greatest(F.abs(c) - size / 2, F.lit(0.0))
+    return length((beyond(local[0], width), local[1], beyond(local[2], depth)))

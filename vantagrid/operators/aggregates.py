@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import in_box, vec
+from ..functions.geometry import in_box, obb_extent, vec
 
-#: Regions, probes and sections are declared by hand and broadcast; these caps bound them.
-MOST_REGIONS, MOST_SLABS, MOST_PROBES, MOST_GROUPS = 64, 32, 256, 32
+#: What a scene may declare of each; the joins don't need these caps, descriptors are held to them.
+CAPS = {"regions": 64, "slabs": 32, "probes": 256, "groups": 32, "projections": 8}
 
 
-def declared(rows: DataFrame, most: int, what: str) -> DataFrame:
-    """A declared dimension, marked for broadcast once its size is checked."""
-    if rows.count() > most:
-        raise ValueError(f"AGGREGATE_TOO_LARGE: {what}")
-    return F.broadcast(rows)
+def held_to_caps(declared: DataFrame, kind: str) -> DataFrame:
+    """The rows of a descriptor (with their scene); a scene that declares more than its cap fails where it is used."""
+    n = F.count("*").over(Window.partitionBy("scene"))
+    fine = F.when(n <= CAPS[kind], F.lit(True)).otherwise(F.raise_error(F.lit(f"AGGREGATE_TOO_LARGE: {kind}")).cast("boolean"))
+    return declared.withColumn("_fine", fine).where("_fine").drop("_fine")
 
 
 def chunk_stats(masked: DataFrame) -> DataFrame:
@@ -29,67 +29,104 @@ def summary(masked: DataFrame) -> DataFrame:
 
 
 def per_camera(cameras: DataFrame, seen: DataFrame, masked: DataFrame) -> DataFrame:
-    """Every camera, the disabled ones too, with how many voxels it sees and their share."""
-    counts = seen.groupBy("cam_idx").agg(F.count("*").alias("visible"))
-    total = F.broadcast(masked.agg(F.count("*").alias("n")))
-    rows = cameras.select("cam_idx").join(counts, "cam_idx", "left").fillna(0, ["visible"]).crossJoin(total)  # one row
-    return rows.select("cam_idx", "visible", F.coalesce(F.try_divide(F.col("visible").cast("double"), F.col("n")), F.lit(0.0)).alias("rate"))
+    """Every camera, the disabled ones too, with how many voxels of its scene it sees and their share."""
+    counts = seen.groupBy("scene", "cam_idx").agg(F.count("*").alias("visible"))
+    total = masked.groupBy("scene").agg(F.count("*").alias("n"))
+    rows = cameras.select("scene", "cam_idx").join(counts, ["scene", "cam_idx"], "left").join(total, "scene", "left").fillna(0, ["visible"])
+    return rows.select("scene", "cam_idx", "visible", F.coalesce(F.try_divide(F.col("visible").cast("double"), F.col("n")), F.lit(0.0)).alias("rate"))
 
 
-def in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Points joined with every oriented box (region, group_id, centre, half, quaternion) that holds them."""
-    holds = in_box(vec("x", "y", "z"), vec("rx", "ry", "rz"), vec("hx", "hy", "hz"), [F.col(c) for c in ("rqx", "rqy", "rqz", "rqw")])
-    return points.join(declared(regions, MOST_REGIONS, "regions"), holds)
+def chunk_visible(points: DataFrame, seen: DataFrame) -> DataFrame:
+    """How many voxels of each chunk each camera sees."""
+    return seen.join(points.select("point", "chunk_id"), "point").groupBy("chunk_id", "cam_idx").agg(F.count("*").alias("visible"))
+
+
+def in_regions(space, points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points (with their chunk_id) joined with every oriented box (scene, region, group_id, centre, half, quaternion) that holds them.
+
+    Boxes go to the chunks that their extent reaches, so a point meets the boxes of its chunk only.
+    """
+    centre, half, turn = vec("rx", "ry", "rz"), vec("hx", "hy", "hz"), [F.col(c) for c in ("rqx", "rqy", "rqz", "rqw")]
+    low, high = obb_extent(centre, half, turn)
+    dealt = space.to_chunks(regions, (low[0] - 1e-3, low[2] - 1e-3), (high[0] + 1e-3, high[2] + 1e-3)).drop("scene")
+    return points.join(dealt, "chunk_id").where(in_box(vec("x", "y", "z"), centre, half, turn))
 
 
 def _counts() -> list[Column]:
     return [F.count("*").alias("valid"), F.count_if(F.col("cameras") > 0).alias("covered"), F.count_if(F.col("cameras") == 0).alias("blind")]
 
 
-def region_stats(masked: DataFrame, regions: DataFrame) -> DataFrame:
+def region_stats(space, masked: DataFrame, regions: DataFrame) -> DataFrame:
     """Every region, empty ones with zeros."""
-    counts = in_regions(masked, regions).groupBy("region").agg(*_counts())
+    counts = in_regions(space, masked, regions).groupBy("region").agg(*_counts())
     return regions.select("region").join(counts, "region", "left").fillna(0)
 
 
-def group_stats(masked: DataFrame, regions: DataFrame) -> DataFrame:
-    """A voxel counts once in a group however many of the group's regions hold it."""
-    once = in_regions(masked, regions).where("group_id IS NOT NULL").dropDuplicates(["point", "group_id"])
-    counts = once.groupBy("group_id").agg(*_counts())
+def region_visible(space, points: DataFrame, seen: DataFrame, regions: DataFrame) -> DataFrame:
+    """How many voxels of each region each camera sees."""
+    held = in_regions(space, points, regions).select("point", "region")
+    return held.join(seen.select("point", "cam_idx"), "point").groupBy("region", "cam_idx").agg(F.count("*").alias("seen"))
+
+
+def _once(space, masked: DataFrame, regions: DataFrame) -> DataFrame:
+    """A voxel once in each group, however many of the group's regions hold it."""
+    return in_regions(space, masked, regions).where("group_id IS NOT NULL").dropDuplicates(["point", "group_id"])
+
+
+def group_stats(space, masked: DataFrame, regions: DataFrame) -> DataFrame:
+    counts = _once(space, masked, regions).groupBy("group_id").agg(*_counts())
     return regions.select("group_id").where("group_id IS NOT NULL").distinct().join(counts, "group_id", "left").fillna(0)
 
 
+def group_visible(space, points: DataFrame, seen: DataFrame, regions: DataFrame) -> DataFrame:
+    once = _once(space, points, regions).select("point", "group_id")
+    return once.join(seen.select("point", "cam_idx"), "point").groupBy("group_id", "cam_idx").agg(F.count("*").alias("seen"))
+
+
 def column_stats(cells: DataFrame, slabs: DataFrame) -> DataFrame:
-    """For each slab and column of it: sum, largest, smallest (255 if none) of the camera counts, and how many cells are blind, valid, obstacles.
+    """For each scene, slab and column of it: sum, largest, smallest (255 if none) of the camera counts, and how many cells are blind, valid, obstacles, filtered.
 
-    ``cells`` has i, j, k, cameras and valid; a slab has an axis to collapse (0, 1, 2)
-    and inclusive index bounds.
+    ``cells`` has scene, i, j, k, cameras, mask, mask_high, valid and ``marked``, whether the regions that the slabs ask for hold it; a slab
+    has an axis to collapse (0, 1, 2), inclusive index bounds and ``filter``, whether it takes marked cells only.  Slabs hold for every scene.
     """
     within = F.col("i").between(F.col("i0"), F.col("i1")) & F.col("j").between(F.col("j0"), F.col("j1")) & F.col("k").between(F.col("k0"), F.col("k1"))
-    rows = cells.join(declared(slabs, MOST_SLABS, "slabs"), within)
+    rows = cells.join(F.broadcast(slabs.limit(CAPS["slabs"])), within)  # declared by hand, 32 rows at most
     rows = rows.withColumn("a", F.when(F.col("axis") == 0, F.col("j")).otherwise(F.col("i"))).withColumn("b", F.when(F.col("axis") == 2, F.col("j")).otherwise(F.col("k")))
+    rows = rows.withColumn("out", F.col("filter") & ~F.col("marked")).withColumn("valid", F.col("valid") & ~F.col("out")).withColumn("solid", ~F.col("valid") & ~F.col("out"))
     n, capped = F.when(F.col("valid"), F.col("cameras")), F.when(F.col("valid"), F.least(F.col("cameras"), F.lit(255)))
-    return rows.groupBy("slab", "a", "b").agg(
+    word = lambda c: F.bit_or(F.when(F.col("valid"), F.col(c)).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy("scene", "slab", "a", "b").agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total"),
         F.coalesce(F.max(capped), F.lit(0)).alias("most"),
         F.coalesce(F.min(capped), F.lit(255)).alias("least"),
         F.count_if(F.col("valid") & (F.col("cameras") == 0)).alias("blind"),
         F.count_if("valid").alias("valid"),
-        F.count_if(~F.col("valid")).alias("obstacle"),
-        F.bit_or(F.when(F.col("valid"), F.col("mask")).otherwise(F.lit(0).cast("long"))).alias("seen"),
+        F.count_if("solid").alias("obstacle"),
+        F.count_if("out").alias("filtered"),
+        word("mask").alias("seen"),
+        word("mask_high").alias("seen_high"),
     )
 
 
+def merge_columns(*parts: DataFrame) -> DataFrame:
+    """Column statistics of disjoint sets of cells as those of all together."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    sums, words = ("total", "blind", "valid", "obstacle", "filtered"), ("seen", "seen_high")
+    return every.groupBy("scene", "slab", "a", "b").agg(*(F.sum(c).alias(c) for c in sums), F.max("most").alias("most"), F.min("least").alias("least"), *(F.bit_or(c).alias(c) for c in words))
+
+
 def section_cells(columns: DataFrame, cameras: int) -> DataFrame:
     """The heat map of a section: mean share of cameras, blind share, and black cells without valid voxels."""
     mean = F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("valid") * cameras), F.lit(0.0))
     blind = F.coalesce(F.try_divide(F.col("blind").cast("double"), F.col("valid")), F.lit(0.0))
-    return columns.select("slab", "a", "b", F.greatest(F.lit(0.0), F.least(mean, F.lit(1.0))).alias("mean"), blind.alias("blind_share"), "valid", "obstacle", ((F.col("obstacle") > 0) & (F.col("valid") == 0)).cast("int").alias("black"))
+    return columns.select("scene", "slab", "a", "b", F.greatest(F.lit(0.0), F.least(mean, F.lit(1.0))).alias("mean"), blind.alias("blind_share"), "valid", "obstacle", ((F.col("obstacle") > 0) & (F.col("valid") == 0)).cast("int").alias("black"))
 
 
 def section_stats(cells: DataFrame) -> DataFrame:
     coloured = F.col("valid") > 0
-    return cells.groupBy("slab").agg(
+    return cells.groupBy("scene", "slab").agg(
         F.count("*").alias("total_cells"),
         F.count_if(coloured).alias("valid_cells"),
         F.coalesce(F.avg(F.when(coloured, F.col("mean"))), F.lit(0.0)).alias("coverage"),
@@ -99,45 +136,58 @@ def section_stats(cells: DataFrame) -> DataFrame:
 
 def cubes(cells: DataFrame, levels: int) -> DataFrame:
     """Cells of equal camera counts joined to cubes, bottom up: (i, j, k, edge, cameras) of every cube that is left whole."""
-    rows = cells.select("i", "j", "k", F.lit(1).cast("long").alias("edge"), "cameras")
+    rows = cells.select("scene", "i", "j", "k", F.lit(1).cast("long").alias("edge"), "cameras")
     done = None
     for _ in range(levels):
         up = [F.floor(F.col(c) / 2).alias(f"u{c}") for c in "ijk"]
-        w = Window.partitionBy("ui", "uj", "uk")
+        w = Window.partitionBy("scene", "ui", "uj", "uk")
         marked = rows.select("*", *up).withColumn("n", F.count("*").over(w)).withColumn("lo", F.min("cameras").over(w)).withColumn("hi", F.max("cameras").over(w))
         whole = (F.col("n") == 8) & (F.col("lo") == F.col("hi"))
-        kept = marked.where(~whole).select("i", "j", "k", "edge", "cameras")
+        kept = marked.where(~whole).select("scene", "i", "j", "k", "edge", "cameras")
         done = kept if done is None else done.union(kept)
-        rows = marked.where(whole).groupBy(F.col("ui").alias("i"), F.col("uj").alias("j"), F.col("uk").alias("k")).agg((F.max("edge") * 2).alias("edge"), F.max("cameras").alias("cameras"))
+        rows = marked.where(whole).groupBy("scene", F.col("ui").alias("i"), F.col("uj").alias("j"), F.col("uk").alias("k")).agg((F.max("edge") * 2).alias("edge"), F.max("cameras").alias("cameras"))
     return rows if done is None else done.union(rows)
 
 
 def probes(space, masked: DataFrame, asked: DataFrame) -> DataFrame:
-    """probe, hit (0 outside, 1 valid, 2 not valid) and the mask at each probe."""
+    """scene, probe, hit (0 outside, 1 valid, 2 not valid), both mask words and the number of cameras at each probe: an equi-join on cells."""
     cells = [space.cell(a, F.col(c).cast("float").cast("double")).alias(n) for a, (c, n) in enumerate((("qx", "i"), ("qy", "j"), ("qz", "k")))]
-    rows = declared(asked.select("probe", *cells), MOST_PROBES, "probes")
     inside = F.lit(True)
     for c, n in zip("ijk", space.dims):
         inside = inside & F.col(c).between(0, n - 1)
-    found = rows.join(masked.select("i", "j", "k", "mask", "cameras"), ["i", "j", "k"], "left")
-    return found.select("probe", F.when(~inside, 0).when(F.col("cameras").isNull(), 2).otherwise(1).alias("hit"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    found = asked.select("scene", "probe", *cells).join(masked.select("scene", "i", "j", "k", "mask", "mask_high", "cameras"), ["scene", "i", "j", "k"], "left")
+    zero = F.lit(0).cast("long")
+    hit = F.when(~inside, 0).when(F.col("cameras").isNull(), 2).otherwise(1)
+    return found.select("scene", "probe", hit.alias("hit"), F.coalesce("mask", zero).alias("mask"), F.coalesce("mask_high", zero).alias("mask_high"), F.coalesce("cameras", zero).alias("cameras"))
+
+
+def bits(mask: str = "mask", mask_high: str = "mask_high") -> Column:
+    """The camera indices of both mask words, in order."""
+    word = lambda c, base: F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.call_function("getbit", F.col(c), b) == 1, b + base)), lambda b: b.isNotNull())
+    return F.concat(word(mask, 0), word(mask_high, 64))
+
+
+def probe_results(found: DataFrame) -> DataFrame:
+    """scene, probe, its status and the cameras that see it, as text in order; no-data outside and in geometry."""
+    status = F.when(F.col("hit") == 1, F.when(F.col("cameras") > 0, F.lit("seen")).otherwise(F.lit("blind"))).otherwise(F.lit("no-data"))
+    return found.select("scene", "probe", status.alias("status"), "cameras", F.array_join(bits().cast("array<string>"), ",").alias("camera_list"))
 
 
 def image_histogram(masked: DataFrame, seen: DataFrame, cameras: DataFrame, bins: int, weights: list[int]) -> DataFrame:
     """Weight that falls on each bin of each camera's image (y from the top); the weight of a voxel goes by how many cameras see it."""
     from .visibility import in_view, prepared
 
-    rows = seen.join(masked.select("point", "x", "y", "z", F.col("cameras").alias("n")), "point").join(F.broadcast(prepared(cameras)), "cam_idx")
+    rows = seen.join(masked.select("point", "x", "y", "z", F.col("cameras").alias("n")), "point").join(prepared(cameras), ["scene", "cam_idx"])
     x, y, depth = in_view(vec("x", "y", "z"))
     place = lambda c, t: F.least(F.greatest(F.floor((c / (t * depth) + 1) / 2 * bins), F.lit(0)), F.lit(bins - 1)).cast("long")
     table = F.array(*(F.lit(w).cast("long") for w in weights))
-    rows = rows.select("cam_idx", place(x, F.col("tan_h")).alias("bin_x"), place(-y, F.col("tan_v")).alias("bin_y"), F.get(table, F.least(F.col("n"), F.lit(len(weights) - 1)).cast("int")).alias("w"))
-    return rows.where("w > 0").groupBy("cam_idx", "bin_x", "bin_y").agg(F.sum("w").alias("weight"))
+    rows = rows.select("scene", "cam_idx", place(x, F.col("tan_h")).alias("bin_x"), place(-y, F.col("tan_v")).alias("bin_y"), F.get(table, F.least(F.col("n"), F.lit(len(weights) - 1)).cast("int")).alias("w"))
+    return rows.where("w > 0").groupBy("scene", "cam_idx", "bin_x", "bin_y").agg(F.sum("w").alias("weight"))
 
 
-def zone_summary(masked: DataFrame, volumes: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_summary(space, masked: DataFrame, volumes: DataFrame, zones: DataFrame) -> DataFrame:
     """Every zone with its voxels, covered share and blind voxels; a zone is the union of its volumes."""
-    stats = group_stats(masked, volumes.withColumnRenamed("zone_id", "group_id")).withColumnRenamed("group_id", "zone_id")
+    stats = group_stats(space, masked, volumes.withColumnRenamed("zone_id", "group_id")).withColumnRenamed("group_id", "zone_id")
     rows = zones.select("zone_id").join(stats, "zone_id", "left").fillna(0)
     rate = F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("valid")), F.lit(0.0))
     return rows.select("zone_id", "valid", rate.alias("rate"), "blind")

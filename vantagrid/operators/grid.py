@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import triangle_meets_cell, vec
+from ..functions.geometry import dot, separating_axes, vec
 from ..sources.tables import checkpointed
 
 CELLS = ("i", "j", "k")
@@ -52,79 +52,163 @@ class Workspace:
     def cell(self, axis: int, place: Column) -> Column:
         return F.floor((place - self.low[axis]) / self.voxel).cast("long")
 
-    def voxels(self, spark: SparkSession) -> DataFrame:
-        """voxel, i, j, k, chunk_id and the centre x, y, z of every voxel; x runs fastest."""
+    @property
+    def size(self) -> int:
+        return math.prod(self.dims)
+
+    @property
+    def chunk_total(self) -> int:
+        return math.prod(self.chunk_counts)
+
+    def voxels(self, spark: SparkSession, scenes: int = 1) -> DataFrame:
+        """scene, point, i, j, k, chunk_id and the centre x, y, z of every voxel of ``scenes`` equal workspaces.
+
+        x runs fastest; points and chunks are numbered through all scenes.
+        """
         nx, ny, nz = self.dims
-        rows = spark.range(nx * ny * nz).withColumnRenamed("id", "voxel")
-        rows = rows.withColumn("i", F.col("voxel") % nx).withColumn("j", F.floor(F.col("voxel") / nx) % ny).withColumn("k", F.floor(F.col("voxel") / (nx * ny)))
-        rows = rows.withColumn("chunk_id", self.chunk_of(F.col("i"), F.col("k")))
+        rows = spark.range(scenes * self.size).withColumnRenamed("id", "point")
+        rows = rows.withColumn("scene", F.floor(F.col("point") / self.size)).withColumn("_v", F.col("point") % self.size)
+        rows = rows.withColumn("i", F.col("_v") % nx).withColumn("j", F.floor(F.col("_v") / nx) % ny).withColumn("k", F.floor(F.col("_v") / (nx * ny))).drop("_v")
+        rows = rows.withColumn("chunk_id", F.col("scene") * self.chunk_total + self.chunk_of(F.col("i"), F.col("k")))
         return rows.select("*", *(self.centre(a, F.col(c)).alias(n) for a, (c, n) in enumerate(zip(CELLS, "xyz"))))
 
-    def chunks(self, spark: SparkSession) -> DataFrame:
-        """chunk_id, its place and its size; chunks at the far edges may be smaller."""
+    def chunks(self, spark: SparkSession, scenes: int = 1) -> DataFrame:
+        """chunk_id, its scene and place and size; chunks at the far edges may be smaller."""
         cx, _ = self.chunk_counts
         n, (nx, ny, nz) = self.chunk_voxels, self.dims
-        rows = spark.range(cx * self.chunk_counts[1]).withColumnRenamed("id", "chunk_id")
-        rows = rows.withColumn("cx", F.col("chunk_id") % cx).withColumn("cz", F.floor(F.col("chunk_id") / cx))
+        rows = spark.range(scenes * self.chunk_total).withColumnRenamed("id", "chunk_id").withColumn("scene", F.floor(F.col("chunk_id") / self.chunk_total))
+        rows = rows.withColumn("cx", F.col("chunk_id") % self.chunk_total % cx).withColumn("cz", F.floor(F.col("chunk_id") % self.chunk_total / cx))
         size = lambda c, most: F.least(F.lit(n), most - F.col(c) * n).cast("long")
         return rows.select("*", size("cx", nx).alias("size_x"), F.lit(ny).cast("long").alias("size_y"), size("cz", nz).alias("size_z"))
 
+    def chunk_span(self, axis: int, low: Column, high: Column) -> Column:
+        """The chunk indices along x (0) or z (2) that [low, high] reaches; what lies outside goes to the edge."""
+        edge, most = self.chunk_voxels * self.voxel, self.chunk_counts[axis // 2] - 1
+        at = lambda c: F.least(F.greatest(F.floor((c - self.low[axis]) / edge), F.lit(0)), F.lit(most)).cast("long")
+        return F.sequence(at(low), at(high))
+
+    def to_chunks(self, rows: DataFrame, low: tuple[Column, Column], high: tuple[Column, Column]) -> DataFrame:
+        """``rows`` (with a scene) once for every chunk that their extent in x and z reaches."""
+        rows = rows.withColumn("_cx", F.explode(self.chunk_span(0, low[0], high[0]))).withColumn("_cz", F.explode(self.chunk_span(2, low[1], high[1])))
+        return rows.withColumn("chunk_id", F.col("scene") * self.chunk_total + F.col("_cx") + self.chunk_counts[0] * F.col("_cz")).drop("_cx", "_cz")
+
 
 def advise_chunk(dims: tuple[int, int, int], voxel: float, cameras: int, target: int = 2_000_000, most: int = 4_000_000, readback: int = 256 << 20) -> float:
     """A chunk length for about ``target`` voxels in each."""
-    bytes_per_voxel = 4 * max(1, -(-cameras // 32)) + 0.125
+    bytes_per_voxel = 4 * max(1, -(-cameras // 32)) + 1.125
     n = math.floor(math.sqrt(min(target, most, readback / bytes_per_voxel) / dims[1]))
     return max(1, min(n, max(dims[0], dims[2]))) * voxel
 
 
 def triangle_chunks(space: Workspace, triangles: DataFrame) -> DataFrame:
     """tri_id and chunk_id for every chunk that a triangle's extent reaches; those outside go to the edge."""
-    spans = []
-    for axis, names, n in ((0, ("ax", "bx", "cx"), space.chunk_counts[0]), (2, ("az", "bz", "cz"), space.chunk_counts[1])):
-        edge = space.chunk_voxels * space.voxel
-        at = lambda f: F.least(F.greatest(F.floor((f(*names) - space.low[axis]) / edge), F.lit(0)), F.lit(n - 1))  # noqa: B023, E731
-        spans.append(F.sequence(at(F.least), at(F.greatest)))
-    rows = triangles.withColumn("_cx", F.explode(spans[0])).withColumn("_cz", F.explode(spans[1]))
-    return rows.select("tri_id", (F.col("_cx") + space.chunk_counts[0] * F.col("_cz")).cast("long").alias("chunk_id"))
+    span = lambda f: (f("ax", "bx", "cx"), f("az", "bz", "cz"))
+    return space.to_chunks(triangles, span(F.least), span(F.greatest)).select("tri_id", "chunk_id")
 
 
 def mixed_cells(space: Workspace, triangles: DataFrame) -> DataFrame:
-    """i, j, k of the voxels that some triangle meets: candidate cells from its extent, then the exact test."""
-    rows = triangles
-    for axis, (c, n) in enumerate(zip(CELLS, "xyz")):
+    """scene, i, j, k of the voxels that some triangle of the scene meets; touching counts.
+
+    A triangle is dealt to the cells of its extent, and each is held against separating axes that are
+    computed once for the triangle.
+    """
+    half = space.voxel / 2
+    corners = [vec(*(f"{n}{x}" for x in "xyz")) for n in "abc"]
+    edges = {f"_{m}{n}{x}": F.col(f"{n}{x}") - F.col(f"{m}{x}") for m, n in ("ab", "bc", "ca") for x in "xyz"}
+    triangles = triangles.withColumns(edges)
+    axes = separating_axes(*corners, [vec(*(f"_{m}{n}{x}" for x in "xyz")) for m, n in ("ab", "bc", "ca")], half)
+    spans = []
+    for axis, n in enumerate("xyz"):
         names = (f"a{n}", f"b{n}", f"c{n}")
-        last = space.dims[axis] - 1
-        low = F.floor((F.least(*names) - space.low[axis]) / space.voxel)
-        high = F.floor((F.greatest(*names) - space.low[axis]) / space.voxel)
-        inside = (high >= 0) & (low <= last)
-        rows = rows.where(inside).withColumn(c, F.explode(F.sequence(F.greatest(low - 1, F.lit(0)).cast("long"), F.least(high, F.lit(last)).cast("long"))))
+        # Cells whose closed extent meets that of the triangle.
+        first = F.ceil((F.least(*names) - space.low[axis]) / space.voxel) - 1
+        last = F.floor((F.greatest(*names) - space.low[axis]) / space.voxel)
+        spans += [F.greatest(first, F.lit(0)).cast("long").alias(f"_first_{n}"), F.least(last, F.lit(space.dims[axis] - 1)).cast("long").alias(f"_last_{n}")]
+    rows = triangles.select("scene", axes.alias("_axes"), *spans).where(" AND ".join(f"_first_{n} <= _last_{n}" for n in "xyz"))
+    for c, n in zip(CELLS, "xyz"):
+        rows = rows.withColumn(c, F.explode(F.sequence(f"_first_{n}", f"_last_{n}")))
     centre = tuple(space.centre(a, F.col(c)) for a, c in enumerate(CELLS))
-    meets = triangle_meets_cell(vec("ax", "ay", "az"), vec("bx", "by", "bz"), vec("cx", "cy", "cz"), centre, space.voxel / 2)
-    return rows.where(meets).select(*CELLS).distinct()
+    meets = F.forall("_axes", lambda x: dot((x["x"], x["y"], x["z"]), centre).between(x["low"], x["high"]))
+    return rows.where(meets).select("scene", *CELLS).distinct()
 
 
 def solid_cells(space: Workspace, mixed: DataFrame) -> DataFrame:
-    """i, j, k of closed-in voxels: empty ones that no path of face neighbours joins to the border.
+    """scene, i, j, k of closed-in voxels: empty ones that no path of face neighbours joins to the border.
 
-    Empty voxels are first joined to runs along x, so that a step of the fill moves by
-    whole runs; each step is written to the shared folder.
+    Empty voxels are first joined to runs along x, and runs that stand above or beside each other in the
+    same scene are linked; a lone line without walls is open at both ends and needs no link, so only lines with walls and their
+    neighbours take part.  Each step of the fill is written to the shared folder.
     """
-    spark = mixed.sparkSession
     nx, ny, nz = space.dims
-    lines = mixed.groupBy("j", "k").agg(F.sort_array(F.collect_set("i")).alias("walls"))  # at most nx each
-    every = spark.range(ny * nz).select((F.col("id") % ny).alias("j"), F.floor(F.col("id") / ny).alias("k"))
-    walls = F.coalesce("walls", F.array().cast("array<bigint>"))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(walls, lambda w: w + 1))
-    ends = F.concat(F.transform(walls, lambda w: w - 1), F.array(F.lit(nx - 1).cast("long")))
-    spans = every.join(lines, ["j", "k"], "left").select("j", "k", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("s"))
-    spans = checkpointed(spans.select("j", "k", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("a <= b"))
+    lines = mixed.groupBy("scene", "j", "k").agg(F.sort_array(F.collect_set("i")).alias("walls"))  # at most nx each
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("walls", lambda w: w + 1))
+    ends = F.concat(F.transform("walls", lambda w: w - 1), F.array(F.lit(nx - 1).cast("long")))
+    spans = lines.select("scene", "j", "k", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("s"))
+    spans = checkpointed(spans.select("scene", "j", "k", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("a <= b"))
+    aside = F.explode(F.array(*(F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
+    beside = spans.withColumn("p", aside).select("scene", "p.j", "p.k", "j", "k", "a", "b").toDF("scene", "j", "k", "oj", "ok", "a", "b")
+    # A run next to a line without walls reaches the border through it.
+    bare = beside.join(lines.select("scene", "j", "k"), ["scene", "j", "k"], "left_anti").select("scene", F.col("oj").alias("j"), F.col("ok").alias("k"), "a", "b")
     border = (F.col("a") == 0) | (F.col("b") == nx - 1) | F.col("j").isin(0, ny - 1) | F.col("k").isin(0, nz - 1)
-    open_, fresh = spans.where(border), spans.where(border)
+    keys = ["scene", "j", "k", "a", "b"]
+    inside = ((F.col("j") >= 0) & (F.col("j") < ny)) & ((F.col("k") >= 0) & (F.col("k") < nz))
+    open_ = checkpointed(spans.where(border).union(bare.where(inside)).distinct())
+    fresh = open_
     while not fresh.isEmpty():
-        near = fresh.select(F.explode(F.array(*(F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in ((1, 0), (-1, 0), (0, 1), (0, -1))))).alias("p"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-        near = near.select("p.j", "p.k", "fa", "fb")
-        reached = spans.join(near, ["j", "k"]).where("a <= fb AND fa <= b").select("j", "k", "a", "b").distinct()
-        fresh = checkpointed(reached.join(open_, ["j", "k", "a", "b"], "left_anti"))
+        near = fresh.withColumn("p", aside).select("scene", "p.j", "p.k", F.col("a").alias("fa"), F.col("b").alias("fb"))
+        reached = spans.join(near, ["scene", "j", "k"]).where("a <= fb AND fa <= b").select(*keys).distinct()
+        fresh = checkpointed(reached.join(open_, keys, "left_anti"))
         open_ = checkpointed(open_.union(fresh))
-    closed = spans.join(open_, ["j", "k", "a", "b"], "left_anti")
-    return closed.select(F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
+    closed = spans.join(open_, keys, "left_anti")
+    return closed.select("scene", F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
+
+
+def occupancy(space: Workspace, triangles: DataFrame, solid: bool) -> DataFrame:
+    """scene, i, j, k and kind (1 where geometry lies, 2 closed in) of every voxel that isn't empty."""
+    mixed = checkpointed(mixed_cells(space, triangles))
+    kinds = mixed.withColumn("kind", F.lit(1))
+    return kinds.unionByName(solid_cells(space, mixed).withColumn("kind", F.lit(2))) if solid else kinds
+
+
+def region_bounds(regions: list[dict]) -> Column:
+    """Whether (x, y, z) lies in one of the sampling regions, bounds inclusive; no region is all of space.
+
+    A region is {"kind": "full"}, {"kind": "heightBand", "y": (low, high)} or {"kind": "box", "low": (x, y, z), "high": (x, y, z)}.
+    """
+    inside = F.lit(not regions)
+    for r in regions:
+        if r["kind"] == "full":
+            inside = F.lit(True)
+        elif r["kind"] == "heightBand":
+            inside = inside | F.col("y").between(*r["y"])
+        elif r["kind"] == "box":
+            within = F.lit(True)
+            for c, low, high in zip("xyz", r["low"], r["high"]):
+                within = within & F.col(c).between(low, high)
+            inside = inside | within
+        else:
+            raise ValueError(f"INVALID_STATE: sampling region {r['kind']}")
+    return inside
+
+
+def validity(voxels: DataFrame, occupied: DataFrame, regions: list[dict] | None = None, stride: int = 1) -> DataFrame:
+    """Empty voxels within the sampling regions, every ``stride``-th along each axis by its index in the whole grid."""
+    if stride not in (1, 2, 4):
+        raise ValueError("INVALID_STATE: stride")
+    rows = voxels.where(region_bounds(regions or []))
+    for c in CELLS if stride > 1 else ():
+        rows = rows.where(F.col(c) % stride == 0)
+    return rows.join(occupied.select("scene", *CELLS), ["scene", *CELLS], "left_anti")
+
+
+def cells_at(space: Workspace, asked: DataFrame, occupied: DataFrame) -> DataFrame:
+    """``asked`` (scene, i, j, k) with the kind of each cell; 0 for empty ones and outside of the grid."""
+    return asked.join(occupied.select("scene", *CELLS, "kind"), ["scene", *CELLS], "left").fillna(0, ["kind"])
+
+
+def effective_cameras(space: Workspace, cameras: DataFrame, occupied: DataFrame) -> DataFrame:
+    """Cameras, those in closed-in voxels switched off and marked with a warning."""
+    at = [space.cell(a, F.col(c)).alias(n) for a, (c, n) in enumerate(zip(("px", "py", "pz"), CELLS))]
+    kinds = cells_at(space, cameras.select("*", *at), occupied)
+    inside = F.col("enabled") & (F.col("kind") == 2)
+    return kinds.withColumn("warning", F.when(inside, F.lit("CAMERA_INSIDE_GEOMETRY"))).withColumn("enabled", F.col("enabled") & ~inside).drop("kind", *CELLS)

@@ -1,35 +1,40 @@
 """Which cameras see which points: frustum joins and occlusion as an anti-join.
 
-Cameras are few (128 at most), so the frustum join is a broadcast join.  A
-small mesh is broadcast too and the anti-join tests each ray against it; a
-mesh beyond the broadcast limit is met through cells of the xz plane that rays and
-triangles share, an equi-join that grows with what lies near the rays.
+Every relation carries its ``scene``, and all joins are equi-joins that grow with what lies near each other:
+
+* Points meet cameras through cells of the ground plane: a camera is dealt to the cells of its frustum's extent.
+* Rays meet triangles through tiles of the camera's image.  All rays end in a camera, so a ray lies in one tile, and a
+  triangle in the tiles that its projection reaches; whatever shares no tile can't hide the point.
+
+Nothing is broadcast by hand; small sides are broadcast by Spark's own threshold.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cross, dot, length, ray_hit, rotate, scale, sub, vec
-from ..sources.tables import fits_broadcast
+from ..functions.geometry import add, cross, dot, length, rotate, scale, sub, vec
 
 NEAREST = 1e-3
 MOST_CAMERAS = 128
-TRIANGLE_BYTES = 96
+#: Width of the cells where points and cameras meet.
+CELL = 2.0
+#: Tiles of a camera's image, along each side.
+TILES = 16
 
 
 def prepared(cameras: DataFrame) -> DataFrame:
-    """Cameras with their axes (right, up, ahead along -z) and the half-openings of their frustum; at most 128."""
-    if cameras.count() > MOST_CAMERAS:
-        raise ValueError("TOO_MANY_CAMERAS")
+    """Cameras with their axes (right, up, ahead along -z) and the half-openings of their frustum.
+
+    A camera's index is its bit in masks, so 128 is a scene's limit; a larger index fails.
+    """
     up = F.tan(F.radians("fov") / 2)
     turn = [F.col(c) for c in ("qx", "qy", "qz", "qw")]
     axes = {"right": (1.0, 0.0, 0.0), "up": (0.0, 1.0, 0.0), "ahead": (0.0, 0.0, -1.0)}
     named = [c.alias(f"{name}_{a}") for name, unit in axes.items() for c, a in zip(rotate(turn, tuple(map(F.lit, unit))), "xyz")]
-    return cameras.select("*", up.cast("float").cast("double").alias("tan_v"), (up * F.col("aspect")).cast("float").cast("double").alias("tan_h"), *named)
+    index = F.when(F.col("cam_idx").between(0, MOST_CAMERAS - 1), F.col("cam_idx")).otherwise(F.raise_error(F.lit("TOO_MANY_CAMERAS")).cast("int"))
+    return cameras.withColumn("cam_idx", index).select("*", up.cast("float").cast("double").alias("tan_v"), (up * F.col("aspect")).cast("float").cast("double").alias("tan_h"), *named)
 
 
 def in_view(p: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
@@ -45,24 +50,72 @@ def in_frustum(p: tuple[Column, Column, Column]) -> Column:
     return inside & (length(sub(p, vec("px", "py", "pz"))) <= F.col("far"))
 
 
+def frustum_extent(axis: str) -> tuple[Column, Column]:
+    """Least and largest coordinate of a prepared camera's frustum along x, y or z."""
+    eye, far = F.col(f"p{axis}"), F.col("far")
+    ahead, right, up = (F.col(f"{n}_{axis}") for n in ("ahead", "right", "up"))
+    corners = [eye + far * (ahead + r * F.col("tan_h") * right + u * F.col("tan_v") * up) for r in (-1, 1) for u in (-1, 1)]
+    return F.greatest(eye - far, F.least(eye, *corners)), F.least(eye + far, F.greatest(eye, *corners))
+
+
+def _cell(c: Column) -> Column:
+    return F.floor(c / CELL).cast("long")
+
+
+def camera_cells(cameras: DataFrame) -> DataFrame:
+    """Enabled, prepared cameras once for each cell of the ground plane that their frustum's extent reaches."""
+    rows = prepared(cameras).where("enabled")
+    for axis in "xz":
+        low, high = frustum_extent(axis)
+        rows = rows.withColumn(f"first_{axis}", _cell(low - 1e-9)).withColumn(f"cell_{axis}", F.explode(F.sequence(_cell(low - 1e-9), _cell(high + 1e-9))))
+    return rows
+
+
 def candidates(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Pairs of a point (``point``, x, y, z) and an enabled camera whose frustum holds it."""
-    used = F.broadcast(prepared(cameras).where("enabled"))  # at most 128 rows
-    return points.join(used, in_frustum(vec("x", "y", "z")))
+    """Pairs of a point (scene, ``point``, x, y, z) and an enabled camera of its scene whose frustum holds it."""
+    placed = points.withColumn("cell_x", _cell(F.col("x"))).withColumn("cell_z", _cell(F.col("z")))
+    pairs = placed.join(camera_cells(cameras), ["scene", "cell_x", "cell_z"])
+    return pairs.where(in_frustum(vec("x", "y", "z"))).drop("cell_x", "cell_z", "first_x", "first_z")
+
+
+def _tile(c: Column) -> Column:
+    """The tile of an image coordinate in -1 to 1."""
+    return F.least(F.greatest(F.floor((c + 1) / 2 * TILES), F.lit(0)), F.lit(TILES - 1)).cast("int")
 
 
 def blockers(cameras: DataFrame, triangles: DataFrame) -> DataFrame:
-    """What of the ray test depends on camera and triangle alone: three vectors and a number for each pair.
+    """For each tile of a camera's image the triangles that may hide something there.
 
-    All rays end in a camera, so seen from there a test is three dot products with the
-    ray's direction.
+    What of the ray test depends on camera and triangle alone, three vectors and a number, is computed once for each pair:
+    seen from the camera a test is three dot products with the ray's direction.
     """
-    a, b, c = vec("ax", "ay", "az"), vec("bx", "by", "bz"), vec("cx", "cy", "cz")
+    corners = [vec(*(f"{n}{a}" for a in "xyz")) for n in "abc"]
+    a, b, c = corners
+    dealt = triangles
+    for axis in "xz":
+        names = [f"{n}{axis}" for n in "abc"]
+        dealt = dealt.withColumn(f"from_{axis}", _cell(F.least(*names) - 1e-9))
+        dealt = dealt.withColumn(f"cell_{axis}", F.explode(F.sequence(F.col(f"from_{axis}"), _cell(F.greatest(*names) + 1e-9))))
+    pairs = dealt.join(camera_cells(cameras), ["scene", "cell_x", "cell_z"])
+    # A pair may share several cells: the least of them counts.
+    pairs = pairs.where(" AND ".join(f"cell_{axis} = greatest(from_{axis}, first_{axis})" for axis in "xz"))
+    seen = [in_view(p) for p in corners]
+    pairs = pairs.select("*", *(v.alias(f"_{name}{n}") for n, view in enumerate(seen) for name, v in zip("uvd", view)))
+    depth = [F.col(f"_d{n}") for n in range(3)]
+    pairs = pairs.where((F.greatest(*depth) > 0) & (F.least(*depth) <= F.col("far") + 1e-9))
+    # A triangle that reaches behind the camera has no bounded projection: it counts for the whole image.
+    whole = F.least(*depth) < 1e-3
+    for name, tan in (("u", "tan_h"), ("v", "tan_v")):
+        at = [F.col(f"_{name}{n}") / (F.col(tan) * F.greatest(d, F.lit(1e-3))) for n, d in enumerate(depth)]
+        low, high = F.least(*at) - 1e-9, F.greatest(*at) + 1e-9
+        pairs = pairs.withColumn(f"_low_{name}", F.when(whole, -1.0).otherwise(low)).withColumn(f"_high_{name}", F.when(whole, 1.0).otherwise(high))
+    pairs = pairs.where("_high_u >= -1 AND _low_u <= 1 AND _high_v >= -1 AND _low_v <= 1")
+    for name in "uv":
+        pairs = pairs.withColumn(f"tile_{name}", F.explode(F.sequence(_tile(F.col(f"_low_{name}")), _tile(F.col(f"_high_{name}")))))
     e1, e2, s = sub(b, a), sub(c, a), sub(vec("px", "py", "pz"), a)
     q = cross(s, e1)
     vectors = {"n": cross(e2, e1), "u": cross(e2, s), "v": q}
-    pairs = triangles.join(F.broadcast(cameras.where("enabled").select("cam_idx", "px", "py", "pz")))  # at most 128 rows
-    return pairs.select("cam_idx", *(x.alias(f"{name}{axis}") for name, v in vectors.items() for x, axis in zip(v, "xyz")), dot(e2, q).alias("tn"))
+    return pairs.select("scene", "cam_idx", "tile_u", "tile_v", *(x.alias(f"{name}{axis}") for name, v in vectors.items() for x, axis in zip(v, "xyz")), dot(e2, q).alias("tn"))
 
 
 def _blocks() -> Column:
@@ -76,48 +129,58 @@ def _blocks() -> Column:
     return (size >= 1e-7) & inside & (t > near) & (t < F.col("dist") * size - near)
 
 
-def _blocked() -> Column:
-    a, b, c = vec("ax", "ay", "az"), vec("bx", "by", "bz"), vec("cx", "cy", "cz")
-    d = F.col("dist")
-    way = sub(vec("px", "py", "pz"), vec("x", "y", "z"))
-    return ray_hit(vec("x", "y", "z"), scale(way, 1 / F.greatest(d, F.lit(1e-12))), a, b, c, F.lit(NEAREST), d - NEAREST)
+def sees(points: DataFrame, cameras: DataFrame, triangles: DataFrame, *keep: str) -> DataFrame:
+    """scene, ``point``, ``cam_idx`` (and the columns ``keep`` of the points) of every free line of sight."""
+    pairs = candidates(points, cameras)
+    u, v, depth = in_view(vec("x", "y", "z"))
+    pairs = pairs.withColumn("dist", length(sub(vec("px", "py", "pz"), vec("x", "y", "z"))))
+    away = F.greatest("dist", F.lit(1e-12))
+    rays = pairs.select(
+        "scene", "point", "cam_idx", *keep, "dist", *(((F.col(c) - F.col(f"p{c}")) / away).alias(f"d{c}") for c in "xyz"),
+        _tile(u / (F.col("tan_h") * depth)).alias("tile_u"), _tile(v / (F.col("tan_v") * depth)).alias("tile_v"),
+    )
+    keys = ["scene", "cam_idx", "tile_u", "tile_v"]
+    table = blockers(cameras, triangles)
+    table = table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    blocked = same & (F.col("dist") >= 2 * NEAREST) & _blocks()
+    return rays.join(table, blocked, "left_anti").select("scene", "point", "cam_idx", *keep)
+
+
+def sees_by_samples(points: DataFrame, cameras: DataFrame, triangles: DataFrame, voxel: float, threshold: int = 1) -> DataFrame:
+    """scene, point, cam_idx and how many of eight places within the voxel the camera sees, where it is ``threshold`` at least."""
+    signs = F.explode(F.array(*(F.struct(*(F.lit(0.35 * voxel * s).alias(n) for s, n in zip((a, b, c), ("ox", "oy", "oz")))) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)))).alias("o")
+    moved = points.select("scene", "point", "x", "y", "z", signs).select("scene", "point", *((F.col(c) + F.col(f"o.o{c}")).alias(c) for c in "xyz"))
+    return sees(moved, cameras, triangles).groupBy("scene", "point", "cam_idx").agg(F.count("*").alias("samples")).where(F.col("samples") >= threshold)
+
 
+def subset(seen: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of a visibility relation what the chosen cameras (scene, cam_idx) see; every statistic may be taken of it."""
+    return seen.join(chosen.select("scene", "cam_idx"), ["scene", "cam_idx"], "left_semi")
 
-def sees(points: DataFrame, cameras: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
-    """``point`` and ``cam_idx`` of every free line of sight.
 
-    With ``cell``, or where the mesh is too large to broadcast, rays meet
-    triangles through cells of that width (1 by default).
+def chunk_cameras(space, chunks: DataFrame, cameras: DataFrame) -> DataFrame:
+    """chunk_id and cam_idx where a frustum may reach into a chunk; no pair that matters is left out.
+
+    A frustum's side leaves a chunk out if all eight corners lie beyond it.
     """
-    pairs = candidates(points, cameras).withColumn("dist", length(sub(vec("px", "py", "pz"), vec("x", "y", "z"))))
-    if cell is None and fits_broadcast(triangles, TRIANGLE_BYTES * MOST_CAMERAS):
-        ray = pairs.select("point", "cam_idx", "dist", *((F.col(c) - F.col(f"p{c}")) / F.greatest("dist", F.lit(1e-12)) for c in "xyz")).toDF("point", "cam_idx", "dist", "dx", "dy", "dz")
-        table = blockers(cameras, triangles).withColumnRenamed("cam_idx", "_cam")
-        blocked = (F.col("cam_idx") == F.col("_cam")) & (F.col("dist") >= 2 * NEAREST) & _blocks()
-        return ray.join(F.broadcast(table), blocked, "left_anti").select("point", "cam_idx")
-    width = cell or 1.0
-    span = lambda low, high: F.sequence(F.floor(low / width), F.floor(high / width))
-    cut = triangles.withColumn("cell_x", F.explode(span(F.least("ax", "bx", "cx"), F.greatest("ax", "bx", "cx"))))
-    cut = cut.withColumn("cell_z", F.explode(span(F.least("az", "bz", "cz"), F.greatest("az", "bz", "cz"))))
-    # The ray's own stretch in each column of cells, not its whole extent.
-    ray = pairs.withColumn("cell_x", F.explode(span(F.least("x", "px"), F.greatest("x", "px"))))
-    run = F.col("px") - F.col("x")
-    at = lambda edge: F.when(F.abs(run) < 1e-12, F.lit(None)).otherwise(F.least(F.greatest((edge - F.col("x")) / run, F.lit(0.0)), F.lit(1.0)))
-    z_at = lambda t: F.col("z") + t * (F.col("pz") - F.col("z"))
-    one, two = z_at(F.coalesce(at(F.col("cell_x") * width), F.lit(0.0))), z_at(F.coalesce(at((F.col("cell_x") + 1) * width), F.lit(1.0)))
-    ray = ray.withColumn("cell_z", F.explode(span(F.least(one, two) - 1e-9, F.greatest(one, two) + 1e-9)))
-    keys = ["point", "x", "y", "z", "cam_idx"]
-    hit = ray.join(cut, ["cell_x", "cell_z"]).where((F.col("dist") >= 2 * NEAREST) & _blocked()).select(*keys).distinct()
-    return pairs.select(*keys).join(hit, keys, "left_anti").select("point", "cam_idx")
-
-
-def sees_by_samples(points: DataFrame, cameras: DataFrame, triangles: DataFrame, voxel: float) -> DataFrame:
-    """point, cam_idx and how many of eight places within the voxel the camera sees."""
-    signs = F.explode(F.array(*(F.struct(*(F.lit(0.35 * voxel * s).alias(n) for s, n in zip((a, b, c), ("ox", "oy", "oz")))) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)))).alias("o")
-    moved = points.select("point", "x", "y", "z", signs).select(
-        F.struct("point", "o").alias("point"), (F.col("x") + F.col("o.ox")).alias("x"), (F.col("y") + F.col("o.oy")).alias("y"), (F.col("z") + F.col("o.oz")).alias("z")
-    )
-    return sees(moved, cameras, triangles).groupBy(F.col("point.point").alias("point"), "cam_idx").agg(F.count("*").alias("samples"))
+    x0, z0 = (space.low[a] + F.col(c) * space.chunk_voxels * space.voxel for a, c in ((0, "cx"), (2, "cz")))
+    ends = {"x": (x0, x0 + F.col("size_x") * space.voxel), "y": (F.lit(space.low[1]), F.lit(space.high[1])), "z": (z0, z0 + F.col("size_z") * space.voxel)}
+    used = prepared(cameras).where("enabled")
+    spanned = used.select("*", *(c.alias(f"{side}_{axis}") for axis in "xz" for side, c in zip(("lo", "hi"), frustum_extent(axis))))
+    spanned = space.to_chunks(spanned, (F.col("lo_x"), F.col("lo_z")), (F.col("hi_x"), F.col("hi_z"))).drop("scene")
+    pairs = chunks.join(spanned, "chunk_id")
+    axis_of = lambda n: vec(*(f"{n}_{a}" for a in "xyz"))
+    ahead, right, up = axis_of("ahead"), axis_of("right"), axis_of("up")
+    sides = [(add(scale(ahead, F.col(tan)), scale(way, F.lit(sign))), F.lit(0.0)) for way, tan in ((right, "tan_h"), (up, "tan_v")) for sign in (-1.0, 1.0)]
+    sides += [(ahead, F.col("near")), (scale(ahead, F.lit(-1.0)), -F.col("far"))]
+    within = F.lit(True)
+    for normal, least in sides:  # inside where normal . (p - eye) >= least
+        furthest = sum((F.greatest(n * (lo - F.col(f"p{a}")), n * (hi - F.col(f"p{a}"))) for n, a, (lo, hi) in zip(normal, "xyz", ends.values())), F.lit(0.0))
+        within = within & (furthest >= least - 1e-9)
+    return pairs.where(within).select("chunk_id", "cam_idx")
 
 
 def masks(points: DataFrame, seen: DataFrame) -> DataFrame:
@@ -131,13 +194,19 @@ def masks(points: DataFrame, seen: DataFrame) -> DataFrame:
     return filled.withColumn("cameras", (F.bit_count("mask") + F.bit_count("mask_high")).cast("long"))
 
 
-def nearest_hits(cameras: DataFrame, triangles: DataFrame) -> DataFrame:
-    """For each camera the distance at which its centre ray first meets the mesh, null if never."""
+def nearest_hits(cameras: DataFrame, triangles: DataFrame, parts: int = 64) -> DataFrame:
+    """For each camera the distance at which its centre ray first meets the mesh, null if never.
+
+    The ray has no end, so it is held against its whole scene; the triangles of a scene are dealt in ``parts``, and each part meets the
+    scene's cameras, of which there are 128 at most.
+    """
     eye = vec("px", "py", "pz")
     ahead = rotate([F.col(c) for c in ("qx", "qy", "qz", "qw")], (F.lit(0.0), F.lit(0.0), F.lit(-1.0)))
+    rays = cameras.select("scene", "cam_idx", "px", "py", "pz", *(c.alias(f"d{a}") for c, a in zip(ahead, "xyz")), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     a, b, c = vec("ax", "ay", "az"), vec("bx", "by", "bz"), vec("cx", "cy", "cz")
-    pairs = F.broadcast(cameras).join(triangles, ray_hit(eye, ahead, a, b, c, F.lit(1e-9), F.lit(math.inf)))
-    e1, e2 = sub(b, a), sub(c, a)
-    t = dot(e2, cross(sub(eye, a), e1)) / dot(e1, cross(ahead, e2))
-    hits = pairs.groupBy("cam_idx").agg(F.min(t).alias("distance"))
-    return cameras.select("cam_idx").join(F.broadcast(hits), "cam_idx", "left")
+    e1, e2, s, d = sub(b, a), sub(c, a), sub(eye, a), vec("dx", "dy", "dz")
+    p, q = cross(d, e2), cross(s, e1)
+    pairs = triangles.withColumn("part", F.pmod(F.hash("tri_id"), F.lit(parts))).join(rays, ["scene", "part"])
+    pairs = pairs.select("scene", "cam_idx", dot(e1, p).alias("det"), dot(s, p).alias("un"), dot(d, q).alias("vn"), dot(e2, q).alias("tn")).where("abs(det) >= 1e-7")
+    hits = pairs.where("un / det >= 0 AND vn / det >= 0 AND un / det + vn / det <= 1 AND tn / det > 1e-9").groupBy("scene", "cam_idx").agg(F.min(F.col("tn") / F.col("det")).alias("distance"))
+    return cameras.select("scene", "cam_idx").join(hits, ["scene", "cam_idx"], "left")

@@ -1,15 +1,16 @@
-"""The engine's queries over scenes made from the driver's tables, each with its SQL."""
+"""The engine's queries over scenes made from all rows of the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import coverage_weight, halton
+from ..functions import geometry as G
 from ..operators import aggregates as A
-from ..operators import grid, placement, visibility
+from ..operators import grid, mesh, placement, visibility
 from ..sources import scene
 from ..sources.tables import checkpointed, table
 from ..streaming import incremental
@@ -18,7 +19,6 @@ from . import oracle as O
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-S = scene.SPACE
 
 
 def _query(name: str, sql: str | None = None):
@@ -35,283 +35,449 @@ def _rate(name: str = "rate") -> F.Column:
     return F.round(name, 9).alias(name)
 
 
-def mixed(s, d) -> DataFrame:
-    return grid.mixed_cells(S, scene.triangles(s, d))
+class Room:
+    """The relations of the scenes over one set of tables."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.layout = scene.layout(spark, sf_dir)
+        self.space, self.rooms = self.layout.space, self.layout.rooms
 
-_validity: dict[tuple[str, str], DataFrame] = {}
+    def of(self, what: Callable) -> DataFrame:
+        return what(self.spark, self.dir, self.layout)
 
+    def voxels(self) -> DataFrame:
+        return self.space.voxels(self.spark, self.rooms)
 
-def valid(s, d) -> DataFrame:
-    """Voxels that no triangle meets; built once for each session and scene, and kept in the shared folder."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _validity:
-        voxels = S.voxels(s).withColumnRenamed("voxel", "point")
-        _validity[key] = checkpointed(voxels.join(mixed(s, d), ["i", "j", "k"], "left_anti"))
-    return _validity[key]
+    def chunks(self) -> DataFrame:
+        return self.space.chunks(self.spark, self.rooms)
 
+    def mixed(self) -> DataFrame:
+        return grid.mixed_cells(self.space, self.of(scene.triangles))
 
-def seen(s, d) -> DataFrame:
-    return visibility.sees(valid(s, d), scene.cameras(s, d), scene.triangles(s, d))
+    def valid(self) -> DataFrame:
+        return grid.validity(self.voxels(), self.mixed())
 
+    def seen(self, points: DataFrame | None = None, cameras: DataFrame | None = None) -> DataFrame:
+        return visibility.sees(self.valid() if points is None else points, self.of(scene.cameras) if cameras is None else cameras, self.of(scene.triangles))
 
-def masked(s, d) -> DataFrame:
-    return visibility.masks(valid(s, d), seen(s, d))
+    def masked(self) -> DataFrame:
+        valid = self.valid()
+        return visibility.masks(valid, self.seen(valid))
 
+    def columns(self) -> DataFrame:
+        cells = self.voxels()
+        marks = A.in_regions(self.space, cells, self.of(scene.regions)).select("point").distinct().withColumn("marked", F.lit(True))
+        cells = cells.join(self.masked().select("point", "mask", "mask_high", "cameras"), "point", "left").join(marks, "point", "left")
+        cells = cells.withColumn("valid", F.col("cameras").isNotNull()).fillna(0, ["mask", "mask_high", "cameras"]).fillna(False, ["marked"])
+        return A.column_stats(cells, slabs(self.spark))
 
-def regions(s, d) -> DataFrame:
-    n, g = F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")
-    turn = lambda a, b: F.when(n % 2 == 0, F.lit(a)).otherwise(F.lit(b))
-    return table(s, d, "nation").select(
-        n.alias("region"), g.alias("group_id"), (0.6875 + 0.9375 * (n % 6)).alias("rx"), F.lit(1.0625).alias("ry"), (0.8125 + 1.0625 * F.floor(n / 5)).alias("rz"),
-        F.lit(0.6875).alias("hx"), F.lit(0.8125).alias("hy"), F.lit(0.5625).alias("hz"), F.lit(0.0).alias("rqx"), turn(0.0, 0.25881904510252074).alias("rqy"), F.lit(0.0).alias("rqz"), turn(1.0, 0.9659258262890683).alias("rqw"),
-    )
+    def fewer(self) -> DataFrame:
+        """The cameras, every third one switched off."""
+        return self.of(scene.cameras).withColumn("enabled", F.col("enabled") & (F.col("cam_idx") % 3 != 0))
+
+    def zones(self, masked: DataFrame) -> DataFrame:
+        volumes = self.of(scene.regions)
+        return A.zone_summary(self.space, masked, volumes.withColumnRenamed("group_id", "zone_id"), volumes.select(F.col("group_id").alias("zone_id")).distinct())
 
 
 def slabs(s) -> DataFrame:
-    return s.createDataFrame([(0, 1, 0, 11, 1, 3, 0, 11), (1, 0, 2, 5, 0, 5, 3, 9), (2, 2, 0, 11, 0, 5, 5, 6)], "slab int, axis int, i0 int, i1 int, j0 int, j1 int, k0 int, k1 int")
+    rows = [(0, 1, 0, 199, 1, 3, 0, 59, False), (1, 0, 20, 50, 0, 5, 3, 33, False), (2, 2, 0, 119, 0, 5, 5, 16, True)]
+    return s.createDataFrame(rows, "slab int, axis int, i0 int, i1 int, j0 int, j1 int, k0 int, k1 int, filter boolean")
 
 
-def columns(s, d) -> DataFrame:
-    cells = S.voxels(s).withColumnRenamed("voxel", "point").join(masked(s, d).select("point", "mask", "cameras"), "point", "left")
-    cells = cells.withColumn("valid", F.col("cameras").isNotNull()).fillna(0, ["mask", "cameras"])
-    return A.column_stats(cells, slabs(s))
+@_query("s3_mesh_clean", O.sql("SELECT scene, count(*) FILTER (flat) AS removed, count(*) FILTER (NOT flat) AS kept FROM (SELECT tri.scene, box % 7 = 0 AND abs(vax - vbx) + abs(vax - vcx) > 0 AS flat FROM tri JOIN (SELECT box AS b FROM boxes) ON b = tri_id // 12, LATERAL (SELECT tri_id // 12 AS box)) GROUP BY scene", "tri"))
+def s3(s, d):
+    """Meshes of which every seventh box is squeezed flat along x."""
+    boxes = Room(s, d).of(scene.boxes).withColumn("sx", F.when(F.col("box") % 7 == 0, F.lit(0.0)).otherwise(F.col("sx")))
+    every = scene.box_triangles(boxes)
+    counts = every.groupBy("scene").agg(F.count("*").alias("n")).join(mesh.clean(every).groupBy("scene").agg(F.count("*").alias("kept")), "scene")
+    return counts.select("scene", (F.col("n") - F.col("kept")).alias("removed"), "kept")
 
 
-_nx, _ny, _nz = S.dims
-_cv, (_cx, _cz) = S.chunk_voxels, S.chunk_counts
+@_query("s12_rooms", "SELECT CAST(r_regionkey AS BIGINT) AS scene, CAST(r_regionkey * 5 + n AS BIGINT) AS box, CASE n WHEN 2 THEN hx WHEN 3 THEN -hx WHEN 4 THEN -hx ELSE -hx - 0.25::DOUBLE END AS x0, CASE n WHEN 0 THEN -0.25::DOUBLE ELSE 0 END AS y0, CASE n WHEN 4 THEN hz ELSE -hz - 0.25::DOUBLE END AS z0, CASE n WHEN 0 THEN 2 * hx + 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 2 * hx END AS sx, CASE n WHEN 0 THEN 0.25::DOUBLE ELSE 3.0::DOUBLE END AS sy, CASE WHEN n < 3 THEN 2 * hz + 0.5::DOUBLE ELSE 0.25::DOUBLE END AS sz FROM (SELECT r_regionkey, 4.0::DOUBLE + r_regionkey AS hx, 2.0::DOUBLE + r_regionkey AS hz FROM region), range(5) AS r(n)")
+def s12(s, d):
+    k = F.col("r_regionkey").cast("double")
+    return scene.room_boxes(table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("scene"), (4 + k).alias("half_x"), (2 + k).alias("half_z"), F.lit(3.0).alias("height")), 0.25)
 
 
-@_query("g2_chunks", f"SELECT c AS chunk_id, c % {_cx} AS cx, c // {_cx} AS cz, least({_cv}, {_nx} - (c % {_cx}) * {_cv}) AS size_x, {_ny} AS size_y, least({_cv}, {_nz} - (c // {_cx}) * {_cv}) AS size_z FROM range({_cx * _cz}) AS r(c)")
-def g2(s, d):
-    return S.chunks(s)
+@_query("s14_bounds", O.sql("SELECT scene, " + ", ".join(f"min(least(va{a}, vb{a}, vc{a})) - 0.5 AS min_{a}, max(greatest(va{a}, vb{a}, vc{a})) + 0.5 AS max_{a}" for a in "xyz") + " FROM tri GROUP BY scene", "tri"))
+def s14(s, d):
+    return mesh.bounds(Room(s, d).of(scene.triangles))
 
 
-@_query("g4_voxels", O.sql("SELECT point AS voxel, i, j, k, chunk_id, x, y, z FROM vox", "vox"))
-def g4(s, d):
-    return S.voxels(s)
+@_query("g2_chunks", O.sql(f"SELECT c AS chunk_id, c // nc AS scene, c % nc % {O._CX} AS cx, c % nc // {O._CX} AS cz, least({O._CV}, {O._NX} - (c % nc % {O._CX}) * {O._CV}) AS size_x, {O._NY} AS size_y, least({O._CV}, nz - (c % nc // {O._CX}) * {O._CV}) AS size_z FROM (SELECT unnest(range((SELECT rooms * nc FROM par))) AS c), par", "par"))
+def g2(s, d):
+    return Room(s, d).chunks()
 
 
-_edge = _cv * S.voxel
-_span = lambda a, n: " AND ".join(f"{c} {op} least(greatest(floor({f}(va{a}, vb{a}, vc{a}) / {_edge}), 0), {n - 1})" for c, op, f in ((f"c{a}", ">=", "least"), (f"c{a}", "<=", "greatest")))
+@_query("g4_voxels", O.sql("SELECT * FROM vox", "vox"))
+def g4(s, d):
+    return Room(s, d).voxels()
 
 
-@_query("g5_triangle_chunks", O.sql(f"SELECT tri_id, CAST(cx + {_cx} * cz AS BIGINT) AS chunk_id FROM tri, range({_cx}) AS a(cx), range({_cz}) AS b(cz) WHERE {_span('x', _cx)} AND {_span('z', _cz)}", "tri"))
+_edge = O._CV * O._V
+_at = lambda a, f, n: f"CAST(least(greatest(floor({f}(va{a}, vb{a}, vc{a}) / {_edge}), 0), {n}) AS BIGINT)"
+@_query("g5_triangle_chunks", O.sql(f"SELECT tri_id, scene * (SELECT nc FROM par) + cx + {O._CX} * cz AS chunk_id FROM (SELECT *, unnest(range({_at('z', 'least', f'(SELECT nc // {O._CX} - 1 FROM par)')}, {_at('z', 'greatest', f'(SELECT nc // {O._CX} - 1 FROM par)')} + 1)) AS cz FROM (SELECT *, unnest(range({_at('x', 'least', O._CX - 1)}, {_at('x', 'greatest', O._CX - 1)} + 1)) AS cx FROM tri))", "tri"))
 def g5(s, d):
-    return grid.triangle_chunks(S, scene.triangles(s, d))
+    r = Room(s, d)
+    return grid.triangle_chunks(r.space, r.of(scene.triangles))
 
 
-@_query("g6_voxelize", O.sql("SELECT i, j, k FROM mixed", "mixed"))
+@_query("g6_voxelize", O.sql("SELECT scene, i, j, k FROM mixed", "mixed"))
 def g6(s, d):
-    return mixed(s, d)
+    return Room(s, d).mixed()
 
 
-@_query("g8_solid", O.sql(
-    "SELECT i, j, k FROM free WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.i = free.i AND reach.j = free.j AND reach.k = free.k)", "valid",
-    more={"free": "SELECT i, j, k FROM valid", "reach": f"SELECT i, j, k FROM free WHERE i IN (0, {_nx - 1}) OR j IN (0, {_ny - 1}) OR k IN (0, {_nz - 1}) UNION SELECT f.i, f.j, f.k FROM reach AS r JOIN free AS f ON abs(f.i - r.i) + abs(f.j - r.j) + abs(f.k - r.k) = 1"}))
+#: Boxes stand apart and open to no pocket, so what is closed in is what lies inside of one.
+_SOLID = "SELECT v.scene, v.i, v.j, v.k FROM valid AS v JOIN boxes AS b ON b.scene = v.scene AND x > x0 AND x < x0 + sx AND y > y0 AND y < y0 + sy AND z > z0 AND z < z0 + sz"
+@_query("g8_solid", O.sql(_SOLID, "valid"))
 def g8(s, d):
-    return grid.solid_cells(S, mixed(s, d))
+    r = Room(s, d)
+    return grid.solid_cells(r.space, checkpointed(r.mixed()))
+
 
+@_query("g10_occupancy", O.sql(f"SELECT scene, kind, count(*) AS cells FROM (SELECT scene, 1 AS kind FROM mixed UNION ALL SELECT scene, 2 FROM ({_SOLID})) GROUP BY scene, kind", "valid"))
+def g10(s, d):
+    r = Room(s, d)
+    return grid.occupancy(r.space, r.of(scene.triangles), True).groupBy("scene", "kind").agg(F.count("*").alias("cells"))
 
-_REGION = "((y >= 0.5 AND y <= 2.0) OR (x >= 1.0 AND x <= 2.5 AND z >= 1.0 AND z <= 4.0))"
-@_query("f2_validity", O.sql(f"SELECT point FROM valid WHERE {_REGION} AND i % 2 = 0 AND k % 2 = 0", "valid"))
+
+@_query("f12_effective_cameras", O.sql(f"SELECT c.scene, cam_idx, enabled AND h.i IS NULL AS enabled, CASE WHEN enabled AND h.i IS NOT NULL THEN 'CAMERA_INSIDE_GEOMETRY' END AS warning FROM (SELECT *, x0 + sx / 2 AS qx2, y0 + sy / 2 AS qy2, z0 + sz / 2 AS qz2 FROM cams JOIN (SELECT scene AS s2, box AS b2, x0, y0, z0, sx, sy, sz FROM boxes) ON s2 = scene AND b2 // (SELECT rooms FROM par) = cam_idx) AS c LEFT JOIN ({_SOLID}) AS h ON h.scene = c.scene AND h.i = floor(qx2 / 0.5) AND h.j = floor(qy2 / 0.5) AND h.k = floor(qz2 / 0.5)", "valid", "cams"))
+def f12(s, d):
+    """Cameras moved into the middle of the box of their number."""
+    r = Room(s, d)
+    boxes = r.of(scene.boxes).select("scene", F.floor(F.col("box") / r.rooms).cast("int").alias("cam_idx"), *((F.col(f"{a}0") + F.col(f"s{a}") / 2).alias(f"p{a}") for a in "xyz"))
+    cameras = r.of(scene.cameras).select("scene", "cam_idx", "enabled").join(boxes, ["scene", "cam_idx"])
+    occupied = grid.occupancy(r.space, r.of(scene.triangles), True)
+    return grid.effective_cameras(r.space, cameras, occupied).select("scene", "cam_idx", "enabled", "warning")
+
+
+_REGION = "((y >= 0.5 AND y <= 2.0) OR (x >= 1.0 AND x <= 20.5 AND y >= 0 AND y <= 3.0 AND z >= 1.0 AND z <= 14.0))"
+_SAMPLED = [{"kind": "heightBand", "y": (0.5, 2.0)}, {"kind": "box", "low": (1.0, 0.0, 1.0), "high": (20.5, 3.0, 14.0)}]
+@_query("f2_validity", O.sql(f"SELECT point FROM valid WHERE {_REGION} AND i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0", "valid"))
 def f2(s, d):
-    return valid(s, d).where(F.expr(_REGION)).where((F.col("i") % 2 == 0) & (F.col("k") % 2 == 0)).select("point")
+    r = Room(s, d)
+    return grid.validity(r.voxels(), r.mixed(), _SAMPLED, 2).select("point")
 
 
-@_query("f4_sampling_summary", O.sql("SELECT count(*) AS valid_voxels, count(DISTINCT chunk_id) AS active_chunks FROM valid", "valid"))
+@_query("f4_sampling_summary", O.sql("SELECT scene, count(*) AS valid_voxels, count(DISTINCT chunk_id) AS active_chunks FROM valid GROUP BY scene", "valid"))
 def f4(s, d):
-    return valid(s, d).agg(F.count("*").alias("valid_voxels"), F.count_distinct("chunk_id").alias("active_chunks"))
+    by_chunk = Room(s, d).valid().groupBy("scene", "chunk_id").agg(F.count("*").alias("n"))
+    return by_chunk.groupBy("scene").agg(F.sum("n").alias("valid_voxels"), F.count("*").alias("active_chunks"))
 
 
-@_query("f10_frustum", O.sql(f"SELECT point, cam_idx FROM vox, cams WHERE {O._frustum()}", "vox", "cams"))
+_ax2 = {a: [f"(2 * ({p}))" if sign else f"(1 - 2 * ({p}))" for p, sign in zip(ps, ss)] for a, ps, ss in (("x", ("rqy*rqy + rqz*rqz", "rqx*rqy - rqz*rqw", "rqx*rqz + rqy*rqw"), (0, 1, 1)), ("y", ("rqx*rqy + rqz*rqw", "rqx*rqx + rqz*rqz", "rqy*rqz - rqx*rqw"), (1, 0, 1)), ("z", ("rqx*rqz - rqy*rqw", "rqy*rqz + rqx*rqw", "rqx*rqx + rqy*rqy"), (1, 1, 0)))}
+_far = {a: " + ".join(f"abs({m} * h{b})" for m, b in zip(ms, "xyz")) for a, ms in _ax2.items()}
+@_query("f7_box_extents", O.sql("SELECT region, " + ", ".join(f"round(r{a} - ({_far[a]}), 6) AS min_{a}, round(r{a} + ({_far[a]}), 6) AS max_{a}" for a in "xyz") + " FROM regions", "regions"))
+def f7(s, d):
+    low, high = G.obb_extent(G.vec("rx", "ry", "rz"), G.vec("hx", "hy", "hz"), [F.col(f"rq{a}") for a in "xyzw"])
+    return Room(s, d).of(scene.regions).select("region", *(F.round(c, 6).alias(f"{n}_{a}") for n, side in (("min", low), ("max", high)) for a, c in zip("xyz", side)))
+
+
+@_query("f10_frustum", O.sql(f"SELECT point, cam_idx FROM vox JOIN around ON around.scene = vox.scene AND cell_x = floor(x / 4) AND cell_z = floor(z / 4) WHERE {O._frustum()}", "vox", "around"))
 def f10(s, d):
-    return visibility.candidates(S.voxels(s).withColumnRenamed("voxel", "point"), scene.cameras(s, d)).select("point", "cam_idx")
+    r = Room(s, d)
+    return visibility.candidates(r.voxels(), r.of(scene.cameras)).select("point", "cam_idx")
+
 
+@_query("f11_chunk_cameras")
+def f11(s, d):
+    r = Room(s, d)
+    return visibility.chunk_cameras(r.space, r.chunks(), r.of(scene.cameras))
 
-@_query("j1_visibility", O.sql("SELECT point, cam_idx FROM seen", "seen"))
+
+@_query("j1_visibility", O.sql("SELECT * FROM seen", "seen"))
 def j1(s, d):
-    return seen(s, d)
+    return Room(s, d).seen()
 
 
-@_query("j1_points", O.sql(O.SEES_CLOUD, "cloud", "cams", "tri"))
-def j1_points(s, d):
-    return visibility.sees(scene.points(s, d), scene.cameras(s, d), scene.triangles(s, d))
+def _cloud(s, d) -> DataFrame:
+    r = Room(s, d)
+    return r.seen(r.of(scene.points))
 
 
-@_query("j1_points_by_cells", O.sql(O.SEES_CLOUD, "cloud", "cams", "tri"))
-def j1_cells(s, d):
-    return visibility.sees(scene.points(s, d), scene.cameras(s, d), scene.triangles(s, d), cell=0.5)
+@_query("j1_points", O.sql(O.SEES_CLOUD, "cloud", "near"))
+def j1_points(s, d):
+    return _cloud(s, d)
 
 
-@_query("j2_coverage_by_camera", O.sql("SELECT cam_idx, count(*) AS visible FROM (" + O.SEES_CLOUD + ") GROUP BY cam_idx", "cloud", "cams", "tri"))
+@_query("j2_coverage_by_camera", O.sql("SELECT scene, cam_idx, count(*) AS visible FROM (" + O.SEES_CLOUD + ") GROUP BY scene, cam_idx", "cloud", "near"))
 def j2(s, d):
-    return j1_points(s, d).groupBy("cam_idx").agg(F.count("*").alias("visible"))
+    return _cloud(s, d).groupBy("scene", "cam_idx").agg(F.count("*").alias("visible"))
 
 
-@_query("j4_mode2", O.sql("SELECT point, cam_idx, count(*) AS samples FROM (" + O.SEES_SAMPLES + ") GROUP BY point, cam_idx", "valid", "cams", "tri", more={"samples": O.SAMPLES}))
+@_query("j4_mode2", O.sql("SELECT scene, point, cam_idx, count(*) AS samples FROM (" + O.SEES_SAMPLES + ") GROUP BY scene, point, cam_idx HAVING count(*) >= 4", "valid", "near", more={"samples": O.SAMPLES}))
 def j4(s, d):
-    return visibility.sees_by_samples(valid(s, d), scene.cameras(s, d), scene.triangles(s, d), S.voxel)
+    r = Room(s, d)
+    return visibility.sees_by_samples(r.valid(), r.of(scene.cameras), r.of(scene.triangles), r.space.voxel, 4)
 
 
-@_query("j5_center_ray", O.sql("SELECT cam_idx, round(distance, 6) AS distance FROM (" + O.CENTRE_RAYS + ")", "cams", "tri"))
+@_query("j5_center_ray", O.sql("SELECT scene, cam_idx, round(distance, 6) AS distance FROM (" + O.CENTRE_RAYS + ")", "cams", "tri"))
 def j5(s, d):
-    return visibility.nearest_hits(scene.cameras(s, d), scene.triangles(s, d)).select("cam_idx", F.round("distance", 6).alias("distance"))
+    r = Room(s, d)
+    return visibility.nearest_hits(r.of(scene.cameras), r.of(scene.triangles)).select("scene", "cam_idx", F.round("distance", 6).alias("distance"))
 
 
-_ASKED = "SELECT CAST(event_id AS BIGINT) AS probe, (event_id % 67) * 0.109375 - 0.484375 AS qx, (event_id % 13) * 0.265625 + 0.015625 AS qy, (event_id % 31) * 0.203125 + 0.015625 AS qz FROM events WHERE event_id < 200"
-@_query("j6_probes", O.sql(
-    f"SELECT probe, CASE WHEN qx < 0 OR qx >= {_nx * S.voxel} OR qy >= {_ny * S.voxel} OR qz >= {_nz * S.voxel} THEN 0 WHEN m.point IS NULL THEN 2 ELSE 1 END AS hit, coalesce(m.mask, 0) AS mask FROM asked LEFT JOIN masked AS m ON m.i = floor(qx / {S.voxel}) AND m.j = floor(qy / {S.voxel}) AND m.k = floor(qz / {S.voxel})", "masked", more={"asked": _ASKED}))
+_PROBED = f"SELECT a.scene, probe, CASE WHEN qx < 0 OR qx >= nx * {O._V} OR qy >= ny * {O._V} OR qz >= nz * {O._V} THEN 0 WHEN m.point IS NULL THEN 2 ELSE 1 END AS hit, coalesce(m.mask, 0) AS mask, coalesce(m.mask_high, 0) AS mask_high, coalesce(m.cameras, 0) AS cameras FROM asked AS a CROSS JOIN par LEFT JOIN masked AS m ON m.scene = a.scene AND m.i = floor(qx / {O._V}) AND m.j = floor(qy / {O._V}) AND m.k = floor(qz / {O._V})"
+@_query("j6_probes", O.sql(_PROBED, "masked", "asked"))
 def j6(s, d):
-    asked = s.sql(_ASKED.replace("FROM events", "FROM {events}"), events=table(s, d, "events"))
-    return A.probes(S, masked(s, d), asked.select("probe", *(F.col(c).cast("double").alias(c) for c in ("qx", "qy", "qz"))))
+    r = Room(s, d)
+    return A.probes(r.space, r.masked(), r.of(scene.probes))
+
+
+@_query("a9_probe_results", O.sql("SELECT p.scene, probe, CASE WHEN hit <> 1 THEN 'no-data' WHEN cameras > 0 THEN 'seen' ELSE 'blind' END AS status, cameras, coalesce(l.camera_list, '') AS camera_list FROM (" + _PROBED.replace("SELECT a.scene", "SELECT m.point, a.scene", 1) + ") AS p LEFT JOIN (SELECT point, string_agg(CAST(cam_idx AS VARCHAR), ',' ORDER BY cam_idx) AS camera_list FROM seen GROUP BY point) AS l ON l.point = p.point", "masked", "asked"))
+def a9(s, d):
+    r = Room(s, d)
+    return A.probe_results(A.probes(r.space, r.masked(), r.of(scene.probes)))
 
 
 @_query("a1_chunk_stats", O.sql("SELECT chunk_id, count(*) AS valid, count(*) FILTER (cameras > 0) AS covered FROM masked GROUP BY chunk_id", "masked"))
 def a1(s, d):
-    return A.chunk_stats(masked(s, d))
+    return A.chunk_stats(Room(s, d).masked())
+
+
+@_query("a1_chunk_cameras", O.sql("SELECT chunk_id, cam_idx, count(*) AS visible FROM seen JOIN valid ON valid.point = seen.point GROUP BY chunk_id, cam_idx", "seen"))
+def a1_cameras(s, d):
+    r = Room(s, d)
+    valid = r.valid()
+    return A.chunk_visible(valid, r.seen(valid))
 
 
 @_query("a2_summary", O.sql("SELECT count(*) AS valid_voxels, count(*) FILTER (cameras > 0) AS covered, round(count(*) FILTER (cameras > 0)::DOUBLE / count(*), 9) AS overall_rate FROM masked", "masked"))
 def a2(s, d):
-    return A.summary(masked(s, d)).select("valid_voxels", "covered", _rate("overall_rate"))
+    return A.summary(Room(s, d).masked()).select("valid_voxels", "covered", _rate("overall_rate"))
 
 
-@_query("a2_per_camera", O.sql("SELECT c.cam_idx, count(seen.point) AS visible, round(count(seen.point)::DOUBLE / (SELECT count(*) FROM valid), 9) AS rate FROM cams AS c LEFT JOIN seen ON seen.cam_idx = c.cam_idx GROUP BY c.cam_idx", "seen"))
+@_query("a2_per_camera", O.sql("SELECT c.scene, c.cam_idx, count(seen.point) AS visible, round(count(seen.point)::DOUBLE / (SELECT count(*) FROM valid WHERE valid.scene = c.scene), 9) AS rate FROM cams AS c LEFT JOIN seen ON seen.scene = c.scene AND seen.cam_idx = c.cam_idx GROUP BY c.scene, c.cam_idx", "seen"))
 def a2_cameras(s, d):
-    return A.per_camera(scene.cameras(s, d), seen(s, d), valid(s, d)).select("cam_idx", "visible", _rate())
+    r = Room(s, d)
+    valid = r.valid()
+    return A.per_camera(r.of(scene.cameras), r.seen(valid), valid).select("scene", "cam_idx", "visible", _rate())
 
 
 _STATS = "count(h.point) AS valid, count(h.point) FILTER (h.cameras > 0) AS covered, count(h.point) FILTER (h.cameras = 0) AS blind"
 @_query("a5_regions", O.sql(f"SELECT r.region, {_STATS} FROM regions AS r LEFT JOIN held AS h ON h.region = r.region GROUP BY r.region", "held"))
 def a5(s, d):
-    return A.region_stats(masked(s, d), regions(s, d))
+    r = Room(s, d)
+    return A.region_stats(r.space, r.masked(), A.held_to_caps(r.of(scene.regions), "regions"))
+
+
+@_query("a5_region_cameras", O.sql("SELECT region, cam_idx, count(*) AS seen FROM held JOIN seen ON seen.point = held.point GROUP BY region, cam_idx", "held"))
+def a5_cameras(s, d):
+    r = Room(s, d)
+    valid = r.valid()
+    return A.region_visible(r.space, valid, r.seen(valid), r.of(scene.regions))
 
 
 _ONCE = {"once": "SELECT DISTINCT point, group_id, cameras FROM held"}
 @_query("a6_groups", O.sql(f"SELECT r.group_id, {_STATS} FROM (SELECT DISTINCT group_id FROM regions) AS r LEFT JOIN once AS h ON h.group_id = r.group_id GROUP BY r.group_id", "held", more=_ONCE))
 def a6(s, d):
-    return A.group_stats(masked(s, d), regions(s, d))
+    r = Room(s, d)
+    return A.group_stats(r.space, r.masked(), r.of(scene.regions))
+
+
+@_query("a6_group_cameras", O.sql("SELECT group_id, cam_idx, count(*) AS seen FROM once JOIN seen ON seen.point = once.point GROUP BY group_id, cam_idx", "held", more=_ONCE))
+def a6_cameras(s, d):
+    r = Room(s, d)
+    valid = r.valid()
+    return A.group_visible(r.space, valid, r.seen(valid), r.of(scene.regions))
 
 
-_COLS = "SELECT slab, a, b, CAST(coalesce(sum(cameras), 0) AS BIGINT) AS total, coalesce(max(cameras), 0) AS most, coalesce(min(cameras), 255) AS least, count(*) FILTER (cameras = 0) AS blind, count(cameras) AS valid, count(*) FILTER (cameras IS NULL) AS obstacle, CAST(coalesce(bit_or(mask), 0) AS BIGINT) AS seen FROM cols GROUP BY slab, a, b"
+_COLS = "SELECT scene, slab, a, b, CAST(coalesce(sum(cameras) FILTER (NOT filtered), 0) AS BIGINT) AS total, coalesce(max(cameras) FILTER (NOT filtered), 0) AS most, coalesce(min(cameras) FILTER (NOT filtered), 255) AS least, count(*) FILTER (cameras = 0 AND NOT filtered) AS blind, count(cameras) FILTER (NOT filtered) AS valid, count(*) FILTER (cameras IS NULL AND NOT filtered) AS obstacle, count(*) FILTER (filtered) AS filtered, CAST(coalesce(bit_or(mask) FILTER (NOT filtered), 0) AS BIGINT) AS seen, CAST(coalesce(bit_or(mask_high) FILTER (NOT filtered), 0) AS BIGINT) AS seen_high FROM cols GROUP BY scene, slab, a, b"
 @_query("a7_columns", O.sql(_COLS, "cols"))
 def a7(s, d):
-    return columns(s, d)
+    return Room(s, d).columns()
 
 
 @_query("a8_cubes", O.sql(
-    "SELECT i, j, k, 1 AS edge, cameras FROM masked AS m WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.i = m.i // 2 AND two.j = m.j // 2 AND two.k = m.k // 2) UNION ALL SELECT i, j, k, 2, cameras FROM two AS t WHERE NOT EXISTS (SELECT 1 FROM four WHERE four.i = t.i // 2 AND four.j = t.j // 2 AND four.k = t.k // 2) UNION ALL SELECT i, j, k, 4, cameras FROM four", "masked",
-    more={"two": "SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, max(cameras) AS cameras FROM masked GROUP BY ALL HAVING count(*) = 8 AND min(cameras) = max(cameras)".replace("GROUP BY ALL", "GROUP BY i // 2, j // 2, k // 2"), "four": "SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, max(cameras) AS cameras FROM two GROUP BY i // 2, j // 2, k // 2 HAVING count(*) = 8 AND min(cameras) = max(cameras)"}))
+    "SELECT scene, i, j, k, 1 AS edge, cameras FROM masked AS m WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.scene = m.scene AND two.i = m.i // 2 AND two.j = m.j // 2 AND two.k = m.k // 2) UNION ALL SELECT scene, i, j, k, 2, cameras FROM two AS t WHERE NOT EXISTS (SELECT 1 FROM four WHERE four.scene = t.scene AND four.i = t.i // 2 AND four.j = t.j // 2 AND four.k = t.k // 2) UNION ALL SELECT scene, i, j, k, 4, cameras FROM four", "masked",
+    more={n: f"SELECT scene, i // 2 AS i, j // 2 AS j, k // 2 AS k, max(cameras) AS cameras FROM {of} GROUP BY scene, i // 2, j // 2, k // 2 HAVING count(*) = 8 AND min(cameras) = max(cameras)" for n, of in (("two", "masked"), ("four", "two"))}))
 def a8(s, d):
-    return A.cubes(checkpointed(masked(s, d)), 2)
+    return A.cubes(checkpointed(Room(s, d).masked()), 2)
 
 
 _W = [16384, 4096, 1820, 1024, 655]
 _plx, _ply, _plz = O._local("x - px", "y - py", "z - pz")
 _bin = lambda c, t: f"CAST(least(greatest(floor(({c} / ({t} * -{_plz}) + 1) / 2 * 8), 0), 7) AS BIGINT)"
 @_query("a10_projection", O.sql(
-    f"SELECT cam_idx, bin_x, bin_y, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT seen.cam_idx, {_bin(_plx, 'CAST(CAST(tan(radians(fov) / 2) * aspect AS FLOAT) AS DOUBLE)')} AS bin_x, {_bin('-' + _ply, 'CAST(CAST(tan(radians(fov) / 2) AS FLOAT) AS DOUBLE)')} AS bin_y, CASE least(m.cameras, 4) WHEN 0 THEN 16384 WHEN 1 THEN 4096 WHEN 2 THEN 1820 WHEN 3 THEN 1024 ELSE 655 END AS w FROM seen JOIN masked AS m ON m.point = seen.point JOIN cams ON cams.cam_idx = seen.cam_idx) GROUP BY cam_idx, bin_x, bin_y", "masked", "cams"))
+    f"SELECT scene, cam_idx, bin_x, bin_y, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT seen.scene, seen.cam_idx, {_bin(_plx, 'CAST(CAST(tan(radians(fov) / 2) * aspect AS FLOAT) AS DOUBLE)')} AS bin_x, {_bin('-' + _ply, 'CAST(CAST(tan(radians(fov) / 2) AS FLOAT) AS DOUBLE)')} AS bin_y, CASE least(m.cameras, 4) WHEN 0 THEN 16384 WHEN 1 THEN 4096 WHEN 2 THEN 1820 WHEN 3 THEN 1024 ELSE 655 END AS w FROM seen JOIN masked AS m ON m.point = seen.point JOIN cams ON cams.scene = seen.scene AND cams.cam_idx = seen.cam_idx) GROUP BY scene, cam_idx, bin_x, bin_y", "masked", "cams"))
 def a10(s, d):
-    return A.image_histogram(masked(s, d), seen(s, d), scene.cameras(s, d), 8, _W)
+    r = Room(s, d)
+    valid = r.valid()
+    seen = checkpointed(r.seen(valid))
+    return A.image_histogram(visibility.masks(valid, seen), seen, r.of(scene.cameras), 8, _W)
 
 
-_ZONE = "SELECT z.group_id AS zone_id, count(h.point) AS valid, round(coalesce(count(h.point) FILTER (h.cameras > 0)::DOUBLE / nullif(count(h.point), 0), 0), 9) AS rate, count(h.point) FILTER (h.cameras = 0) AS blind FROM (SELECT DISTINCT r_regionkey AS group_id FROM region) AS z LEFT JOIN once AS h ON h.group_id = z.group_id GROUP BY z.group_id"
-def _zones(s, d, m):
-    return A.zone_summary(m, regions(s, d).withColumnRenamed("group_id", "zone_id"), table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("zone_id")))
+_EVEN = {"evens": "SELECT v.*, (SELECT count(*) FROM seen WHERE seen.point = v.point AND cam_idx % 2 = 0) AS cameras FROM valid AS v"}
+@_query("a11_camera_subset", O.sql("SELECT chunk_id, count(*) AS valid, count(*) FILTER (cameras > 0) AS covered FROM evens GROUP BY chunk_id", "seen", more=_EVEN))
+def a11(s, d):
+    r = Room(s, d)
+    valid = r.valid()
+    return A.chunk_stats(visibility.masks(valid, visibility.subset(r.seen(valid), r.of(scene.cameras).where("cam_idx % 2 = 0"))))
+
+
+@_query("a14_merged_columns", O.sql(_COLS, "cols"))
+def a14(s, d):
+    """Columns of the left and the right half of the slabs' cells, merged."""
+    r = Room(s, d)
+    cells, at = r.voxels(), r.masked().select("point", "mask", "mask_high", "cameras")
+    marks = A.in_regions(r.space, cells, r.of(scene.regions)).select("point").distinct().withColumn("marked", F.lit(True))
+    cells = cells.join(at, "point", "left").join(marks, "point", "left").withColumn("valid", F.col("cameras").isNotNull())
+    cells = checkpointed(cells.fillna(0, ["mask", "mask_high", "cameras"]).fillna(False, ["marked"]))
+    return A.merge_columns(*(A.column_stats(cells.where(F.col("chunk_id") % 2 == half), slabs(s)) for half in (0, 1)))
+
+
+_ZONE = "SELECT z.group_id AS zone_id, count(h.point) AS valid, round(coalesce(count(h.point) FILTER (h.cameras > 0)::DOUBLE / nullif(count(h.point), 0), 0), 9) AS rate, count(h.point) FILTER (h.cameras = 0) AS blind FROM (SELECT DISTINCT group_id FROM regions) AS z LEFT JOIN once AS h ON h.group_id = z.group_id GROUP BY z.group_id"
+@_query("a16_reaggregate", O.sql(_ZONE, "held", more=_ONCE))
+def a16(s, d):
+    """Zones from masks that a run has kept, without a ray."""
+    r = Room(s, d)
+    return r.zones(checkpointed(r.masked())).select("zone_id", "valid", _rate(), "blind")
 
 
 @_query("a17_zone_summary", O.sql(_ZONE, "held", more=_ONCE))
 def a17(s, d):
-    return _zones(s, d, masked(s, d)).select("zone_id", "valid", _rate(), "blind")
+    r = Room(s, d)
+    return r.zones(r.masked()).select("zone_id", "valid", _rate(), "blind")
 
 
-_CELLS = "SELECT slab, a, b, CASE WHEN valid = 0 THEN 0 ELSE total::DOUBLE / (valid * 8) END AS mean, CASE WHEN valid = 0 THEN 0 ELSE blind::DOUBLE / valid END AS blind_share, valid, obstacle, CASE WHEN obstacle > 0 AND valid = 0 THEN 1 ELSE 0 END AS black FROM grouped"
-@_query("a19_section_cells", O.sql("SELECT slab, a, b, round(mean, 9) AS mean, round(blind_share, 9) AS blind_share, valid, obstacle, black FROM (" + _CELLS + ")", "cols", more={"grouped": _COLS}))
+_CELLS = "SELECT scene, slab, a, b, CASE WHEN valid = 0 THEN 0 ELSE least(total::DOUBLE / (valid * 100), 1) END AS mean, CASE WHEN valid = 0 THEN 0 ELSE blind::DOUBLE / valid END AS blind_share, valid, obstacle, CASE WHEN obstacle > 0 AND valid = 0 THEN 1 ELSE 0 END AS black FROM grouped"
+@_query("a19_section_cells", O.sql("SELECT scene, slab, a, b, round(mean, 9) AS mean, round(blind_share, 9) AS blind_share, valid, obstacle, black FROM (" + _CELLS + ")", "cols", more={"grouped": _COLS}))
 def a19(s, d):
-    return A.section_cells(columns(s, d), 8).select("slab", "a", "b", _rate("mean"), _rate("blind_share"), "valid", "obstacle", "black")
+    return A.section_cells(Room(s, d).columns(), scene.RIG).select("scene", "slab", "a", "b", _rate("mean"), _rate("blind_share"), "valid", "obstacle", "black")
 
 
-@_query("a20_section_stats", O.sql("SELECT slab, count(*) AS total_cells, count(*) FILTER (valid > 0) AS valid_cells, round(coalesce(avg(mean) FILTER (valid > 0), 0), 9) AS coverage, count(*) FILTER (valid > 0 AND blind_share = 1) AS blind_cells FROM (" + _CELLS + ") GROUP BY slab", "cols", more={"grouped": _COLS}))
+@_query("a20_section_stats", O.sql("SELECT scene, slab, count(*) AS total_cells, count(*) FILTER (valid > 0) AS valid_cells, round(coalesce(avg(mean) FILTER (valid > 0), 0), 9) AS coverage, count(*) FILTER (valid > 0 AND blind_share = 1) AS blind_cells FROM (" + _CELLS + ") GROUP BY scene, slab", "cols", more={"grouped": _COLS}))
 def a20(s, d):
-    return A.section_stats(A.section_cells(columns(s, d), 8)).select("slab", "total_cells", "valid_cells", _rate("coverage"), "blind_cells")
-
-
-def _fewer(s, d) -> DataFrame:
-    """The scene with every third camera switched off."""
-    return scene.cameras(s, d).withColumn("enabled", F.col("enabled") & (F.col("cam_idx") % 3 != 0))
+    return A.section_stats(A.section_cells(Room(s, d).columns(), scene.RIG)).select("scene", "slab", "total_cells", "valid_cells", _rate("coverage"), "blind_cells")
 
 
-_LESS = {"less": "SELECT m.* EXCLUDE (mask, cameras), (SELECT count(*) FROM seen WHERE seen.point = m.point AND seen.cam_idx % 3 <> 0) AS cameras FROM masked AS m"}
+_LESS = {"less": "SELECT m.* EXCLUDE (mask, mask_high, cameras), coalesce(n, 0) AS cameras FROM masked AS m LEFT JOIN (SELECT point AS p, count(*) AS n FROM seen WHERE cam_idx % 3 <> 0 GROUP BY point) ON p = m.point"}
 @_query("a21_compare", O.sql(
     f"SELECT a.zone_id, a.rate AS before, b.rate AS after, round(b.rate - a.rate, 6) AS delta, CASE WHEN b.rate - a.rate < -0.0005 THEN 1 ELSE 0 END AS regressed FROM ({_ZONE}) AS a JOIN ({_ZONE.replace('once', 'once2')}) AS b ON a.zone_id = b.zone_id WHERE a.valid > 0 OR b.valid > 0", "held",
     more=_ONCE | _LESS | {"once2": "SELECT DISTINCT h.point, h.group_id, less.cameras FROM held AS h JOIN less ON less.point = h.point"}))
 def a21(s, d):
-    after = visibility.masks(valid(s, d), visibility.sees(valid(s, d), _fewer(s, d), scene.triangles(s, d)))
-    return A.compare_zones(_zones(s, d, masked(s, d)), _zones(s, d, after)).select("zone_id", _rate("before"), _rate("after"), F.round("delta", 6).alias("delta"), "regressed")
+    r = Room(s, d)
+    valid = r.valid()
+    after = visibility.masks(valid, r.seen(valid, r.fewer()))
+    return A.compare_zones(r.zones(r.masked()), r.zones(after)).select("zone_id", _rate("before"), _rate("after"), F.round("delta", 6).alias("delta"), "regressed")
 
 
 @_query("r2_incremental", O.sql("SELECT chunk_id, count(*) AS valid, count(*) FILTER (cameras > 0) AS covered FROM less GROUP BY chunk_id", "masked", more=_LESS))
 def r2(s, d):
     """Chunk statistics after an edit, from the baseline and the dirty chunks alone: those of a full run."""
-    stats = lambda points, cameras: A.chunk_stats(visibility.masks(points, visibility.sees(points, cameras, scene.triangles(s, d))))
-    return incremental.recompute(valid(s, d), scene.cameras(s, d), _fewer(s, d), A.chunk_stats(masked(s, d)), stats)
+    r = Room(s, d)
+    valid = r.valid()
+    stats = lambda points, cameras: A.chunk_stats(visibility.masks(points, r.seen(points, cameras)))
+    return incremental.recompute(r.space, r.chunks(), valid, r.of(scene.cameras), r.fewer(), A.chunk_stats(r.masked()), stats)
 
 
-@_query("u5_dirty_chunks", O.sql(f"SELECT DISTINCT chunk_id FROM valid, cams WHERE cam_idx % 3 = 0 AND {O._frustum()}", "valid", "cams"))
+@_query("u5_dirty_chunks")
 def u5(s, d):
-    return incremental.dirty_chunks(valid(s, d), scene.cameras(s, d), _fewer(s, d))
+    r = Room(s, d)
+    return incremental.dirty_chunks(r.space, r.chunks(), r.of(scene.cameras), r.fewer())
+
+
+_ORDERS = "SELECT scene, CAST(t AS INT) AS trial, CAST(row_number() OVER (PARTITION BY scene, t ORDER BY (cam_idx * 37 + t * 11) % 101, cam_idx) AS INT) AS k, cam_idx AS place FROM cams, (VALUES (0), (1), (2), (3), (4)) AS v(t)"
+_TRIALS = {
+    "orders": _ORDERS,
+    "firsts": "SELECT o.scene, trial, seen.point, min(k) AS k FROM seen JOIN orders AS o ON o.scene = seen.scene AND o.place = seen.cam_idx GROUP BY o.scene, trial, seen.point",
+    "curve": "SELECT o.scene, o.trial, o.k, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY o.scene, o.trial ORDER BY o.k) AS BIGINT) AS score FROM orders AS o LEFT JOIN (SELECT scene, trial, k, count(*) AS n FROM firsts GROUP BY scene, trial, k) AS f ON f.scene = o.scene AND f.trial = o.trial AND f.k = o.k",
+    "apart": "SELECT o.scene, o.trial, o.k, min(sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz))) AS separation FROM orders AS o LEFT JOIN (SELECT orders.*, px, py, pz FROM orders JOIN cams ON cams.scene = orders.scene AND cam_idx = place) AS a ON a.scene = o.scene AND a.trial = o.trial AND a.k <= o.k LEFT JOIN (SELECT orders.*, px, py, pz FROM orders JOIN cams ON cams.scene = orders.scene AND cam_idx = place) AS b ON b.scene = o.scene AND b.trial = o.trial AND b.k < a.k GROUP BY o.scene, o.trial, o.k",
+    "best": "SELECT scene, k, trial, score FROM (SELECT c.*, row_number() OVER (PARTITION BY c.scene, c.k ORDER BY score DESC, separation DESC NULLS LAST, c.trial) AS nth FROM curve AS c JOIN apart AS s ON s.scene = c.scene AND s.trial = c.trial AND s.k = c.k) WHERE nth = 1",
+}
+
+
+def _places(r: Room) -> DataFrame:
+    return r.of(scene.cameras).select("scene", F.col("cam_idx").alias("place"), "px", "py", "pz")
+
 
+def _trials(r: Room) -> tuple[DataFrame, DataFrame]:
+    orders = r.spark.sql(_ORDERS.replace("FROM cams", "FROM {cams}"), cams=r.of(scene.cameras))
+    return orders, placement.trial_curve(orders, placement.mask_groups(r.masked()))
 
-_ORDERS = "SELECT CAST(t AS INT) AS trial, CAST(row_number() OVER (PARTITION BY t ORDER BY (cam_idx * 37 + t * 11) % 23, cam_idx) AS INT) AS k, cam_idx AS place FROM cams, (VALUES (0), (1), (2), (3), (4)) AS v(t)"
-_CURVE = "SELECT trial, k, CAST((SELECT count(DISTINCT seen.point) FROM seen JOIN orders AS p ON p.place = seen.cam_idx WHERE p.trial = o.trial AND p.k <= o.k) AS BIGINT) AS score FROM orders AS o"
-def _curve(s, d) -> DataFrame:
-    orders = s.sql(_ORDERS.replace("FROM cams", "FROM {cams}"), cams=scene.cameras(s, d))
-    return placement.trial_curve(orders, seen(s, d).select(F.col("cam_idx").alias("place"), F.col("point").alias("voxel")))
 
+def _best(r: Room) -> DataFrame:
+    orders, curve = _trials(r)
+    return placement.best_per_count(curve, placement.separations(orders, _places(r)))
 
-@_query("w2_trial_curve", O.sql(_CURVE, "seen", more={"orders": _ORDERS}))
+
+@_query("w2_trial_curve", O.sql("SELECT * FROM curve", "seen", more=_TRIALS))
 def w2(s, d):
-    return _curve(s, d)
+    return _trials(Room(s, d))[1]
+
+
+@_query("w2_separation", O.sql("SELECT scene, trial, k, round(separation, 6) AS separation FROM apart", "cams", more={n: _TRIALS[n] for n in ("orders", "apart")}))
+def w2_apart(s, d):
+    r = Room(s, d)
+    orders = s.sql(_ORDERS.replace("FROM cams", "FROM {cams}"), cams=r.of(scene.cameras))
+    return placement.separations(orders, _places(r)).select("scene", "trial", "k", F.round("separation", 6).alias("separation"))
 
 
-_BEST = "SELECT k, trial, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, trial) AS nth FROM (" + _CURVE + ")) WHERE nth = 1"
-@_query("w3_best_layout", O.sql(_BEST, "seen", more={"orders": _ORDERS}))
+@_query("w3_best_layout", O.sql("SELECT * FROM best", "seen", more=_TRIALS))
 def w3(s, d):
-    return placement.best_per_count(_curve(s, d))
+    return _best(Room(s, d))
 
 
-@_query("w4_knee", O.sql(f"SELECT min(k) AS cameras FROM best WHERE score >= (SELECT max(score) FROM best) - 0.05 * {_nx * _ny * _nz}", "seen", more={"orders": _ORDERS, "best": _BEST}))
+@_query("w4_knee", O.sql("SELECT b.scene, min(k) AS cameras FROM best AS b JOIN (SELECT scene, max(score) AS most FROM best GROUP BY scene) AS m ON m.scene = b.scene WHERE score >= most - 0.005 * (SELECT nx * ny * nz FROM par) GROUP BY b.scene", "seen", more=_TRIALS))
 def w4(s, d):
-    return placement.knee(placement.best_per_count(_curve(s, d)), _nx * _ny * _nz, 5.0)
+    r = Room(s, d)
+    return placement.knee(_best(r), prod(r.space.dims), 0.5)
 
 
-@_query("w1_greedy", None)
+@_query("w1_greedy")
 def w1(s, d):
-    reach = seen(s, d).select(F.col("cam_idx").alias("place"), F.col("point").alias("voxel"))
-    places = scene.cameras(s, d).select(F.col("cam_idx").alias("place"), "px", "py", "pz")
-    return s.createDataFrame(placement.greedy_curve(reach, places, places.count()), "step int, place int, covered long")
+    r = Room(s, d)
+    return placement.greedy_curve(placement.mask_groups(r.masked()), _places(r))
 
 
-@_query("j10_assignment", None)
+@_query("j10_assignment")
 def j10(s, d):
-    cams = [(r.px, r.py, r.pz) for r in scene.cameras(s, d).orderBy("cam_idx").collect()]  # 128 at most
-    targets = [(6 - x, y, z + 0.25) for x, y, z in cams[1:]]
-    return s.createDataFrame(placement.assign(cams, targets), "camera int, target int, distance double")
-
-
-_SHARES = "SELECT n_nationkey AS idx, CAST(1 + n_nationkey % 7 AS DOUBLE) AS w FROM nation WHERE n_nationkey < 9"
-@_query("t2_shares", O.sql(
-    "SELECT idx, CAST(share + CASE WHEN missing > 0 THEN missing // n + CASE WHEN rank <= missing % n THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS share FROM (SELECT *, 64 - sum(share) OVER () AS missing, count(*) OVER () AS n, row_number() OVER (ORDER BY w DESC, idx) AS rank FROM (SELECT idx, w, greatest(1, CAST(floor(64 * w / sum(w) OVER () + 0.5) AS BIGINT)) AS share FROM weights))", more={"weights": _SHARES}))
+    """Cameras of each room to the middles of its first 90 boxes, a little above them."""
+    r = Room(s, d)
+    number = F.floor(F.col("box") / r.rooms).cast("int")
+    targets = r.of(scene.boxes).where(number < 90).select("scene", number.alias("target"), F.col("x0").alias("px"), (F.col("y0") + F.col("sy")).alias("py"), F.col("z0").alias("pz"))
+    return placement.assign(_places(r).withColumnRenamed("place", "camera"), targets)
+
+
+_SHARES = "SELECT n_nationkey AS idx, CAST(CASE WHEN n_nationkey = 3 THEN 60 ELSE 1 + n_nationkey % 7 END AS DOUBLE) AS w FROM nation"
+_DEALT = {
+    "weights": _SHARES,
+    "dealt": "SELECT *, 40 - sum(share) OVER () AS missing, count(*) OVER () AS n, row_number() OVER (ORDER BY w DESC, idx) AS rank FROM (SELECT idx, w, greatest(1, CAST(floor(40 * w / sum(w) OVER () + 0.5) AS BIGINT)) AS share FROM weights)",
+    "back": "SELECT idx, count(*) AS b FROM (SELECT idx, missing, row_number() OVER (ORDER BY turn, rank) AS nth FROM (SELECT *, unnest(range(1, share)) AS turn FROM dealt)) WHERE nth <= -missing GROUP BY idx",
+}
+@_query("t2_shares", O.sql("SELECT dealt.idx, CAST(share - coalesce(b, 0) + CASE WHEN missing > 0 THEN missing // n + CASE WHEN rank <= missing % n THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS share FROM dealt LEFT JOIN back ON back.idx = dealt.idx", more=_DEALT))
 def t2(s, d):
-    return placement.shares(s.sql(_SHARES.replace("FROM nation", "FROM {nation}"), nation=table(s, d, "nation")), 64)
+    return placement.shares(s.sql(_SHARES.replace("FROM nation", "FROM {nation}"), nation=table(s, d, "nation")), 40)
 
 
-@_query("x6_halton", "SELECT CAST(i AS BIGINT) AS i, round((i % 2) / 2.0::DOUBLE + (i // 2 % 2) / 4.0::DOUBLE + (i // 4 % 2) / 8.0::DOUBLE + (i // 8 % 2) / 16.0::DOUBLE + (i // 16 % 2) / 32.0::DOUBLE + (i // 32 % 2) / 64.0::DOUBLE, 9) AS h2, round((i % 3) / 3.0::DOUBLE + (i // 3 % 3) / 9.0::DOUBLE + (i // 9 % 3) / 27.0::DOUBLE + (i // 27 % 3) / 81.0::DOUBLE, 9) AS h3 FROM range(64) AS r(i)")
+_inverse = lambda b: f"round(list_sum(list_transform(range(0, 40), lambda k: floor(event_id / pow({b}, k)) % {b} / pow({b}, k + 1))), 9) AS h{b}"
+@_query("x6_halton", "SELECT CAST(event_id AS BIGINT) AS i, " + ", ".join(map(_inverse, (2, 3, 5, 7, 11))) + " FROM events")
 def x6(s, d):
-    return s.range(64).select(F.col("id").alias("i"), F.round(halton(F.col("id"), 2, 6), 9).alias("h2"), F.round(halton(F.col("id"), 3, 4), 9).alias("h3"))
+    return table(s, d, "events").select(F.col("event_id").cast("long").alias("i"), *(F.round(G.halton(F.col("event_id"), b), 9).alias(f"h{b}") for b in (2, 3, 5, 7, 11)))
+
 
+@_query("x7_fnv", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(c_name) + 1), lambda i: ord(substr(c_name, i, 1))::BIGINT)), lambda h, u: (xor(h, u) * 16777619) & 4294967295) AS hash FROM customer")
+def x7(s, d):
+    return table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), G.fnv1a(F.col("c_name")).alias("hash"))
 
-@_query("x8_weights", "SELECT i AS n, CAST(floor(16384 / pow(i + 1, 2.0) + 0.5) AS BIGINT) AS weight FROM range(9) AS r(i)")
+
+@_query("x8_weights", "SELECT o_orderkey, CAST(floor(16384 / pow(o_orderkey % 129 + 1, 2.0) + 0.5) AS BIGINT) AS weight FROM orders")
 def x8(s, d):
-    return s.range(9).select(F.col("id").alias("n"), coverage_weight(F.col("id")).alias("weight"))
+    return table(s, d, "orders").select("o_orderkey", G.coverage_weight(F.col("o_orderkey") % 129).alias("weight"))
+
+
+@_query("x5_aim", "SELECT c_custkey, round(degrees(2 * atan(tan(radians(30 + c_custkey % 60) / 2) * CASE WHEN c_nationkey > 0 THEN c_nationkey / 9.0e0 ELSE 1 END)), 6) AS across, " + ", ".join(f"round({e}, 9) + 0.0e0 AS {n}" for n, e in zip(("qx", "qy", "qz", "qw"), ("cos(y) * sin(p)", "sin(y) * cos(p)", "-sin(y) * sin(p)", "cos(y) * cos(p)"))) + " FROM (SELECT *, radians(c_custkey % 360) / 2 AS y, radians(least(greatest(c_custkey % 201 - 100, -89), 89)) / 2 AS p FROM customer)")
+def x5(s, d):
+    k = F.col("c_custkey").cast("double")
+    turn = G.yaw_pitch(k % 360, k % 201 - 100)
+    return table(s, d, "customer").select("c_custkey", F.round(G.horizontal_fov(30 + k % 60, F.col("c_nationkey") / 9.0), 6).alias("across"), *((F.round(c, 9) + 0.0).alias(n) for n, c in zip(("qx", "qy", "qz", "qw"), turn)))
+
+
+@_query("x9_distances", "SELECT c_custkey, round(sqrt((x - t) * (x - t) + y * y + z * z), 6) AS to_segment, round(sqrt(pow(greatest(abs(x) - 1, 0), 2) + y * y + pow(greatest(abs(z) - 1.5, 0), 2)), 6) AS to_rectangle FROM (SELECT *, least(greatest(x, 0), 3) AS t FROM (SELECT c_custkey, c_custkey % 11 - 5.0::DOUBLE AS x, c_custkey % 7 - 3.0::DOUBLE AS y, c_custkey % 5 - 2.0::DOUBLE AS z FROM customer))")
+def x9(s, d):
+    k, lit = F.col("c_custkey"), lambda *v: tuple(F.lit(float(x)) for x in v)
+    p = (k % 11 - 5.0, k % 7 - 3.0, k % 5 - 2.0)
+    near = G.segment_distance(p, lit(0, 0, 0), lit(3, 0, 0))
+    return table(s, d, "customer").select("c_custkey", F.round(near, 6).alias("to_segment"), F.round(G.rectangle_distance(p, lit(0, 0, 0), lit(0, 0, 0, 1), F.lit(2.0), F.lit(3.0)), 6).alias("to_rectangle"))

@@ -7,37 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
+_KEYS = ("scene", "cam_idx")
 _POSE = ("px", "py", "pz", "qx", "qy", "qz", "qw", "fov", "aspect", "near", "far", "enabled")
 
 
 def changed_cameras(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cameras of either side whose pose or lens differs, with the pose on that side."""
-    return old.select("cam_idx", *_POSE).exceptAll(new.select("cam_idx", *_POSE)).union(new.select("cam_idx", *_POSE).exceptAll(old.select("cam_idx", *_POSE)))
+    return old.select(*_KEYS, *_POSE).exceptAll(new.select(*_KEYS, *_POSE)).union(new.select(*_KEYS, *_POSE).exceptAll(old.select(*_KEYS, *_POSE)))
+
 
+def dirty_chunks(space, chunks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks that a frustum, before or after, of a camera that changed may reach; disabled sides count for nothing.
 
-def dirty_chunks(points: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks with a point in a frustum, before or after, of a camera that changed; disabled sides count for nothing."""
-    from ..operators.visibility import candidates
+    Frusta are held against chunks, not against points.
+    """
+    from ..operators.visibility import chunk_cameras
 
-    return candidates(points, changed_cameras(old, new)).select("chunk_id").distinct()
+    return chunk_cameras(space, chunks, changed_cameras(old, new)).select("chunk_id").distinct()
 
 
 def merge_stats(baseline: DataFrame, recomputed: DataFrame, dirty: DataFrame) -> DataFrame:
     """The baseline with the dirty chunks replaced."""
-    return baseline.join(F.broadcast(dirty), "chunk_id", "left_anti").unionByName(recomputed)
+    return baseline.join(dirty, "chunk_id", "left_anti").unionByName(recomputed)
 
 
-def recompute(points: DataFrame, old: DataFrame, new: DataFrame, baseline: DataFrame, stats: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def recompute(space, chunks: DataFrame, points: DataFrame, old: DataFrame, new: DataFrame, baseline: DataFrame, stats: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Chunk statistics under ``new``: ``stats(points, cameras)`` runs over the dirty chunks only."""
-    dirty = dirty_chunks(points, old, new)
-    return merge_stats(baseline, stats(points.join(F.broadcast(dirty), "chunk_id", "left_semi"), new), dirty)
+    dirty = checkpointed(dirty_chunks(space, chunks, old, new))
+    return merge_stats(baseline, stats(points.join(dirty, "chunk_id", "left_semi"), new), dirty)
 
 
 def edit_stream(edits: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Run ``apply(edits of the batch, batch id)`` for every micro-batch of camera edits; the last edit of a camera in a batch counts."""
 
     def each(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("cam_idx").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "cam_idx"]), "seq").alias("e"))
-        apply(last.select("cam_idx", "e.*"), number)
+        last = batch.groupBy(*_KEYS).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in _KEYS]), "seq").alias("e"))
+        apply(last.select(*_KEYS, "e.*"), number)
 
     return edits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
