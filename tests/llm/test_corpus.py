@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vantagrid.llm import bpe, decontaminate, fingerprint, html, langid, minhash, pii, sharding, substrings, warc
 from vantagrid.llm.common import scratch
@@ -133,6 +134,29 @@ def test_fingerprints(docs):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_next_documents_over_ties_nulls_and_far_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
+    ids = [-(1 << 63), (1 << 63) - 1, 1 << 60, *range(-40, 60, 3)]
+    rows = [(i, f"t{i} " * 5) for i in ids]
+    found = rows_of(fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    order = sorted(rows, reverse=True)
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        assert found[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
+    ties = [(5, f"x{j} y z w {j}") for j in range(90)] + [(None, f"x{j} y z w {j}") for j in range(50)] + [(6, "a b c")] * 40
+    assert fingerprint.fingerprints(spark.createDataFrame(ties, "doc_id long, text string").repartition(3)).count() == 180
+
+
+def test_merged_sketches_are_those_of_both_texts(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    rows = spark.createDataFrame([(say(n), say(m)) for n, m in ((3, 900), (400, 400), (1200, 20), (0, 50))], "a string, b string")
+    rows = fingerprint.add_sketch(fingerprint.add_sketch(rows, "a", "sa"), "b", "sb").withColumn("both", fingerprint.merge(F.col("sa"), F.col("sb")))
+    for r in rows.collect():
+        low = sorted({h for h in (*r["sa"], *r["sb"]) if h < fingerprint._BELOW})
+        assert r["both"] == (low if len(low) >= fingerprint.FLOOR else sorted({*r["sa"], *r["sb"]})[: fingerprint.FLOOR])
+
+
 def test_bpe_tree_equals_whole_encoding(spark, docs):
     codec, sizes = bpe._codec(bpe.vocabulary_path())
     for t in [*(t or "" for t in texts()), "x" * 500, "a  b\n\n c 12 ' s's" * 80, "é ñ" * 300]:
@@ -154,6 +178,28 @@ def test_shards(docs):
         slots[r["shard"]].append(r["slot"])
         loads[r["shard"]] += r["size"]
     assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Longest processing time over the groups, by hand: the same loads, in whichever order equal groups went.
+    groups, expected = Counter(), [0] * sharding.SHARDS
+    for r in found:
+        groups[texts_of[r["doc_id"]]] += r["size"]
+    for size in sorted(groups.values(), reverse=True):
+        expected[expected.index(min(expected))] += size
+    assert [loads[s] for s in range(sharding.SHARDS)] == expected
+
+
+def test_long_runs_are_scheduled_as_short_ones():
+    rng = random.Random(6)
+    for _ in range(60):
+        runs = [(size, rng.choice((1, 3, 90, 400))) for size in rng.sample(range(1, 60), 5)]
+        loads, expected = [0] * 5, []
+        for size, count in sorted(runs, reverse=True):
+            taken = [0] * 5
+            for _ in range(count):
+                s = loads.index(min(loads))
+                loads[s] += size
+                taken[s] += 1
+            expected.append((size, taken))
+        assert sharding.longest_first(runs, 5) == expected
 
 
 def test_pii_spans_and_disclosing_terms(spark):
@@ -173,6 +219,20 @@ def test_pii_spans_and_disclosing_terms(spark):
     assert "Zorblat" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[10]["text"] is None and clean[20]["text"] == rows[7][1]
 
 
+def test_pii_scans_equal_the_plain_patterns_in_linear_time():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice("a@.-1 2é5+%") for _ in range(rng.randint(0, 40)))
+        plain = [("email", *m.span()) for m in email.finditer(t)] + [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[0] in ("email", "ip")] == plain
+    for t in ("1" * 300_000, "a" * 300_000 + "@", "0" * 9000 + ".1.1.1", "1.1.1.1." * 50_000):
+        assert len(pii.base_spans(t)) in (0, 1, 50_000)
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    assert pii.secret_spans(f'token = "{key}" and aaaaaaaaaaaaaaaaaaaaaaaa1 and averyveryverylongwordwithoutdigits') == [("secret", 9, 49)]
+    assert pii.replaced(f"the {key}.", None) == "the [SECRET]."
+
+
 def test_pii_terms_equal_brute_force(spark):
     """Entities of one text, of several and of many; terms by mutual information over all documents, copies too."""
     rng = random.Random(8)
@@ -263,6 +323,42 @@ def test_language(spark):
     assert langid.accept(docs).columns == docs.columns and langid.learn(docs.limit(0)) == {}
 
 
+def test_language_equals_out_of_place_distance_and_holds_out(spark):
+    """Ranks and distances by hand for every document of the small table, and held-out accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = langid.learn(docs)
+    rank = {lang: {g: i for i, g in enumerate(grams)} for lang, grams in profiles.items()}
+    right = total = 0
+    for r in langid.identify(docs, profiles).withColumn("out", langid.held_out()).collect():
+        counts = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split():
+            signs = [1, *map(ord, word), 1]
+            for n in (1, 2, 3):
+                counts.update(tuple(signs[i : i + n]) for i in range(len(signs) - n + 1) if signs[i : i + n] != [1])
+        keys = Counter({sum(c << 21 * (len(g) - 1 - k) for k, c in enumerate(g)): n for g, n in counts.items()})
+        mine = [g for g, _ in sorted(keys.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+        if not mine:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        far = {lang: sum(abs(of[g] - i) if g in of else langid.PROFILE for i, g in enumerate(mine)) for lang, of in rank.items()}
+        best = min(sorted(far), key=far.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - far[best] / (langid.PROFILE * len(mine)))
+        if r["out"] and r["lang"]:
+            total, right = total + 1, right + (r["lang_pred"] == r["lang"])
+    assert total > 20 and right >= 0.95 * total
+
+
+def test_html_regions():
+    body = "body text is long enough to be the main thing here. " * 6
+    assert html.main_text(f"<body><form><div><p>{body}</p><p>Short.</p></div></form></body>").endswith("here. Short.")
+    assert html.main_text(f"<body><div class='col side-by-side'><article><h1>H</h1><p>{body}</p></article></div>").startswith("H body")
+    assert html.main_text(f"<body><article>teaser</article><div><p>{body}</p><p>end</p></div>").endswith("here. end")
+    links = "<ul><li><a>Buy x</a><li><a>Buy y</a><li><a>Buy z</a></ul>"
+    assert html.main_text(f"<body><article><p>{body}</p>{links}</article><section class=comments><p>{body * 4}</p></section>") == body.strip()
+    for page in ("<span>" * 20_000 + "</b>" * 20_000 + "x", "<div>" * 20_000 + "<p>x</div>" * 20_000):
+        html.main_text(page)  # ends soon
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav><a href=/>menu one</a></nav><div class='cookie notice'>we bake</div><article><h1>Head &amp; line</h1><p>First   <b>bold</b><i>er</i><p>Second<br>part<div class=comments>me too</div></article><footer>legal</footer><script>x<p></script>"
     assert html.main_text(page) == "Head & line First bolder Second part"
@@ -307,6 +403,40 @@ def test_pages_with_odd_rows(spark):
         assert warc.captures(spark, path).count() == n
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    same = "one two three four five six seven"
+    rows = [(1, same), (7, same), (7, "quite another text of its own here"), (7, None), (None, same)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone_id", "2 AS gone_key", "3 AS _gone_id", "4 AS text_key")
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows[:1] + rows[2:])
+
+
+def test_the_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    """run() on a small corpus with nulls, empty and odd texts, copies, a benchmark item and personal data."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    base = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' AND length(text) BETWEEN 300 AND 3000").orderBy("doc_id").limit(30).collect()]
+    texts = [None, "", "123 456 !?", *base, base[3], base[4] + " More", f"{base[5][:150]} the item to find is this one of many words here {base[5][150:]}", f"{base[6]} mail ann@x.example.org now"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the item to find is this one of many words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    profiles = langid.Profiles(langid.learn(docs))
+    said = [profiles.nearest(t) for t in texts]
+    told = [i for i, (lang, score) in enumerate(said) if lang != "und" and score >= langid.LEAST_SCORE]
+    groups = brute_components(docs.where(F.col("doc_id").isin(told)))
+    left = [i for i in told if groups[i][2] and "the item to find is this one of many words here" not in texts[i]]
+    assert set(found) == set(left) and 3 in left and {0, 1, 2} & set(left) == set()
+    codec, _ = bpe._codec(bpe.vocabulary_path())
+    terms = {r["doc_id"]: r["spans"] for r in pii.spans(docs.where(F.col("doc_id").isin(left))).collect()}
+    for i in left:
+        if not terms[i]:  # nothing to hide: the text goes through whole
+            assert found[i]["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in codec.encode_ordinary(texts[i]))).hexdigest()
+        assert found[i]["decoded_sha256"] == found[i]["text_sha256"]
+
+
 CALLS = {
     "op1": minhash.near_duplicates,
     "op1 kept": minhash.deduplicate,
