@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Sides counted to be smaller are broadcast; larger ones go through keyed joins.
-BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset on a single machine. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,10 +29,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
-    return df.count() * row_bytes <= BROADCAST_BYTES
-
-
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
