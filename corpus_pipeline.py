@@ -1,7 +1,7 @@
 """A training-data pipeline of five corpus operators, over ``documents``.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
-gives the columns of ``documents``, the last the encoded texts.
+gives the columns of ``documents``, the last the digests of the encoded and decoded texts.
 """
 
 from __future__ import annotations
