@@ -114,7 +114,8 @@ def test_substrings_equal_brute_force(docs):
 
 def test_substrings_split_hot_anchors(docs, monkeypatch):
     plain = {i: tuple(r) for i, r in rows_of(substrings.digests(docs)).items()}
-    monkeypatch.setattr(substrings, "HOT_PIECES", 2)
+    monkeypatch.setattr(substrings, "SHARD_PIECES", 2)
+    monkeypatch.setattr(substrings, "STREAM_PIECES", 5)
     assert {i: tuple(r) for i, r in rows_of(substrings.digests(docs)).items()} == plain
 
 

@@ -7,18 +7,21 @@ windows are routed first, without loss:
 
 1. *Routing.*  Equal windows hold the same least ``GRAM``-word hash (their anchor).  Consecutive windows with
    one anchor make a *piece*.  Anchors that stand only once in the corpus are left behind.
-2. *Copies.*  Equal pieces are one class, by an aggregate that combines before the shuffle; the occurrence in the smallest doc_id
-   stands for it, and all others start later.  So a passage that thousands of documents share is indexed once.
-3. *Index.*  Where different pieces share an anchor, the class representatives are dealt by anchor to shards of
-   about ``SHARD_PIECES``.  Each shard builds a compressed FM-index (a wavelet matrix over its BWT) and streams its
-   pieces through it by backward search; the suffix interval of a window tells its earliest start, and runs of windows
-   that start earlier elsewhere are reported as intervals.
-4. An anchor with more than ``HOT_PIECES`` different pieces is split: its windows are routed one by one by all their words.
-5. *Removal.*  The intervals of a document (no more than it has windows) meet its text once more.
+2. *Classes.*  Equal pieces are one class, by an aggregate that combines before the shuffle; its occurrence in the smallest
+   doc_id lends its words to the index.  So a passage that thousands of documents share is indexed once.
+3. *Index.*  Classes are dealt by anchor to shards of about ``SHARD_PIECES``.  Each shard builds a compressed FM-index (a
+   wavelet matrix over its BWT) of the words of its classes.
+4. *Stream.*  All occurrences, the first ones too, are streamed through the index of their shard, ``STREAM_PIECES`` to a
+   task; a shard with more has several tasks with the same index.  Backward search gives each word of a piece its matching statistic, the length
+   of the longest match that ends there and stands earlier in the corpus; those of ``WINDOW`` words and more are
+   reported as intervals.  Nothing is removed but by these.
+5. *Hot anchors.*  An anchor with more classes than a shard is split: its pieces are routed by the hash of all their
+   words, and the windows of each class, which may stand in pieces of other classes, by theirs.
+6. *Removal.*  The intervals of a document (no more than it has windows) meet its text once more.
 
 Null and empty texts have no words.  A null doc_id counts as larger than all others.  Rows that share a
 doc_id count as one document with several texts, and none of them is removed for the
-equal piece of another.  Extra columns are ignored; an empty table gives an empty result.
+equal start in another.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from .words import Words, _power, mix, pieces, runs
 WINDOW = 20
 GRAM = 6
 SHARD_PIECES = 20_000
-HOT_PIECES = 5_000
+STREAM_PIECES = 200_000
 LAST = (1 << 63) - 1
 _TIES = (1 << 24) - 1
 
@@ -102,125 +105,153 @@ def _ties(texts: pa.Array) -> np.ndarray:
 
 
 def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, piece, doc, at); a null anchor marks an occurrence that the same document held before."""
+    """(anchor, piece, doc, at, again); ``again`` marks an occurrence that the same text held before."""
     for batch in batches:
         docs = batch["doc"].to_numpy()
         for i, j, _, _, words in pieces(batch["text"], lower=False):
             ties = _ties(batch["text"].slice(i, j - i))
             anchor, piece, text, start, count = routed(words)
-            first = _first_of(piece, anchor, text)
+            again = ~_first_of(piece, anchor, text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64), mask=~first), pa.array(piece.view(np.int64)), pa.array(docs[i + text]), pa.array(place(ties[text], start, count))],
-                ["anchor", "piece", "doc", "at"],
+                [pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(docs[i + text]), pa.array(place(ties[text], start, count)), pa.array(again)],
+                ["anchor", "piece", "doc", "at", "again"],
             )
 
 
+_WORDS = pa.schema([("route", pa.int64()), ("piece", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("words", pa.binary()), ("again", pa.bool_())])
+
+
 def _words_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the asked pieces, and the windows of hot ones.
+    """The word hashes of the asked pieces, and of each window of those that are to be split.
 
-    (route, doc, at, words): ``words`` is null for single windows of hot anchors, whose route is
-    the hash of all their words, and route is null too where the document held the window before.
+    ``again`` is null for pieces; for windows it marks those that the same text held before.
     """
     for batch in batches:
         docs, asked = batch["doc"].to_numpy(), batch["asked"]
         for i, j, _, _, words in pieces(batch["text"], lower=False):
-            routes, owners, ats, parts = [], [], [], []
-            hot_text, hot_start, hot_at = [], [], []
+            rows: list[tuple] = []
+            cut_text, cut_start, cut_at = [], [], []
             for k in range(i, j):
                 for row in asked[k].as_py():
                     start, count = int(_start(row["at"])), row["at"] & 31
                     a = int(words.first[k - i]) + start
+                    if row["whole"]:
+                        rows.append((row["route"], row["piece"], docs[k], row["at"], words.hash[a : a + count + WINDOW - 1].tobytes(), None))
                     if row["hot"]:
-                        hot_text += [k] * count
-                        hot_start += range(a, a + count)
-                        hot_at += [place(np.int64(row["at"] >> 39), np.int64(start + x), np.int64(1)) for x in range(count)]
-                    else:
-                        routes.append(row["anchor"])
-                        owners.append(docs[k])
-                        ats.append(row["at"])
-                        parts.append(words.hash[a : a + count + WINDOW - 1].tobytes())
-            if hot_at:
-                text, start, at = np.array(hot_text), np.array(hot_start), np.array(hot_at, np.int64)
+                        cut_text += [k] * count
+                        cut_start += range(a, a + count)
+                        cut_at += [place(np.int64(row["at"] >> 39), np.int64(start + x), np.int64(1)) for x in range(count)]
+            if cut_at:
+                text, start, at = np.array(cut_text), np.array(cut_start), np.array(cut_at, np.int64)
                 order = np.lexsort((start, text))
                 text, start, at = text[order], start[order], at[order]
                 keys = _stretches(words.hash, start, np.full(len(start), WINDOW))
                 again = ~_first_of(keys, text)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), mask=again), pa.array(docs[text]), pa.array(at), pa.nulls(len(at), pa.binary())], ["route", "doc", "at", "words"])
-            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(owners, pa.int64()), pa.array(ats, pa.int64()), pa.array(parts, pa.binary())], ["route", "doc", "at", "words"])
+                own = [words.hash[a : a + WINDOW].tobytes() for a in start]
+                key = pa.array(keys.view(np.int64))
+                yield pa.RecordBatch.from_arrays([key, key, pa.array(docs[text]), pa.array(at), pa.array(own, pa.binary()), pa.array(again)], schema=_WORDS)
+            columns = list(zip(*rows)) or [()] * len(_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORDS)], schema=_WORDS)
+
 
+def _within(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``count``, one after the other."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
-def _searched(table: pa.Table) -> pa.Table:
-    """(doc, at) of the runs of windows in one shard that start earlier in another piece of it."""
-    doc, at = table["doc"].to_numpy(), table["at"].to_numpy()
-    count, start = at & 31, _start(at)
-    sizes = count + WINDOW - 1
+
+def _streamed(classes: pa.Table, stream: pa.Table) -> pa.Table:
+    """(doc, at) of the stretches of streamed pieces whose words stand earlier among the classes of the shard.
+
+    A window's last word has its matching statistic: the length of the longest match that ends there and starts
+    earlier in the corpus than the occurrence itself.  The search is done once for each class; how far it holds differs
+    from occurrence to occurrence.
+    """
+    if not len(classes) or not len(stream):
+        return pa.table({"doc": pa.array([], pa.int64()), "at": pa.array([], pa.int64())})
+    doc, at = classes["doc"].to_numpy(), classes["at"].to_numpy()
+    sizes = (at & 31) + WINDOW - 1
     ends = np.cumsum(sizes + 1)
     begin = ends - sizes - 1
-    hashes = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint64)
-    symbols = np.unique(hashes, return_inverse=True)[1] + 1
+    symbols = np.unique(np.frombuffer(b"".join(classes["words"].to_pylist()), np.uint64), return_inverse=True)[1] + 1
     text = np.zeros(int(ends[-1]), np.int64)
-    text[np.delete(np.arange(len(text)), ends - 1)] = symbols
-    index = FMIndex(text, WINDOW)
-    # Every window of every piece, with its place in the text and its order among all of them.
-    owner = np.repeat(np.arange(len(at)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    where = begin[owner] + offset
-    order = np.empty(len(owner), np.int64)
-    order[np.lexsort((start[owner] + offset, doc[owner]))] = np.arange(len(owner))
-    by_place = np.full(len(text), len(owner), np.int64)  # suffixes that begin no window come last
-    by_place[where] = order
-    earliest = np.empty(len(owner), np.int64)
-    sorted_orders = by_place[index.suffixes]
-    for a in range(0, len(owner), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        low, high = index.search(text[where[part, None] + np.arange(WINDOW)])
-        cuts, back = np.unique(low, return_inverse=True)
-        until = np.empty(len(cuts), np.int64)
-        until[back] = high
-        bounds = np.stack([cuts, until], axis=1).ravel()
-        padded = np.append(sorted_orders, len(owner))
-        earliest[part] = np.minimum.reduceat(padded, bounds)[::2][back]
-    # Two rows of one document and start are the same place.
-    same = (doc[owner][np.argsort(order)][earliest] == doc[owner]) & ((start[owner] + offset)[np.argsort(order)][earliest] == start[owner] + offset)
-    gone = (earliest < order) & ~same
-    fresh = gone.copy()
-    fresh[1:] &= ~gone[:-1] | (owner[1:] != owner[:-1])
-    head = np.flatnonzero(fresh)
-    last = gone.copy()
-    last[:-1] &= ~gone[1:] | (owner[1:] != owner[:-1])
-    tail = np.flatnonzero(last)
-    own = owner[head]
-    return pa.table({"doc": doc[own], "at": place(at[own] >> 39, start[own] + offset[head], tail - head + 1)})
+    filled = np.delete(np.arange(len(text)), ends - 1)
+    text[filled] = symbols
+    place_doc, place_start = np.repeat(doc, sizes), np.repeat(_start(at), sizes) + _within(sizes)
+    by_order = np.lexsort((place_start, place_doc))
+    order = np.full(len(text), len(filled), np.int64)  # separators come last
+    order[filled[by_order]] = np.arange(len(filled))
+    place_doc, place_start = place_doc[by_order], place_start[by_order]
+    index = FMIndex(text, int(sizes.max()), order)
+
+    # The classes that the stream asks for, and the last words of their windows.
+    keys, sample = np.unique(classes["piece"].to_numpy(), return_index=True)
+    asked, mine = np.unique(np.searchsorted(keys, stream["piece"].to_numpy()), return_inverse=True)
+    sample = sample[asked]
+    windows = at[sample] & 31
+    first_window, window = np.cumsum(windows) - windows, _within(windows)
+    last = np.repeat(begin[sample], windows) + window + WINDOW - 1
+    low, high = index.single(text[last])
+    for i in range(1, WINDOW):
+        low, high = index.extend(text[last - i], low, high)
+
+    own_doc, own_at = stream["doc"].to_numpy(), stream["at"].to_numpy()
+    count = own_at & 31
+    row, mine_window = np.repeat(np.arange(len(count)), count), _within(count)
+    found = first_window[mine][row] + mine_window
+    own_start = _start(own_at)[row] + mine_window
+    statistic = np.zeros(len(row), np.int64)
+    active, length, of_class = np.arange(len(row)), WINDOW, np.arange(len(last))
+    earliest = np.empty(len(last), np.int64)
+    while len(active):
+        earliest[of_class] = index.earliest(low[of_class], high[of_class])
+        least, d = earliest[found[active]], own_doc[row[active]]
+        earlier = (place_doc[least] < d) | ((place_doc[least] == d) & (place_start[least] < own_start[active] - (length - WINDOW)))
+        active = active[earlier]
+        statistic[active] = length
+        length += 1
+        active = active[mine_window[active] >= length - WINDOW]
+        of_class = np.unique(found[active])
+        low[of_class], high[of_class] = index.extend(text[last[of_class] - (length - 1)], low[of_class], high[of_class])
+    # An interval that the next word's covers isn't reported.
+    top = statistic > 0
+    top[:-1] &= (row[1:] != row[:-1]) | (statistic[1:] <= statistic[:-1])
+    end = np.flatnonzero(top)
+    beyond = statistic[end] - WINDOW
+    return pa.table({"doc": own_doc[row[end]], "at": place(own_at[row[end]] >> 39, own_start[end] - beyond, beyond + 1)})
 
 
 def intervals(docs: DataFrame) -> DataFrame:
     """doc (null ids as the largest long), tie, and the removed stretches of each text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), whole_text().alias("text"))
-    every = materialise(rows.mapInArrow(_route, "anchor long, piece long, doc long, at long"))
-    within = every.where("anchor IS NULL").select("doc", "at")
-    often = every.where("anchor IS NOT NULL").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    every = materialise(rows.mapInArrow(_route, "anchor long, piece long, doc long, at long, again boolean"))
+    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = materialise(every.join(often, "anchor"))
-    classes = shared.groupBy("anchor", "piece").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
-    marked = materialise(shared.join(classes, ["anchor", "piece"]).select("anchor", "doc", "at", "first", "n"))
-    copies = marked.where("doc > first").select("doc", "at")
-    leaders = marked.where("doc = first")
-    meeting = leaders.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
-    asked = leaders.join(meeting, "anchor").select("doc", "anchor", "at", (F.col("pieces") > HOT_PIECES).alias("hot"))
-    asked = asked.groupBy("doc", F.shiftright("at", 39).alias("tie")).agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("asked"))
-    asked = materialise(asked)
-    tied = rows.withColumn("tie", text_tie())
-    ids = small(asked.select("doc", "tie"), 32)
-    texts = tied.join(ids, ["doc", "tie"], "left_semi").join(asked, ["doc", "tie"])
-    found = materialise(texts.select("doc", "text", "asked").mapInArrow(_words_of_pieces, "route long, doc long, at long, words binary"))
-    n = found.where("words IS NOT NULL").count()
-    shards = max(1, -(-n // SHARD_PIECES))
-    dealt = found.where("words IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    searched = dealt.groupBy("shard").applyInArrow(_searched, "doc long, at long")
-    single = found.where("words IS NULL AND route IS NOT NULL")
-    earliest = single.groupBy("route").agg(F.min("doc").alias("first"))
-    split = single.join(earliest, "route").where("doc > first").select("doc", "at")
-    again = found.where("words IS NULL AND route IS NULL").select("doc", "at")
-    gone = within.union(copies).union(searched).union(split).union(again)
+    classes = materialise(shared.groupBy("anchor", "piece").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+    hot = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where(F.col("classes") > SHARD_PIECES).select("anchor", F.lit(True).alias("hot"))
+    marked = shared.join(classes, ["anchor", "piece"]).join(small(hot, 16), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    whole = ~F.col("hot") | (F.col("n") > 1)
+    marked = materialise(marked.select(F.when(F.col("hot"), F.col("piece")).otherwise(F.col("anchor")).alias("route"), "piece", "doc", "at", "again", "first", "hot", whole.alias("whole")))
+
+    leaders = marked.where("doc = first AND NOT again")
+    asked = leaders.groupBy("doc", F.shiftright("at", 39).alias("tie")).agg(F.collect_list(F.struct("route", "piece", "at", "hot", "whole")).alias("asked"))
+    texts = rows.withColumn("tie", text_tie()).join(materialise(asked), ["doc", "tie"])
+    found = materialise(texts.select("doc", "text", "asked").mapInArrow(_words_of_pieces, "route long, piece long, doc long, at long, words binary, again boolean"))
+    cut = found.where("again IS NOT NULL")
+    twice = cut.groupBy("route").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("route", "first")
+    cut = cut.join(twice, "route")
+    columns = ["route", "piece", "doc", "at"]
+    indexed = found.where("again IS NULL").select(*columns, "words").union(cut.where("doc = first AND NOT again").select(*columns, "words"))
+    stream = marked.where("whole").select(*columns).union(cut.select(*columns))
+
+    shards = max(1, -(-found.count() // SHARD_PIECES))
+    shard = F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")
+    sizes = stream.groupBy(shard).agg(F.ceil(F.count("*") / STREAM_PIECES).cast("int").alias("tasks"))
+    sizes = small(materialise(sizes), 16)  # one row a shard
+    indexed = indexed.select("*", shard).join(sizes, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    stream = stream.select("*", shard).join(sizes, "shard").withColumn("task", F.pmod(F.xxhash64("doc", "at"), F.col("tasks")).cast("int"))
+    index_of = indexed.select("shard", "task", "piece", "doc", "at", "words").groupBy("shard", "task")
+    stream_of = stream.select("shard", "task", "piece", "doc", "at").groupBy("shard", "task")
+    gone = index_of.cogroup(stream_of).applyInArrow(_streamed, "doc long, at long")
     return materialise(gone.groupBy("doc", F.shiftright("at", 39).alias("tie")).agg(F.collect_list("at").alias("gone")))
 
 
