@@ -116,6 +116,7 @@ def test_substrings_split_hot_anchors(docs, monkeypatch):
     plain = {i: tuple(r) for i, r in rows_of(substrings.digests(docs)).items()}
     monkeypatch.setattr(substrings, "SHARD_PIECES", 2)
     monkeypatch.setattr(substrings, "STREAM_PIECES", 5)
+    monkeypatch.setattr(substrings, "BUSY_ROWS", 3)
     assert {i: tuple(r) for i, r in rows_of(substrings.digests(docs)).items()} == plain
 
 

@@ -44,6 +44,7 @@ WINDOW = 20
 GRAM = 6
 SHARD_PIECES = 20_000
 STREAM_PIECES = 200_000
+BUSY_ROWS = 5_000
 LAST = (1 << 63) - 1
 _TIES = (1 << 24) - 1
 
@@ -220,15 +221,26 @@ def _streamed(classes: pa.Table, stream: pa.Table) -> pa.Table:
     return pa.table({"doc": own_doc[row[end]], "at": place(own_at[row[end]] >> 39, own_start[end] - beyond, beyond + 1)})
 
 
+def _with_counted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with ``groups``, one row for each of ``keys`` and its number of rows ``n``.
+
+    The groups of more than ``BUSY_ROWS`` are fewer than rows / ``BUSY_ROWS``; their rows stay where they are, and only
+    those of other groups are shuffled, so no key can fill a task.
+    """
+    busy = small(groups.where(F.col("n") > BUSY_ROWS), 64)
+    rest = rows.join(busy, keys, "left_anti").join(groups.where(F.col("n") <= BUSY_ROWS), keys)
+    return rows.join(busy, keys).unionByName(rest)
+
+
 def intervals(docs: DataFrame) -> DataFrame:
     """doc (null ids as the largest long), tie, and the removed stretches of each text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), whole_text().alias("text"))
     every = materialise(rows.mapInArrow(_route, "anchor long, piece long, doc long, at long, again boolean"))
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = materialise(every.join(often, "anchor"))
+    often = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = materialise(_with_counted(every, often, ["anchor"]).drop("n"))
     classes = materialise(shared.groupBy("anchor", "piece").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
     hot = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where(F.col("classes") > SHARD_PIECES).select("anchor", F.lit(True).alias("hot"))
-    marked = shared.join(classes, ["anchor", "piece"]).join(small(hot, 16), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    marked = _with_counted(shared, classes, ["anchor", "piece"]).join(small(hot, 16), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     whole = ~F.col("hot") | (F.col("n") > 1)
     marked = materialise(marked.select(F.when(F.col("hot"), F.col("piece")).otherwise(F.col("anchor")).alias("route"), "piece", "doc", "at", "again", "first", "hot", whole.alias("whole")))
 
