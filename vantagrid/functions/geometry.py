@@ -156,3 +156,19 @@ def rectangle_distance(p: Vec, centre: Vec, q: Sequence[Column], width: Column,
     local = unrotate(q, sub(p, centre))
     beyond = lambda c, size: F.greatest(F.abs(c) - size / 2, F.lit(0.0))
     return length((beyond(local[0], width), local[1], beyond(local[2], depth)))
+
+
+def euler_quaternion(yaw: Column, pitch: Column, roll: Column) -> tuple[Column, Column, Column, Column]:
+    """The quaternion of turns about y, then the new x, then the new z; degrees."""
+    (sy, cy), (sp, cp), (sr, cr) = ((F.sin(F.radians(a) / 2), F.cos(F.radians(a) / 2)) for a in (yaw, pitch, roll))
+    return cy * sp * cr + sy * cp * sr, sy * cp * cr - cy * sp * sr, cy * cp * sr - sy * sp * cr, cy * cp * cr + sy * sp * sr
+
+
+def quaternion_euler(q: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """Yaw, pitch and roll in degrees; looking straight up or down, the roll is 0."""
+    x, y, z, w = q
+    sine = F.least(F.greatest(2 * (w * x - y * z), F.lit(-1.0)), F.lit(1.0))
+    level = F.abs(sine) < 0.9999999
+    yaw = F.when(level, F.atan2(2 * (x * z + w * y), 1 - 2 * (x * x + y * y))).otherwise(F.atan2(-2 * (x * z - w * y), 1 - 2 * (y * y + z * z)))
+    roll = F.when(level, F.atan2(2 * (x * y + w * z), 1 - 2 * (x * x + z * z))).otherwise(F.lit(0.0))
+    return F.degrees(yaw), F.degrees(F.asin(sine)), F.degrees(roll)
