@@ -43,7 +43,7 @@ def test_mount_overlap_equals_counting(spark):
 
     hits = 0
     for k in range(records.DRAWS):
-        far, height, turn = inverse(5 + k, 2) ** (1 / 3), 2 * inverse(5 + k, 3) - 1, 2 * math.pi * inverse(5 + k, 5)
+        far, height, turn = inverse(5 + k, 5) ** (1 / 3), 2 * inverse(5 + k, 7) - 1, 2 * math.pi * inverse(5 + k, 11)
         flat = far * math.sqrt(1 - height * height)
         x, y, z = 2 * flat * math.cos(turn), 2 * far * height, 2 * flat * math.sin(turn)
         hits += abs(y) <= 1 and abs(z) <= 1 and (abs(x) <= 1 or abs(x - 0.5) <= 1)

@@ -110,9 +110,10 @@ def halton(index: Column, base: int) -> Column:
     return F.aggregate(digits, F.lit(0.0), lambda total, d: total + (F.floor(index / power(d)) % base).cast("double") / power(d + 1))
 
 
-def ball_point(index: Column, radius: float) -> Vec:
-    """A low-discrepancy point of a ball: distance, height and turn from the radical inverses in 2, 3 and 5."""
-    far, height, turn = radius * F.cbrt(halton(index, 2)), 2 * halton(index, 3) - 1, 2 * math.pi * halton(index, 5)
+def ball_point(index: Column, radius: float, bases: tuple[int, int, int] = (2, 3, 5)) -> Vec:
+    """A low-discrepancy point of a ball: distance, height and turn from the radical inverses in three bases."""
+    first, second, third = (halton(index, b) for b in bases)
+    far, height, turn = radius * F.cbrt(first), 2 * second - 1, 2 * math.pi * third
     flat = far * F.sqrt(1 - height * height)
     return flat * F.cos(turn), far * height, flat * F.sin(turn)
 

@@ -20,6 +20,8 @@ SUMMARIES = ("mean", "max", "min", "blind")
 AXES = {"horizontal": (1, 0, 2), "vertical-x": (0, 2, 1), "vertical-z": (2, 0, 1)}
 LEAST_CLIP, CLIP = 0.1, 2.0
 DRAWS = 256
+#: A draw takes bases 2 and 3 for its place on the constraint, and these for the way off it.
+BALL_BASES = (5, 7, 11)
 
 
 def finite(c: Column) -> Column:
@@ -155,7 +157,7 @@ def file_names(rows: DataFrame, extension: str) -> DataFrame:
 def mount_overlap(constraints: DataFrame, volumes: DataFrame) -> DataFrame:
     """The share of ``DRAWS`` positions around each point constraint (scene, id, px, py, pz, distance, start) that lie in a volume of its scene."""
     drawn = constraints.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    offset = ball_point(F.col("start") + F.col("draw"), 1.0)
+    offset = ball_point(F.col("start") + F.col("draw"), 1.0, BALL_BASES)
     at = add(vec("px", "py", "pz"), tuple(F.col("distance") * c for c in offset))
     drawn = drawn.select("scene", "id", "draw", *(c.alias(n) for n, c in zip("xyz", at)))
     inside = in_box(vec("x", "y", "z"), vec("rx", "ry", "rz"), vec("hx", "hy", "hz"), [F.col(f"rq{a}") for a in "xyzw"])
