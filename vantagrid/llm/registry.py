@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html, langid, minhash, pii, sharding, substrings, warc
+from . import bpe, decontaminate, fingerprint, html, langid, minhash, negatives, pii, sharding, substrings, topk, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.query,
     "op9_sharding": sharding.query,
     "op10_pii": pii.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_exact_topk": topk.query,
 }
 
 _OP5 = r"""
@@ -59,4 +62,43 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op6_warc": _OP6}
+_VECTORS = """
+WITH e AS (
+  SELECT vec_id, {label} AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
+), x AS (
+  SELECT vec_id, label, list_transform(v, lambda c: floor({factor} * c)) AS x FROM e
+  WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+)
+"""
+
+_OP12 = (
+    _VECTORS.format(factor=256, label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    + """, known AS (
+  SELECT * FROM x WHERE label IS NOT NULL
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id AS vec_id, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM known AS a JOIN known AS c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+)
+
+_OP13 = (
+    _VECTORS.format(factor=64, label="NULL")
+    + """, scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM x AS q JOIN x AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 20
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op6_warc": _OP6, "op12_hard_negatives": _OP12, "op13_exact_topk": _OP13}
