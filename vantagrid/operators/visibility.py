@@ -24,16 +24,16 @@ CELL = 2.0
 TILES = 16
 
 
-def prepared(cameras: DataFrame) -> DataFrame:
+def prepared(cameras: DataFrame, most: int = MOST_CAMERAS) -> DataFrame:
     """Cameras with their axes (right, up, ahead along -z) and the half-openings of their frustum.
 
-    A camera's index is its bit in masks, so 128 is a scene's limit; a larger index fails.
+    A camera's index is its bit in masks, so 128 is a scene's limit; a larger index fails.  Only who builds no masks may ask for ``most`` others.
     """
     up = F.tan(F.radians("fov") / 2)
     turn = [F.col(c) for c in ("qx", "qy", "qz", "qw")]
     axes = {"right": (1.0, 0.0, 0.0), "up": (0.0, 1.0, 0.0), "ahead": (0.0, 0.0, -1.0)}
     named = [c.alias(f"{name}_{a}") for name, unit in axes.items() for c, a in zip(rotate(turn, tuple(map(F.lit, unit))), "xyz")]
-    index = F.when(F.col("cam_idx").between(0, MOST_CAMERAS - 1), F.col("cam_idx")).otherwise(F.raise_error(F.lit("TOO_MANY_CAMERAS")).cast("int"))
+    index = F.when(F.col("cam_idx").between(0, most - 1), F.col("cam_idx")).otherwise(F.raise_error(F.lit("TOO_MANY_CAMERAS")).cast("int"))
     return cameras.withColumn("cam_idx", index).select("*", up.cast("float").cast("double").alias("tan_v"), (up * F.col("aspect")).cast("float").cast("double").alias("tan_h"), *named)
 
 
@@ -62,19 +62,19 @@ def _cell(c: Column) -> Column:
     return F.floor(c / CELL).cast("long")
 
 
-def camera_cells(cameras: DataFrame) -> DataFrame:
+def camera_cells(cameras: DataFrame, most: int = MOST_CAMERAS) -> DataFrame:
     """Enabled, prepared cameras once for each cell of the ground plane that their frustum's extent reaches."""
-    rows = prepared(cameras).where("enabled")
+    rows = prepared(cameras, most).where("enabled")
     for axis in "xz":
         low, high = frustum_extent(axis)
         rows = rows.withColumn(f"first_{axis}", _cell(low - 1e-9)).withColumn(f"cell_{axis}", F.explode(F.sequence(_cell(low - 1e-9), _cell(high + 1e-9))))
     return rows
 
 
-def candidates(points: DataFrame, cameras: DataFrame) -> DataFrame:
+def candidates(points: DataFrame, cameras: DataFrame, most: int = MOST_CAMERAS) -> DataFrame:
     """Pairs of a point (scene, ``point``, x, y, z) and an enabled camera of its scene whose frustum holds it."""
     placed = points.withColumn("cell_x", _cell(F.col("x"))).withColumn("cell_z", _cell(F.col("z")))
-    pairs = placed.join(camera_cells(cameras), ["scene", "cell_x", "cell_z"])
+    pairs = placed.join(camera_cells(cameras, most), ["scene", "cell_x", "cell_z"])
     return pairs.where(in_frustum(vec("x", "y", "z"))).drop("cell_x", "cell_z", "first_x", "first_z")
 
 
@@ -83,7 +83,7 @@ def _tile(c: Column) -> Column:
     return F.least(F.greatest(F.floor((c + 1) / 2 * TILES), F.lit(0)), F.lit(TILES - 1)).cast("int")
 
 
-def blockers(cameras: DataFrame, triangles: DataFrame) -> DataFrame:
+def blockers(cameras: DataFrame, triangles: DataFrame, most: int = MOST_CAMERAS) -> DataFrame:
     """For each tile of a camera's image the triangles that may hide something there.
 
     What of the ray test depends on camera and triangle alone, three vectors and a number, is computed once for each pair:
@@ -96,7 +96,7 @@ def blockers(cameras: DataFrame, triangles: DataFrame) -> DataFrame:
         names = [f"{n}{axis}" for n in "abc"]
         dealt = dealt.withColumn(f"from_{axis}", _cell(F.least(*names) - 1e-9))
         dealt = dealt.withColumn(f"cell_{axis}", F.explode(F.sequence(F.col(f"from_{axis}"), _cell(F.greatest(*names) + 1e-9))))
-    pairs = dealt.join(camera_cells(cameras), ["scene", "cell_x", "cell_z"])
+    pairs = dealt.join(camera_cells(cameras, most), ["scene", "cell_x", "cell_z"])
     # A pair may share several cells: the least of them counts.
     pairs = pairs.where(" AND ".join(f"cell_{axis} = greatest(from_{axis}, first_{axis})" for axis in "xz"))
     seen = [in_view(p) for p in corners]
@@ -129,9 +129,9 @@ def _blocks() -> Column:
     return (size >= 1e-7) & inside & (t > near) & (t < F.col("dist") * size - near)
 
 
-def sees(points: DataFrame, cameras: DataFrame, triangles: DataFrame, *keep: str) -> DataFrame:
+def sees(points: DataFrame, cameras: DataFrame, triangles: DataFrame, *keep: str, most: int = MOST_CAMERAS) -> DataFrame:
     """scene, ``point``, ``cam_idx`` (and the columns ``keep`` of the points) of every free line of sight."""
-    pairs = candidates(points, cameras)
+    pairs = candidates(points, cameras, most)
     u, v, depth = in_view(vec("x", "y", "z"))
     pairs = pairs.withColumn("dist", length(sub(vec("px", "py", "pz"), vec("x", "y", "z"))))
     away = F.greatest("dist", F.lit(1e-12))
@@ -140,7 +140,7 @@ def sees(points: DataFrame, cameras: DataFrame, triangles: DataFrame, *keep: str
         _tile(u / (F.col("tan_h") * depth)).alias("tile_u"), _tile(v / (F.col("tan_v") * depth)).alias("tile_v"),
     )
     keys = ["scene", "cam_idx", "tile_u", "tile_v"]
-    table = blockers(cameras, triangles)
+    table = blockers(cameras, triangles, most)
     table = table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys))
     same = F.lit(True)
     for k in keys:
