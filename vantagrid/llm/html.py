@@ -13,7 +13,8 @@ itself is found, it is the content lines and the lines between two of them that
 
 *Priors.*  Lines in ``article`` and ``main`` weigh ``MAIN_WEIGHT`` times in that choice.  Navigation, footers, sidebars, forms,
 adverts, notices and reader comments, told by element, role or class, have ratio 0 and are left out, and so are
-menus: ``MENU_LINES`` lines or more in a row that are links as a whole.  Where all
+menus: ``MENU_LINES`` lines or more in a row that are links as a whole.  Inside of ``article`` and ``main`` paragraphs, headings and lists of links are text whatever
+they are called, and only few names tell an element that groups others apart.  Where all
 exclusions together would leave less than ``LEAST_LEFT`` of the page's text, those that hold more than half of it aren't believed, as in a page that
 is one large form; navigation, footers and sidebars always are.
 
@@ -43,7 +44,7 @@ MAIN_WEIGHT = 2
 MENU_LINES = 3
 LEAST_LEFT = 0.02
 #: Fixed sets of element names, from the HTML standard.
-SILENT = {"script", "style", "head", "title", "template", "noscript", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video", "map"}
+SILENT = {"script", "style", "head", "title", "template", "noscript", "svg", "iframe", "select", "textarea", "button", "canvas", "audio", "video"}
 EXCLUDED = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 #: Of these an exclusion is always believed.
 NEVER = {"nav", "footer", "aside", "menu"}
@@ -64,6 +65,11 @@ _NAMED = re.compile(
     r"notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|pagination|pager|toolbar|masthead)(?:$|[\s_-])",
     re.I,
 )
+#: Inside of an article a class or id tells something else only by these, as a whole or at its start, and only on elements that group others.
+_NAMED_INSIDE = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|adsense|sponsored|promo|comments?|disqus|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|sidebar|breadcrumbs?|pagination)(?:[_-][\w-]*)?(?:\s|$)", re.I
+)
+_CAN_BE_NAMED = {"div", "section", "ul", "ol", "dl", "table", "header", "figure", "details", "center"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -92,6 +98,7 @@ class Lines(HTMLParser):
         self.places: dict[str, list[int]] = {}  # where in the stack each name is open
         self.binding: list[int] = []  # where in the stack p, list items and scopes are open
         self.blocks: list[int] = [0]  # where in the stack elements that aren't inline are open
+        self.mains: list[int] = []  # where in the stack articles and main elements are open
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
@@ -105,7 +112,7 @@ class Lines(HTMLParser):
     def pop_to(self, at: int) -> None:
         for k in range(len(self.stack) - 1, at - 1, -1):
             self.places[self.stack[k][0]].pop()
-        for held in (self.binding, self.blocks):
+        for held in (self.binding, self.blocks, self.mains):
             while held and held[-1] >= at:
                 held.pop()
         del self.stack[at:]
@@ -128,7 +135,11 @@ class Lines(HTMLParser):
         _, element, silent = self.stack[-1]
         found = dict(attrs)
         boiler = tag in EXCLUDED or (found.get("role") or "").lower() in ROLES or "hidden" in found
-        boiler = boiler or (tag not in ("html", "body", *MAIN) and bool(_NAMED.search(f"{found.get('class') or ''} {found.get('id') or ''}")))
+        called = f"{found.get('class') or ''} {found.get('id') or ''}"
+        if self.mains:
+            boiler = boiler or (tag in _CAN_BE_NAMED and bool(_NAMED_INSIDE.search(called)))
+        else:
+            boiler = boiler or (tag not in ("html", "body", *MAIN) and bool(_NAMED.search(called)))
         if tag not in INLINE or boiler:
             if tag in INLINE:
                 self.flush()
@@ -136,6 +147,8 @@ class Lines(HTMLParser):
             self.elements.append((name, element, boiler))
             element = len(self.elements) - 1
         at = len(self.stack)
+        if tag in MAIN or found.get("role") == "main":
+            self.mains.append(at)
         self.places.setdefault(tag, []).append(at)
         if tag in _BINDING:
             self.binding.append(at)
@@ -252,7 +265,7 @@ def main_text(html: str | None) -> str:
     # The head of a page is boilerplate, the head of an article isn't.
     boiler = [b or (n == "header" and not m) for b, n, m in zip(boiler, names, main)]
     size, ratios = np.array([len(x.text) for x in lines]), np.array([len(x.text) / x.tags for x in lines])
-    menu = _menus(lines)
+    menu = _menus(lines) & ~np.array(main)[at]
     left = lambda: ~np.array(_inherited(parents, boiler))[at] & ~menu
     usable = left()
     if size[usable].sum() < LEAST_LEFT * size.sum():
