@@ -13,7 +13,7 @@ itself is found, it is the content lines and the lines between two of them that
 
 *Priors.*  Lines in ``article`` and ``main`` weigh ``MAIN_WEIGHT`` times in that choice.  Navigation, footers, sidebars, forms,
 adverts, notices and reader comments, told by element, role or class, have ratio 0 and are left out, and so are
-menus: ``MENU_LINES`` lines or more in a row that are links as a whole.  Inside of ``article`` and ``main`` paragraphs, headings and lists of links are text whatever
+menus: ``MENU_LINES`` lines or more in a row that are links as a whole.  Inside of ``article`` and ``main`` paragraphs, headings and lists of links that lead somewhere are text whatever
 they are called, and only few names tell an element that groups others apart.  Where all
 exclusions together would leave less than ``LEAST_LEFT`` of the page's text, those that hold more than half of it aren't believed, as in a page that
 is one large form; navigation, footers and sidebars always are.
@@ -82,6 +82,7 @@ class Line:
     text: str
     tags: int
     link_chars: int
+    control_chars: int
     element: int
 
 
@@ -101,13 +102,14 @@ class Lines(HTMLParser):
         self.mains: list[int] = []  # where in the stack articles and main elements are open
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.link_chars = 0
+        self.tags = self.link_chars = self.control_chars = 0
+        self.leads: dict[int, bool] = {}  # whether the link that is open at a place in the stack leads anywhere
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append(Line(text, max(1, self.tags), self.link_chars, self.stack[-1][1]))
-        self.parts, self.tags, self.link_chars = [], 0, 0
+            self.lines.append(Line(text, max(1, self.tags), self.link_chars, self.control_chars, self.stack[-1][1]))
+        self.parts, self.tags, self.link_chars, self.control_chars = [], 0, 0, 0
 
     def pop_to(self, at: int) -> None:
         for k in range(len(self.stack) - 1, at - 1, -1):
@@ -150,6 +152,8 @@ class Lines(HTMLParser):
         if tag in MAIN or found.get("role") == "main":
             self.mains.append(at)
         self.places.setdefault(tag, []).append(at)
+        if tag == "a":
+            self.leads[at] = "href" in found
         if tag in _BINDING:
             self.binding.append(at)
         if tag not in INLINE:
@@ -182,7 +186,9 @@ class Lines(HTMLParser):
         if not self.stack[-1][2]:
             self.parts.append(data)
             if self.places.get("a"):
-                self.link_chars += len("".join(data.split()))
+                size = len("".join(data.split()))
+                self.link_chars += size
+                self.control_chars += 0 if self.leads[self.places["a"][-1]] else size
 
     def parse_marked_section(self, i, report=1):
         try:
@@ -219,9 +225,9 @@ def _content(ratios: np.ndarray) -> np.ndarray:
     return found if found.any() else ratios == ratios.max()
 
 
-def _menus(lines: list[Line]) -> np.ndarray:
-    """Lines of runs that are links as a whole."""
-    linked = [0 < len("".join(x.text.split())) <= x.link_chars for x in lines] + [False]
+def _menus(lines: list[Line], inside: np.ndarray) -> np.ndarray:
+    """Lines of runs that are links as a whole; ``inside`` of an article only links that lead nowhere, which are controls."""
+    linked = [0 < len("".join(x.text.split())) <= (x.control_chars if i else x.link_chars) for x, i in zip(lines, inside.tolist())] + [False]
     out, first = np.zeros(len(lines), bool), 0
     for i, link in enumerate(linked):
         if not link:
@@ -265,7 +271,7 @@ def main_text(html: str | None) -> str:
     # The head of a page is boilerplate, the head of an article isn't.
     boiler = [b or (n == "header" and not m) for b, n, m in zip(boiler, names, main)]
     size, ratios = np.array([len(x.text) for x in lines]), np.array([len(x.text) / x.tags for x in lines])
-    menu = _menus(lines) & ~np.array(main)[at]
+    menu = _menus(lines, np.array(main)[at])
     left = lambda: ~np.array(_inherited(parents, boiler))[at] & ~menu
     usable = left()
     if size[usable].sum() < LEAST_LEFT * size.sum():
