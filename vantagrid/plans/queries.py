@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import aggregates as A
 from ..operators import grid, mesh, placement, visibility
 from ..sources import scene
+from ..sources.runs import Folder, RunStore, Steps, fingerprint
 from ..sources.tables import checkpointed, table
 from ..streaming import incremental
 from . import oracle as O
@@ -58,6 +59,22 @@ class Room:
     def valid(self) -> DataFrame:
         return grid.validity(self.voxels(), self.mixed())
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that is made once for the tables as they are, by whichever query comes first."""
+        revisions = (Folder(self.spark, f"{self.dir}/{t}.parquet").revision() for t in ("part", "supplier", "nation"))
+        return Steps(self.spark).get(fingerprint(name, *revisions), make)
+
+    def kept_valid(self) -> DataFrame:
+        return self.kept("valid", self.valid)
+
+    def kept_masked(self) -> DataFrame:
+        """The masks of a run, retained."""
+        valid = self.kept_valid()
+        return self.kept("masked", lambda: visibility.masks(valid, self.seen(valid)))
+
+    def run(self, points: DataFrame, cameras: DataFrame) -> DataFrame:
+        return A.chunk_stats(visibility.masks(points, self.seen(points, cameras)))
+
     def seen(self, points: DataFrame | None = None, cameras: DataFrame | None = None) -> DataFrame:
         return visibility.sees(self.valid() if points is None else points, self.of(scene.cameras) if cameras is None else cameras, self.of(scene.triangles))
 
@@ -333,7 +350,7 @@ _ZONE = "SELECT z.group_id AS zone_id, count(h.point) AS valid, round(coalesce(c
 def a16(s, d):
     """Zones from masks that a run has kept, without a ray."""
     r = Room(s, d)
-    return r.zones(checkpointed(r.masked())).select("zone_id", "valid", _rate(), "blind")
+    return r.zones(r.kept_masked()).select("zone_id", "valid", _rate(), "blind")
 
 
 @_query("a17_zone_summary", O.sql(_ZONE, "held", more=_ONCE))
@@ -359,18 +376,37 @@ _LESS = {"less": "SELECT m.* EXCLUDE (mask, mask_high, cameras), coalesce(n, 0)
     more=_ONCE | _LESS | {"once2": "SELECT DISTINCT h.point, h.group_id, less.cameras FROM held AS h JOIN less ON less.point = h.point"}))
 def a21(s, d):
     r = Room(s, d)
-    valid = r.valid()
+    valid = r.kept_valid()
     after = visibility.masks(valid, r.seen(valid, r.fewer()))
-    return A.compare_zones(r.zones(r.masked()), r.zones(after)).select("zone_id", _rate("before"), _rate("after"), F.round("delta", 6).alias("delta"), "regressed")
+    return A.compare_zones(r.zones(r.kept_masked()), r.zones(after)).select("zone_id", _rate("before"), _rate("after"), F.round("delta", 6).alias("delta"), "regressed")
 
 
 @_query("r2_incremental", O.sql("SELECT chunk_id, count(*) AS valid, count(*) FILTER (cameras > 0) AS covered FROM less GROUP BY chunk_id", "masked", more=_LESS))
 def r2(s, d):
-    """Chunk statistics after an edit, from the baseline and the dirty chunks alone: those of a full run."""
+    """Chunk statistics after an edit, from the retained baseline and the dirty chunks alone: those of a full run."""
     r = Room(s, d)
-    valid = r.valid()
-    stats = lambda points, cameras: A.chunk_stats(visibility.masks(points, r.seen(points, cameras)))
-    return incremental.recompute(r.space, r.chunks(), valid, r.of(scene.cameras), r.fewer(), A.chunk_stats(r.masked()), stats)
+    return incremental.recompute(r.space, r.chunks(), r.kept_valid(), r.of(scene.cameras), r.fewer(), A.chunk_stats(r.kept_masked()), r.run)
+
+
+_MOVED = {
+    "moved": "SELECT * REPLACE (px + 0.75::DOUBLE AS px) FROM cams WHERE cam_idx = 17",
+    "moved_around": O._PARTS["around"].replace("FROM cams", "FROM moved"),
+    "moved_near": O._PARTS["near"].replace("FROM cams", "FROM moved"),
+    "resighted": "SELECT * FROM seen WHERE cam_idx <> 17 UNION ALL " + O._sees("valid").replace("JOIN around ON around.", "JOIN moved_around AS around ON around.").replace("JOIN near ON near.", "JOIN moved_near AS near ON near."),
+}
+
+
+@_query("r2_move", O.sql("SELECT chunk_id, count(*) AS valid, count(n) AS covered FROM valid AS v LEFT JOIN (SELECT point AS p, count(*) AS n FROM resighted GROUP BY point) ON p = v.point GROUP BY chunk_id", "seen", more=_MOVED))
+def r2_move(s, d):
+    """A run over all chunks, then one camera of each room is moved and the store is brought up to date."""
+    r = Room(s, d)
+    store = RunStore(s, fingerprint("r2_move", Folder(s, f"{d}/part.parquet").revision(), Folder(s, f"{d}/supplier.parquet").revision()))
+    cameras, settings = r.of(scene.cameras), {"mode": 1, "threshold": 1}
+    moved = cameras.withColumn("px", F.when(F.col("cam_idx") == 17, F.col("px") + 0.75).otherwise(F.col("px")))
+    if store.read() is None:
+        chunks, baseline = r.chunks(), A.chunk_stats(r.kept_masked())
+        store.commit(store.generation, baseline, chunks, settings, cameras)
+    return incremental.run(store, r.space, r.chunks(), r.kept_valid(), moved, r.run, settings)[1]
 
 
 @_query("u5_dirty_chunks")
