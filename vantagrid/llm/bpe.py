@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 512
@@ -114,7 +114,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf_chars: int =
 
     def ids_of(texts: pa.Array) -> pa.Array:
         codec, sizes = _codec(path)
-        return pa.array((np.array(tree_encode(t.as_py() or "", codec, sizes, leaf_chars), dtype="<u4").tobytes() for t in texts), pa.binary())
+        out = pa.array((np.array(tree_encode(t.as_py() or "", codec, sizes, leaf_chars), dtype="<u4").tobytes() for t in texts), pa.binary())
+        give_back()
+        return out
 
     return docs.withColumn("ids_le", F.arrow_udf(ids_of, "binary")(F.col(text_col).cast("string"))).withColumn("n_tokens", (F.octet_length("ids_le") / 4).cast("long"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; workers live on between tasks, and an idle one would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def frugal(run):
+    """A function over batches that gives back its memory when a task's rows are through."""
+
+    @wraps(run)
+    def through(*batches):
+        try:
+            yield from run(*batches)
+        finally:
+            give_back()
+
+    return through
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, frugal
 from .words import mix, pieces, runs, separators, words_of
 
 ERRORS = 0.2
@@ -293,7 +293,7 @@ def _match(items: list[tuple[int, str]], exact: bool):
 def matches(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """One row for each document and item it holds, with the nearest stretch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [rows.mapInArrow(_match(items, exact), _SCHEMA) for items in _blocks(benchmark)]
+    found = [rows.mapInArrow(frugal(_match(items, exact)), _SCHEMA) for items in _blocks(benchmark)]
     return reduce(DataFrame.union, found) if found else rows.sparkSession.createDataFrame([], _SCHEMA)
 
 
@@ -310,7 +310,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, exact: bool = False) ->
                         held[i + t] += 1
                 yield pa.array(held)
 
-        return F.arrow_udf(run, "int")
+        return F.arrow_udf(frugal(run), "int")
 
     bound_batches(docs.sparkSession)
     for items in _blocks(benchmark):

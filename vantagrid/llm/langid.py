@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, unused_name
+from .common import bound_batches, documents, frugal, unused_name
 
 PROFILE = 300
 LONGEST = 3
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, profile: int = PROFILE)
     sizes = usable.groupBy("lang").agg(F.count("*").alias("docs"))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     sample = usable.join(F.broadcast(sizes), "lang").where(share * F.col("docs") < train_docs)  # one row a language
-    grams = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").mapInArrow(frugal(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= profile)
     found: dict[str, list[int]] = {}
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], most: int = PROFIL
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     inner = unused_name(docs, "said")
-    said = docs.withColumn(inner, F.arrow_udf(predict, "lang_pred string, score double")(F.col("text").cast("string")))
+    said = docs.withColumn(inner, F.arrow_udf(frugal(predict), "lang_pred string, score double")(F.col("text").cast("string")))
     return said.withColumn("lang_pred", F.col(f"{inner}.lang_pred")).withColumn("score", F.col(f"{inner}.score")).drop(inner)
 
 
@@ -192,7 +192,7 @@ def accept(docs: DataFrame) -> DataFrame:
             columns = [pa.array(langs, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(good, pa.bool_()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(keep, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(frugal(keep), schema)
 
 
 def predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:

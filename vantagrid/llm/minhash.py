@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, materialise, small, unused_name
+from .common import bound_batches, documents, frugal, give_back, materialise, small, unused_name
 from .components import components
 from .words import SHINGLE_WORDS, mix, pieces, shingles
 
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, text_key: bool = False)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.md5(text).alias("text_key")] if text_key else []))
     kinds = "doc_id long, n_shingles long, key binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SIGS)
-    return rows.mapInArrow(_signatures(k), kinds + (", text_key string" if text_key else ""))
+    return rows.mapInArrow(frugal(_signatures(k)), kinds + (", text_key string" if text_key else ""))
 
 
 def _sets(k: int):
@@ -173,7 +173,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     ids = materialise(classes.join(wanted, "key", "left_semi").select("key", F.col("first_id").alias("doc_id")))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = rows.join(small(ids, 64), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
-    return materialise(texts.mapInArrow(_sets(k), "key binary, items array<long>"))
+    return materialise(texts.mapInArrow(frugal(_sets(k)), "key binary, items array<long>"))
 
 
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -224,6 +224,7 @@ def _suspects(least: float):
             js = js[bands[i, (bands[js] == bands[i]).argmax(axis=1)] == bucket]
             asked[js] = True
             asked[i] |= len(js) > 0
+        give_back()
         return table.select(["bucket", "row", "column", "key", "component", "guest", "resident"]).filter(pa.array(asked))
 
     return run
@@ -257,6 +258,7 @@ def _forest(percent: int):
                     left.append(i)
                     right.append(j)
         a, b = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        give_back()
         return pa.table({"a": keys.take(a), "b": keys.take(b)}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     return run

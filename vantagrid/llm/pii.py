@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, materialise, small, unused_name, whole_text
+from .common import bound_batches, documents, frugal, materialise, small, unused_name, whole_text
 from .words import pieces, separators, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -284,7 +284,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     """text_key, and the terms to be generalised or removed in the texts with that key."""
     spark = docs.sparkSession
     rows = docs.select(whole_text().alias("text")).withColumn("text_key", _text_key(F.col("text")))
-    near = materialise(rows.mapInArrow(_contexts, "entity string, term string, text_key string"))
+    near = materialise(rows.mapInArrow(frugal(_contexts), "entity string, term string, text_key string"))
     # Each document counts, copies too.
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
 
@@ -294,7 +294,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
     candidates = materialise(pairs.where("term IS NOT NULL").withColumn("term_hash", F.arrow_udf(hashed, "long")("term")))
     bits = _bitmap(candidates)
-    counted = rows.select("text").mapInArrow(_frequencies(bits), "term_hash long, n long") if any(bits) else spark.createDataFrame([], "term_hash long, n long")
+    counted = rows.select("text").mapInArrow(frugal(_frequencies(bits)), "term_hash long, n long") if any(bits) else spark.createDataFrame([], "term_hash long, n long")
     terms = small(materialise(counted.groupBy("term_hash").agg(F.sum("n").alias("n_term"))), 64)
     total = docs.count()
     # An entity stands in n_both documents at least, so its share is at most log(total / n_term) / log(total / n_both).
@@ -308,7 +308,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     bits = _bitmap(told)
     if not any(bits):
         return spark.createDataFrame([], "text_key string, terms array<struct<term: string, remove: boolean>>")
-    held = materialise(rows.mapInArrow(_held(bits), "entity string, term string, text_key string").distinct())
+    held = materialise(rows.mapInArrow(frugal(_held(bits)), "entity string, term string, text_key string").distinct())
     mine = held.join(small(told.select("entity", "term", "share"), 256), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
     return materialise(mine.groupBy("text_key").agg(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("remove"))).alias("terms")))
 
@@ -373,7 +373,7 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in _FOUND), "base_sha256", "spans"])
 
     rows, _ = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in _FOUND) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(frugal(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in _FOUND) + ", base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     clean, terms = _with_terms(docs)
-    clean = clean.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), F.col(terms)))
+    clean = clean.withColumn("text", F.arrow_udf(frugal(run), "string")(F.col("text").cast("string"), F.col(terms)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
     return clean.select(*docs.columns)

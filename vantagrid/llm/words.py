@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
