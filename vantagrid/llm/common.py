@@ -100,6 +100,12 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """As ``small``, by the sum of what each row takes."""
+    total = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def whole_text(name: str = "text") -> Column:
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

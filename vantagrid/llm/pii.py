@@ -18,9 +18,9 @@ on removed, wherever it stands in a text that holds the entity.
 
 Term counts follow the whole corpus.  A scan passes on only words whose
 hash is set in a bitmap of ``BITMAP`` bits, made from the candidates; its size is
-fixed whatever the input, and the join after it is exact.  As many terms disclose an
-entity that many texts hold, entities and terms meet only inside the texts that
-hold both: a second scan, of texts with entities, names these pairs.
+fixed whatever the input, and the join after it is exact.  A second scan names the disclosing terms of each text with an entity.  A
+disclosure (entity, term) then meets the texts of its entity or those of its term, of whichever there are fewer, and is held against
+the other; the pairs of all entities and terms of a text are never made.
 
 Null text counts as empty: no spans.  A column that bears an inner name passes through.  Only the text decides, so null or repeated
 doc_ids and repeated rows change nothing but counts.  Extra columns are
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, frugal, materialise, small, unused_name, whole_text
+from .common import bound_batches, bounded, documents, frugal, materialise, small, unused_name, whole_text
 from .words import pieces, separators, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -249,29 +249,24 @@ def _bitmap(terms: DataFrame) -> bytes:
 
 
 def _held(bits: bytes):
-    """(entity, term, text_key) for all entities of a text and all its terms whose hash is set in the bitmap."""
+    """(term, text_key) of every text that holds an entity, for its terms whose hash is set in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        names = ["entity", "term", "text_key"]
         for batch in batches:
             out = []
             for key, value in zip(batch["text_key"].to_pylist(), batch["text"]):
                 text = value.as_py()
-                found = {_entity(k, text[a:b]) for k, a, b in sum(protected_spans(text), [])}
-                if not found:
+                if not any(protected_spans(text)):
                     continue
                 words = sorted({_scan_key(m[0]) for m in _SCANNED.finditer(text) if _TERM.fullmatch(m[0])})
-                if not words:
-                    continue
-                hit = wanted[_hash(words) & (BITMAP - 1)]
-                for entity in found:
-                    out += [(entity, w, key) for w, h in zip(words, hit.tolist()) if h]
-                    if len(out) >= COMPACT_AT // 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
-                        out = []
+                if words:
+                    out += [(words[i], key) for i in np.flatnonzero(wanted[_hash(words) & (BITMAP - 1)]).tolist()]
+                if len(out) >= COMPACT_AT // 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["term", "text_key"])
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["term", "text_key"])
 
     return run
 
@@ -300,16 +295,20 @@ def disclosures(docs: DataFrame) -> DataFrame:
     # An entity stands in n_both documents at least, so its share is at most log(total / n_term) / log(total / n_both).
     known = candidates.join(terms, "term_hash").where((F.col("n_both") < total) & (F.log(total / F.col("n_term")) >= GENERALISE * F.log(total / F.col("n_both")) - 1e-9))
     entities = materialise(pairs.where("term IS NULL").select("entity", F.col("n_both").alias("n_entity")))
-    known = materialise(known).join(small(entities, 160), "entity")
+    known = materialise(known).join(entities, "entity")
     pmi = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.log(total / F.col("n_entity"))
     told = known.withColumn("share", share).where((F.col("share") >= GENERALISE) & (F.col("n_entity") < total))
-    told = materialise(told.select("entity", "term", "term_hash", "share"))
+    told = materialise(told.select("entity", "term", "term_hash", "share", (F.col("n_entity") <= F.col("n_term")).alias("by_entity")))
     bits = _bitmap(told)
     if not any(bits):
         return spark.createDataFrame([], "text_key string, terms array<struct<term: string, remove: boolean>>")
-    held = materialise(rows.mapInArrow(frugal(_held(bits)), "entity string, term string, text_key string").distinct())
-    mine = held.join(small(told.select("entity", "term", "share"), 256), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    # A disclosure meets the texts of its entity or of its term, of whichever there are fewer, and is then held against the other.
+    terms_of = materialise(rows.mapInArrow(frugal(_held(bits)), "term string, text_key string").distinct())
+    entities_of = near.where("term IS NULL").select("entity", "text_key").distinct()
+    through = lambda side, first, name, second, other: told.where(side).select("entity", "term", "share").join(first, name).join(second, ["text_key", other], "left_semi")
+    mine = through(F.col("by_entity"), entities_of, "entity", terms_of, "term").select("text_key", "term", "share").union(through(~F.col("by_entity"), terms_of, "term", entities_of, "entity").select("text_key", "term", "share"))
+    mine = mine.groupBy("text_key", "term").agg(F.max("share").alias("share"))
     return materialise(mine.groupBy("text_key").agg(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("remove"))).alias("terms")))
 
 
@@ -350,7 +349,8 @@ def _with_terms(docs: DataFrame) -> tuple[DataFrame, str]:
     key, told_key, terms = (unused_name(docs, kind) for kind in ("text_key", "told_key", "terms"))
     keyed = docs.withColumn(key, _text_key(whole_text()))
     told = told.select(F.col("text_key").alias(told_key), F.col("terms").alias(terms))
-    return keyed.join(small(told, 2048), F.col(key) == F.col(told_key), "left").drop(key, told_key), terms
+    taken = 160 + F.aggregate(terms, F.lit(0), lambda a, t: a + 64 + 4 * F.length(t["term"]))
+    return keyed.join(bounded(told, taken), F.col(key) == F.col(told_key), "left").drop(key, told_key), terms
 
 
 _FOUND = (*KINDS, "secret", "term")
