@@ -158,3 +158,11 @@ def test_greedy_query_takes_every_place(spark):
     found = queries.w1(spark, r.dir).orderBy("step").collect()
     assert {x["place"] for x in found} == {x["cam_idx"] for x in r.of(scene.cameras).collect()}
     assert found[-1]["covered"] == r.seen().select("point").distinct().count()
+
+
+def test_a_slab_too_many_fails(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 0, 1, 1, 0, True, True)], "scene long, i int, j int, k int, cameras long, mask long, mask_high long, valid boolean, marked boolean")
+    slabs = lambda n: spark.range(n).selectExpr("id AS slab", "0 AS axis", "0 AS i0", "1 AS i1", "0 AS j0", "1 AS j1", "0 AS k0", "1 AS k1", "false AS filter")
+    assert aggregates.column_stats(cells, slabs(32)).count() == 32
+    with pytest.raises(Exception, match="AGGREGATE_TOO_LARGE"):
+        aggregates.column_stats(cells, slabs(33)).collect()

@@ -12,8 +12,8 @@ CAPS = {"regions": 64, "slabs": 32, "probes": 256, "groups": 32, "projections":
 
 
 def held_to_caps(declared: DataFrame, kind: str) -> DataFrame:
-    """The rows of a descriptor (with their scene); a scene that declares more than its cap fails where it is used."""
-    n = F.count("*").over(Window.partitionBy("scene"))
+    """The rows of a descriptor; a scene that declares more than its cap, or a descriptor for all scenes that does, fails where it is used."""
+    n = F.count("*").over(Window.partitionBy("scene" if "scene" in declared.columns else F.lit(0)))
     fine = F.when(n <= CAPS[kind], F.lit(True)).otherwise(F.raise_error(F.lit(f"AGGREGATE_TOO_LARGE: {kind}")).cast("boolean"))
     return declared.withColumn("_fine", fine).where("_fine").drop("_fine")
 
@@ -90,7 +90,7 @@ def column_stats(cells: DataFrame, slabs: DataFrame) -> DataFrame:
     has an axis to collapse (0, 1, 2), inclusive index bounds and ``filter``, whether it takes marked cells only.  Slabs hold for every scene.
     """
     within = F.col("i").between(F.col("i0"), F.col("i1")) & F.col("j").between(F.col("j0"), F.col("j1")) & F.col("k").between(F.col("k0"), F.col("k1"))
-    rows = cells.join(F.broadcast(slabs.limit(CAPS["slabs"])), within)  # declared by hand, 32 rows at most
+    rows = cells.join(F.broadcast(held_to_caps(slabs, "slabs")), within)  # 32 rows at most, or it fails
     rows = rows.withColumn("a", F.when(F.col("axis") == 0, F.col("j")).otherwise(F.col("i"))).withColumn("b", F.when(F.col("axis") == 2, F.col("j")).otherwise(F.col("k")))
     rows = rows.withColumn("out", F.col("filter") & ~F.col("marked")).withColumn("valid", F.col("valid") & ~F.col("out")).withColumn("solid", ~F.col("valid") & ~F.col("out"))
     n, capped = F.when(F.col("valid"), F.col("cameras")), F.when(F.col("valid"), F.least(F.col("cameras"), F.lit(255)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
-from ..sources import assets
+from ..sources import assets, scene_files
 from ..sources.tables import table
 from .queries import _query
 from .records import _nan, _said
@@ -126,3 +126,48 @@ def s20(s, d):
     plain = D.manifest(rows.where("pos % 2 = 0"), {"format": "png", "quality": 0.9, "far_override": 25.0}, "export")
     lossy = D.manifest(rows.where("pos % 2 = 1"), {"format": "jpeg", "quality": 0.9, "far_override": None}, "export")
     return plain.unionByName(lossy).select("pos", "far_rendered", "render")
+
+
+_FAULTS = """WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS scene, c_custkey % 67 = 7 AS bad, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
+v AS (SELECT CAST(s_nationkey AS BIGINT) AS scene, s_suppkey % 17 = 11 AS bad, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
+n AS (SELECT CAST(n_nationkey AS BIGINT) AS scene, CASE WHEN n_nationkey % 9 = 4 THEN 7 ELSE 1 + n_nationkey % 4 END AS version FROM nation),
+cs AS (SELECT scene, count(*) AS cameras, min(pos) FILTER (bad) AS wrong FROM c GROUP BY scene), vs AS (SELECT scene, count(*) AS volumes, min(pos) FILTER (bad) AS wrong FROM v GROUP BY scene),
+p AS (SELECT n.scene, CASE WHEN version = 7 THEN 'unsupported scene.json formatVersion "7" (expected 1 or 2 or 3 or 4)' WHEN cs.wrong IS NOT NULL THEN 'cameras[' || cs.wrong || ']: requires id, position, rotation, fov' WHEN vs.wrong IS NOT NULL THEN 'volumes[' || vs.wrong || ']: zone_id references no zone' END AS problem, coalesce(cameras, 0) AS cameras, coalesce(volumes, 0) AS volumes FROM n LEFT JOIN cs ON cs.scene = n.scene LEFT JOIN vs ON vs.scene = n.scene)
+SELECT scene, problem, CASE WHEN problem IS NULL THEN cameras ELSE 0 END AS cameras, CASE WHEN problem IS NULL THEN volumes ELSE 0 END AS volumes, CAST(CASE WHEN problem IS NULL THEN 3 ELSE 0 END AS BIGINT) AS zones FROM p"""
+
+
+def _texts(s, d) -> DataFrame:
+    """One document for each nation: its customers as cameras, some without a lens, and its suppliers as volumes, some of a zone that isn't there."""
+    place = (F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)).alias("position"), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))).alias("rotation"))
+    listed = lambda rows, key, made: rows.groupBy(F.col(key).cast("long").alias("scene")).agg(F.sort_array(F.collect_list(F.struct("at", made.alias("r")))).alias("all")).select("scene", F.transform("all", lambda x: x["r"]).alias("list"))
+    camera = F.struct(F.concat(F.lit("cam-"), "at").alias("id"), *place, F.when(F.col("at") % 67 != 7, F.lit(60.0)).alias("fov"))
+    volume = F.struct(F.concat(F.lit("volume-"), "at").alias("id"), F.when(F.col("at") % 17 == 11, F.lit("zone-9")).otherwise(F.concat(F.lit("zone-"), F.col("at") % 3)).alias("zoneId"), *place, F.array(*[F.lit(1.5)] * 3).alias("size"))
+    cameras = listed(table(s, d, "customer").withColumn("at", F.col("c_custkey").cast("long")), "c_nationkey", camera).withColumnRenamed("list", "cameras")
+    volumes = listed(table(s, d, "supplier").withColumn("at", F.col("s_suppkey").cast("long")), "s_nationkey", volume).withColumnRenamed("list", "volumes")
+    rows = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("scene"), F.expr("CASE WHEN n_nationkey % 9 = 4 THEN 7 ELSE 1 + n_nationkey % 4 END").alias("formatVersion"))
+    rows = rows.join(cameras, "scene", "left").join(volumes, "scene", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(rows.dtypes)[c])).alias(c)
+    empty = F.array().cast("array<string>")
+    zones = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("zone-"), i).alias("id")))
+    return rows.select("scene", F.to_json(F.struct("formatVersion", none("cameras"), none("volumes"), *(empty.alias(n) for n in ("geometry", "probes", "sections")), zones.alias("zones"))).alias("document"))
+
+
+@_query("s4_documents", _FAULTS)
+def s4(s, d):
+    """Whole documents: those with a reason against them have no records at all."""
+    read = scene_files.Documents(_texts(s, d))
+    out = read.problems()
+    for name in ("cameras", "volumes", "zones"):
+        out = out.join(read.records(name).groupBy("scene").agg(F.count("*").alias(name)), "scene", "left")
+    return out.fillna(0, ["cameras", "volumes", "zones"])
+
+
+@_query("s10_written", "SELECT scene, problem, cameras, volumes, zones FROM (" + _FAULTS + ") WHERE problem IS NULL")
+def s10(s, d):
+    """The documents that are taken over, written and read again."""
+    read = scene_files.Documents(_texts(s, d))
+    again = scene_files.Documents(scene_files.written(read.good(), read.records))
+    out = again.problems()
+    for name in ("cameras", "volumes", "zones"):
+        out = out.join(again.records(name).groupBy("scene").agg(F.count("*").alias(name)), "scene", "left")
+    return out.fillna(0, ["cameras", "volumes", "zones"])

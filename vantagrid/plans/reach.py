@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reachsets, visibility
+from ..operators import poolstate, reachsets, visibility
 from ..sources import scene
+from ..sources.runs import Folder, fingerprint
 from ..sources.tables import checkpointed, table
 from . import oracle as O
 from .queries import Room, _query
@@ -101,3 +102,20 @@ def w1_reach(s, d):
 def x7_generator(s, d):
     """One number of the stream of each order."""
     return table(s, d, "orders").select("o_orderkey", reachsets.generator(F.col("o_orderkey") * 2654435761, F.col("o_custkey")).alias("u"))
+
+
+def _mounts(s, d):
+    """A pool of mounts in each room: every region carries a plane to mount on, larger ones take more."""
+    r = Room(s, d)
+    regions = r.of(scene.regions).selectExpr("scene", "concat('con-', region) AS id", "'plane' AS kind", "array(rx, 1.9D, rz) AS position", "CAST(NULL AS array<array<double>>) AS points", "array(rqx, rqy, rqz, rqw) AS rotation", "array(2 * hx, 2 * hz) AS size", "0.25D AS distance", "CAST(7 AS BIGINT) AS seed", "CAST(1 + region % 3 AS BIGINT) AS share")
+    pool = poolstate.Pool(s, fingerprint("r7", *(Folder(s, f"{d}/{t}.parquet").revision() for t in ("part", "supplier", "nation"))))
+    shares = regions.select("scene", "id", "share")
+    pool.build(regions.drop("share"), shares, 50, 7, "room|0.5||0.1|6", poolstate.reach_of(r.kept_valid(), r.of(scene.triangles), 0.1, 6.0))
+    return pool, shares
+
+
+@_query("r7_pool")
+def r7_pool(s, d):
+    """What the constraints of every room have drawn, and what of it reaches anything; held against the pool's rules in the tests."""
+    pool, shares = _mounts(s, d)
+    return pool.summary(shares)
