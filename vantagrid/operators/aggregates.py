@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, obb_extent, vec
+from ..sources.tables import checkpointed
 
 #: What a scene may declare of each; the joins don't need these caps, descriptors are held to them.
 CAPS = {"regions": 64, "slabs": 32, "probes": 256, "groups": 32, "projections": 8}
@@ -134,11 +135,12 @@ def section_stats(cells: DataFrame) -> DataFrame:
     )
 
 
-def cubes(cells: DataFrame, levels: int) -> DataFrame:
-    """Cells of equal camera counts joined to cubes, bottom up: (i, j, k, edge, cameras) of every cube that is left whole."""
+def cubes(cells: DataFrame, levels: int | None = None) -> DataFrame:
+    """Cells of equal camera counts joined to cubes, bottom up: (i, j, k, edge, cameras) of every cube that is left whole; until nothing joins, or for so many ``levels``."""
     rows = cells.select("scene", "i", "j", "k", F.lit(1).cast("long").alias("edge"), "cameras")
-    done = None
-    for _ in range(levels):
+    done, level = None, 0
+    while levels is None or level < levels:
+        level += 1
         up = [F.floor(F.col(c) / 2).alias(f"u{c}") for c in "ijk"]
         w = Window.partitionBy("scene", "ui", "uj", "uk")
         marked = rows.select("*", *up).withColumn("n", F.count("*").over(w)).withColumn("lo", F.min("cameras").over(w)).withColumn("hi", F.max("cameras").over(w))
@@ -146,9 +148,27 @@ def cubes(cells: DataFrame, levels: int) -> DataFrame:
         kept = marked.where(~whole).select("scene", "i", "j", "k", "edge", "cameras")
         done = kept if done is None else done.union(kept)
         rows = marked.where(whole).groupBy("scene", F.col("ui").alias("i"), F.col("uj").alias("j"), F.col("uk").alias("k")).agg((F.max("edge") * 2).alias("edge"), F.max("cameras").alias("cameras"))
+        if levels is None:
+            rows = checkpointed(rows)
+            if rows.isEmpty():
+                break
     return rows if done is None else done.union(rows)
 
 
+def majority(cells: DataFrame, depth: int) -> DataFrame:
+    """For every cube of 2 ** depth cells along each side (scene, i, j, k) what most of its cells are: mask, mask_high, valid, and how many they are.
+
+    Whole masks are told apart, and cells that aren't valid from those that nothing sees.  Of equals the one counts whose first cell comes first, by octants, x before y before z.
+    """
+    bit = lambda c, b: F.shiftright(F.col(c), b).bitwiseAND(F.lit(1).cast("long"))
+    place = sum((F.shiftleft(bit(c, b), 3 * b + n) for b in range(depth) for n, c in enumerate("ijk")), F.lit(0).cast("long"))
+    up = [F.shiftright(F.col(c), depth).alias(c) for c in "ijk"]
+    rows = cells.select("scene", *up, "mask", "mask_high", "valid", place.alias("place"))
+    each = rows.groupBy("scene", "i", "j", "k", "mask", "mask_high", "valid").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    best = F.max_by(F.struct("mask", "mask_high", "valid", "n"), F.struct("n", -F.col("first"))).alias("b")
+    return each.groupBy("scene", "i", "j", "k").agg(best).select("scene", "i", "j", "k", "b.*")
+
+
 def probes(space, masked: DataFrame, asked: DataFrame) -> DataFrame:
     """scene, probe, hit (0 outside, 1 valid, 2 not valid), both mask words and the number of cameras at each probe: an equi-join on cells."""
     cells = [space.cell(a, F.col(c).cast("float").cast("double")).alias(n) for a, (c, n) in enumerate((("qx", "i"), ("qy", "j"), ("qz", "k")))]

@@ -311,7 +311,17 @@ def a7(s, d):
     "SELECT scene, i, j, k, 1 AS edge, cameras FROM masked AS m WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.scene = m.scene AND two.i = m.i // 2 AND two.j = m.j // 2 AND two.k = m.k // 2) UNION ALL SELECT scene, i, j, k, 2, cameras FROM two AS t WHERE NOT EXISTS (SELECT 1 FROM four WHERE four.scene = t.scene AND four.i = t.i // 2 AND four.j = t.j // 2 AND four.k = t.k // 2) UNION ALL SELECT scene, i, j, k, 4, cameras FROM four", "masked",
     more={n: f"SELECT scene, i // 2 AS i, j // 2 AS j, k // 2 AS k, max(cameras) AS cameras FROM {of} GROUP BY scene, i // 2, j // 2, k // 2 HAVING count(*) = 8 AND min(cameras) = max(cameras)" for n, of in (("two", "masked"), ("four", "two"))}))
 def a8(s, d):
-    return A.cubes(checkpointed(Room(s, d).masked()), 2)
+    return A.cubes(checkpointed(Room(s, d).masked()))
+
+
+_place = " + ".join(f"((v.{c} >> {b}) & 1) * {1 << 3 * b + n}" for b in range(3) for n, c in enumerate("ijk"))
+@_query("w11_majority", O.sql(f"SELECT scene, ci AS i, cj AS j, ck AS k, mask, mask_high, valid, n FROM (SELECT *, row_number() OVER (PARTITION BY scene, ci, cj, ck ORDER BY n DESC, first) AS nth FROM (SELECT v.scene, v.i >> 3 AS ci, v.j >> 3 AS cj, v.k >> 3 AS ck, coalesce(mask, 0) AS mask, coalesce(mask_high, 0) AS mask_high, m.point IS NOT NULL AS valid, count(*) AS n, min({_place}) AS first FROM vox AS v LEFT JOIN masked AS m ON m.point = v.point GROUP BY ALL)) WHERE nth = 1", "masked"))
+def w11(s, d):
+    """What cells look like where a view goes no deeper than cubes of eight cells."""
+    r = Room(s, d)
+    at = r.kept_masked().select("point", "mask", "mask_high", F.lit(True).alias("valid"))
+    cells = r.voxels().join(at, "point", "left").fillna(0, ["mask", "mask_high"]).fillna(False, ["valid"])
+    return A.majority(cells, 3)
 
 
 _W = [16384, 4096, 1820, 1024, 655]
