@@ -74,13 +74,20 @@ class Folder:
     def text(self, name: str) -> str:
         return self.spark.sparkContext.wholeTextFiles(f"{self.path}/{name}").values().first()
 
-    def revision(self) -> str:
-        """Names, sizes and times of all files below: another one after any change."""
+    def _files(self) -> list[tuple[str, int, int]]:
         found, each = [], self.fs.listFiles(self._of(), True)
         while each.hasNext():
             s = each.next()
             found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-        return fingerprint(*sorted(found))
+        return sorted(found)
+
+    def sizes(self) -> dict[str, int]:
+        """The bytes of all files below."""
+        return {name: size for name, size, _ in self._files()}
+
+    def revision(self) -> str:
+        """Names, sizes and times of all files below: another one after any change."""
+        return fingerprint(*self._files())
 
 
 class Steps:

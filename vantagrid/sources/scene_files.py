@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators import records as R
+from .runs import Folder
 from .tables import checkpointed
 
 VERSION, VERSIONS = 4, (1, 2, 3, 4)
@@ -58,9 +59,13 @@ def _value(item: Column, name: str, kind: str) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """scene (a number by path, from 0) and document of all JSON files below ``path``; an empty file is an empty text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    """path and document of all JSON files below ``path``; a file that isn't UTF-8 has what can be read of it.
+
+    Spark's readers pass over empty files, so these are listed by name, with an empty text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    empty = [(name, "") for name, size in Folder(spark, path).sizes().items() if not size and name.endswith(".json")]
+    return files.select("path", F.col("content").cast("string").alias("document")).union(spark.createDataFrame(empty, "path string, document string"))
 
 
 def check_probes(rows: DataFrame) -> DataFrame:
