@@ -4,8 +4,10 @@ A capture is written as three records that name each other: the *response* (or a
 *revisit* where an earlier capture had the same payload), a *request* and a
 *metadata* record, both with ``WARC-Concurrent-To`` the response.  Each record ends with two line
 ends, so an archive is what Spark's text writer makes of a column of
-records with that as its line separator, gzipped; ``RECORDS_PER_FILE`` bounds a file.  Files are read
-back whole, one by one, and cut by ``Content-Length``.
+records with that as its line separator, gzipped.  A row holds records of ``ROW_BYTES`` together, or a single larger one, and a
+file ``ROWS_PER_FILE`` rows, so both are bounded by bytes however large or many the pages are, but for a capture that is larger by itself.
+Files are inflated as a stream, record by record by ``Content-Length``; a task holds one file as it lies on disk and one record.  An archive that
+breaks off within a record fails.
 
 Assembly groups the records of a capture through their concurrent-to identifiers and gives
 one row with nested request, response and metadata.
@@ -22,9 +24,10 @@ responses.  A null url is written as ``about:blank``.  Extra columns are ignored
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import materialise, pages, scratch, small, whole_text
 
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 6000
+#: Records go to the writer in rows of about so many bytes, and so many rows make an archive: 64 MiB before compression.
+ROW_BYTES = 4 << 20
+ROWS_PER_FILE = 16
 #: So many captures of equal rows are written by one task.
 NUMBERS_AT_ONCE = 256
 #: The date of every record: a capture's table has none, and equal input shall give equal archives.
@@ -97,20 +102,23 @@ def write(table: DataFrame, path: str, least_bytes: int = 0) -> None:
     firsts = small(materialise(firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url_key").alias("first_url"))), 160)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = lambda records: pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.string())], ["value"])
+        out, held = [], 0
         for batch in batches:
-            out, held = [], 0
             for row in batch.to_pylist():
                 page, first = row["page_id"], row["first_id"]
                 later = first is not None and page is not None and page != first and len(row["html"].encode("utf-8", "surrogatepass")) >= least_bytes
                 refers = (first, f"{first}:{row['digest']}:{row['first_url']}:0") if later else (None, None)
                 for number in range(row["number"], row["number"] + row["numbers"]):
                     capture = f"{'null' if page is None else page}:{row['digest']}:{row['url_key']}:{number}"
-                    out += capture_records(capture, page, row["url"], row["html"], row["digest"], *refers)
-                    held += len(row["html"])
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                    records = capture_records(capture, page, row["url"], row["html"], row["digest"], *refers)
+                    size = sum(len(r.encode("utf-8", "surrogatepass")) + len(END) for r in records)
+                    if out and held + size > ROW_BYTES:
+                        yield row_of(out)
                         out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                    out, held = out + records, held + size
+        if out:
+            yield row_of(out)
 
     # A capture is named by its page, payload and url, and by a number among the rows that are equal in these.
     # Such rows are equal in all: one of them and their count stand for them, dealt in parts to the tasks.
@@ -124,29 +132,25 @@ def write(table: DataFrame, path: str, least_bytes: int = 0) -> None:
         many = many.withColumn("numbers", F.least(F.lit(NUMBERS_AT_ONCE).cast("long"), F.col("copies") - F.col("number")))
         single = single.join(repeated, equal, "left_anti").unionByName(many.drop("copies"))
     records = single.join(firsts, "digest", "left").mapInArrow(run, "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def _archive_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every record; takes gzip members one after the other."""
-    data, rest = b"", archive
-    if archive[:2] == b"\x1f\x8b":
-        plain = []
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(plain)
-    else:
-        data = archive
-    at = 0
-    while (head_end := data.find(_HEADER_END, at)) >= 0:
-        head = data[at:head_end]
-        size = int(_NUMBER.search(head)[1])
-        fields = dict(line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-        block = data[head_end + 4 : head_end + 4 + size]
-        yield {k.lower(): v.strip() for k, v in fields.items()}, block
-        at = head_end + 4 + size + 4
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+
+
+def _archive_records(archive: pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of every record, inflated as a stream; takes gzip members one after the other."""
+    source = pa.BufferReader(archive)
+    stream = gzip.GzipFile(fileobj=source) if bytes(memoryview(archive)[:2]) == b"\x1f\x8b" else io.BufferedReader(source)
+    while line := stream.readline():
+        if not line.strip():  # the line ends after a block
+            continue
+        fields = {}
+        while (line := stream.readline().decode("utf-8", "replace")).strip():
+            name, _, value = line.partition(":")
+            fields[name.lower()] = value.strip()
+        size = int(fields["content-length"])
+        block = stream.read(size)
+        if len(block) < size:
+            raise EOFError(f"an archive breaks off within a record of {size} bytes")
+        yield fields, block
 
 
 _RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, fields string"
@@ -165,7 +169,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
         for batch in batches:
             for archive in batch["content"]:
                 rows, held = [], 0
-                for fields, block in _archive_records(archive.as_py()):
+                for fields, block in _archive_records(archive.as_buffer()):
                     kind, size, body, digest, notes = fields["warc-type"], None, None, None, None
                     if kind in ("response", "revisit"):
                         cut = block.find(_HEADER_END)
