@@ -194,19 +194,45 @@ def masks(points: DataFrame, seen: DataFrame) -> DataFrame:
     return filled.withColumn("cameras", (F.bit_count("mask") + F.bit_count("mask_high")).cast("long"))
 
 
-def nearest_hits(cameras: DataFrame, triangles: DataFrame, parts: int = 64) -> DataFrame:
+def _ray_cells(rays: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Rays (scene, p, d) once for each cell of the ground plane that they pass between entering and leaving the extent of their scene's triangles."""
+    slack = 1e-6
+    ends = triangles.groupBy("scene").agg(*(f(g(*(F.col(f"{n}{a}") for n in "abc"))).alias(f"{side}_{a}") for a in "xyz" for side, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))))
+    rows = rays.join(ends, "scene")
+    place = lambda axis, t: F.col(f"p{axis}") + t * F.col(f"d{axis}")
+
+    def between(axis: str, low: Column, high: Column) -> tuple[Column, Column]:
+        """The stretch of a ray between two planes across an axis; all of it, where the ray runs along them."""
+        flat = F.abs(F.col(f"d{axis}")) < 1e-12
+        at = [(c - F.col(f"p{axis}")) / F.when(flat, F.lit(1.0)).otherwise(F.col(f"d{axis}")) for c in (low - slack, high + slack)]
+        return F.when(flat, F.lit(float("-inf"))).otherwise(F.least(*at)), F.when(flat, F.lit(float("inf"))).otherwise(F.greatest(*at))
+
+    cut = [between(a, F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"]
+    rows = rows.withColumn("enter", F.greatest(F.lit(0.0), *(c[0] for c in cut))).withColumn("leave", F.least(*(c[1] for c in cut))).where("enter <= leave")
+    span = lambda axis: F.explode(F.sequence(_cell(F.least(*(place(axis, F.col(t)) for t in ("enter", "leave"))) - slack), _cell(F.greatest(*(place(axis, F.col(t)) for t in ("enter", "leave"))) + slack)))
+    rows = rows.withColumn("cell_x", span("x"))
+    first, last = between("x", F.col("cell_x") * CELL, (F.col("cell_x") + 1) * CELL)
+    rows = rows.withColumns({"enter": F.greatest("enter", first), "leave": F.least("leave", last)}).where("enter <= leave")
+    return rows.withColumn("cell_z", span("z")).select(*rays.columns, "cell_x", "cell_z")
+
+
+def nearest_hits(cameras: DataFrame, triangles: DataFrame) -> DataFrame:
     """For each camera the distance at which its centre ray first meets the mesh, null if never.
 
-    The ray has no end, so it is held against its whole scene; the triangles of a scene are dealt in ``parts``, and each part meets the
-    scene's cameras, of which there are 128 at most.
+    The ray has no end but where it leaves its scene; it meets the triangles of the cells of the ground plane that it passes.
     """
     eye = vec("px", "py", "pz")
     ahead = rotate([F.col(c) for c in ("qx", "qy", "qz", "qw")], (F.lit(0.0), F.lit(0.0), F.lit(-1.0)))
-    rays = cameras.select("scene", "cam_idx", "px", "py", "pz", *(c.alias(f"d{a}") for c, a in zip(ahead, "xyz")), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rays = cameras.select("scene", "cam_idx", "px", "py", "pz", *(c.alias(f"d{a}") for c, a in zip(ahead, "xyz")))
     a, b, c = vec("ax", "ay", "az"), vec("bx", "by", "bz"), vec("cx", "cy", "cz")
     e1, e2, s, d = sub(b, a), sub(c, a), sub(eye, a), vec("dx", "dy", "dz")
     p, q = cross(d, e2), cross(s, e1)
-    pairs = triangles.withColumn("part", F.pmod(F.hash("tri_id"), F.lit(parts))).join(rays, ["scene", "part"])
+    dealt = triangles
+    for axis in "xz":
+        names = [f"{n}{axis}" for n in "abc"]
+        dealt = dealt.withColumn(f"cell_{axis}", F.explode(F.sequence(_cell(F.least(*names) - 1e-9), _cell(F.greatest(*names) + 1e-9))))
+    # A pair that meets in several cells counts once, as the least of equal distances.
+    pairs = dealt.join(_ray_cells(rays, triangles), ["scene", "cell_x", "cell_z"])
     pairs = pairs.select("scene", "cam_idx", dot(e1, p).alias("det"), dot(s, p).alias("un"), dot(d, q).alias("vn"), dot(e2, q).alias("tn")).where("abs(det) >= 1e-7")
     hits = pairs.where("un / det >= 0 AND vn / det >= 0 AND un / det + vn / det <= 1 AND tn / det > 1e-9").groupBy("scene", "cam_idx").agg(F.min(F.col("tn") / F.col("det")).alias("distance"))
     return cameras.select("scene", "cam_idx").join(hits, ["scene", "cam_idx"], "left")
