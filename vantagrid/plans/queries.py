@@ -198,7 +198,23 @@ def f10(s, d):
     return visibility.candidates(r.voxels(), r.of(scene.cameras)).select("point", "cam_idx")
 
 
-@_query("f11_chunk_cameras")
+_TANS = "CAST(CAST(tan(radians(fov) / 2) * aspect AS FLOAT) AS DOUBLE) AS tan_h, CAST(CAST(tan(radians(fov) / 2) AS FLOAT) AS DOUBLE) AS tan_v"
+_FRAME = {"right": ("1 - 2 * (qy * qy + qz * qz)", "2 * (qx * qz - qy * qw)"), "up": ("2 * (qx * qy - qz * qw)", "2 * (qy * qz + qx * qw)"), "ahead": ("-(2 * (qx * qz + qy * qw))", "-(1 - 2 * (qx * qx + qy * qy))")}
+_ENDS = {a: ", ".join(f"p{a} + far * (ahead_{a} + {r} * tan_h * right_{a} + {u} * tan_v * up_{a})" for r in (-1, 1) for u in (-1, 1)) for a in "xz"}
+_SPAN = lambda a, n: f"c{a} BETWEEN least(greatest(floor(greatest(p{a} - far, least(p{a}, {_ENDS[a]})) / {_edge}), 0), {n} - 1) AND least(greatest(floor(least(p{a} + far, greatest(p{a}, {_ENDS[a]})) / {_edge}), 0), {n} - 1)"
+_tlx, _tly, _tlz = O._local("x - px", "y - py", "z - pz")
+_RAISED = ", ".join(f"{e} AS {name}_{a}" for name, axis in _FRAME.items() for a, e in zip("xz", axis))
+#: All corners of all chunks of a scene in the frame of each of its cameras.
+_REACH = {
+    "pieces": f"SELECT c AS chunk_id, c // nc AS scene, c % nc % {O._CX} AS cx, c % nc // {O._CX} AS cz, least({O._CV}, {O._NX} - (c % nc % {O._CX}) * {O._CV}) * {O._V} AS wide, least({O._CV}, nz - (c % nc // {O._CX}) * {O._CV}) * {O._V} AS long, nc // {O._CX} AS rows_z FROM (SELECT unnest(range((SELECT rooms * nc FROM par))) AS c), par",
+    "corners": f"SELECT *, cx * {_edge} + u * wide AS x, v * {scene.HEIGHT}::DOUBLE AS y, cz * {_edge} + w * long AS z FROM pieces, (VALUES {', '.join(str((a, b, c)) for a in (0, 1) for b in (0, 1) for c in (0, 1))}) AS k(u, v, w)",
+    "lenses": f"SELECT *, {_TANS}, {_RAISED} FROM cams WHERE enabled",
+    "placed": f"SELECT chunk_id, cx, cz, rows_z, lenses.*, {_tlx} AS lx, {_tly} AS ly, -{_tlz} AS depth FROM corners JOIN lenses ON lenses.scene = corners.scene",
+    "reach": f"SELECT chunk_id, cam_idx FROM placed WHERE {_SPAN('x', O._CX)} AND {_SPAN('z', 'rows_z')} GROUP BY chunk_id, cam_idx HAVING max(depth * tan_h + lx) >= -1e-9 AND max(depth * tan_h - lx) >= -1e-9 AND max(depth * tan_v + ly) >= -1e-9 AND max(depth * tan_v - ly) >= -1e-9 AND max(depth - near) >= -1e-9 AND min(depth - far) <= 1e-9",
+}
+
+
+@_query("f11_chunk_cameras", O.sql("SELECT * FROM reach", "cams", more=_REACH))
 def f11(s, d):
     r = Room(s, d)
     return visibility.chunk_cameras(r.space, r.chunks(), r.of(scene.cameras))
@@ -419,7 +435,7 @@ def r2_move(s, d):
     return incremental.run(store, r.space, r.chunks(), r.kept_valid(), moved, r.run, settings)[1]
 
 
-@_query("u5_dirty_chunks")
+@_query("u5_dirty_chunks", O.sql("SELECT DISTINCT chunk_id FROM reach WHERE cam_idx % 3 = 0", "cams", more=_REACH))
 def u5(s, d):
     r = Room(s, d)
     return incremental.dirty_chunks(r.space, r.chunks(), r.of(scene.cameras), r.fewer())
