@@ -23,7 +23,7 @@ def _sections(r: Room) -> DataFrame:
     """Three of every room, each as wide as the room: from above, along x for twelve metres, and along z where regions of even number lie."""
     high = dict(zip("xyz", (float(x) for x in r.space.high)))
     row = lambda n, o, low, top, a, b, mask, agg: F.struct(F.lit(n).alias("section"), F.lit(o).alias("orientation"), low.alias("min"), F.lit(top).alias("max"), F.lit(0.0).alias("min_a"), F.lit(a).alias("max_a"), F.lit(0.0).alias("min_b"), F.lit(b).alias("max_b"), mask.alias("mask_regions"), F.lit(agg).alias("aggregation"))
-    none, even = F.array().cast("array<long>"), F.transform(F.sequence(F.lit(0), F.lit(24), F.lit(2)), lambda n: n + F.col("scene") * 25)
+    none, even = F.array().cast("array<long>"), F.filter(F.sequence(F.col("scene") * 25, F.col("scene") * 25 + 24), lambda n: n % 2 == 0)
     rows = [
         row(0, "horizontal", F.lit(scene.VOXEL) * (F.col("scene") % 2), high["y"], high["x"], high["z"], none, "mean"),
         row(1, "vertical-x", F.lit(2.0), 14.0, high["z"], high["y"], none, "blind"),
