@@ -16,7 +16,7 @@ def soup(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     rows = faces
     for n in "abc":
         corner = vertices.select(F.col("scene"), F.col("vertex").alias(f"v{n}"), *(F.col(c).alias(f"{n}{c}") for c in "xyz"))
-        rows = rows.join(corner, ["scene", f"v{n}"])
+        rows = rows.join(corner.hint("merge"), ["scene", f"v{n}"])
     return rows.select("scene", "tri_id", *CORNER_NAMES)
 
 
@@ -24,12 +24,13 @@ def merged(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]
     """The meshes of each scene as one, in the order of ``mesh``: vertices (scene, vertex, x, y, z) and faces (scene, tri_id, va, vb, vc).
 
     ``vertices`` (scene, mesh, vertex, x, y, z) and ``faces`` (scene, mesh, tri_id, va, vb, vc) are numbered from 0 without gaps in each mesh.  Only counts go through a
-    window; a mesh without vertices or faces moves nothing.
+    window; a mesh without vertices or faces moves nothing.  Joins are by shuffle: sizes of what ``explode`` makes are estimated far too small.
     """
     counts = vertices.groupBy("scene", "mesh").agg(F.count("*").alias("_v"), F.lit(0).cast("long").alias("_f"))
     counts = counts.unionByName(faces.groupBy("scene", "mesh").agg(F.lit(0).cast("long").alias("_v"), F.count("*").alias("_f"))).groupBy("scene", "mesh").agg(F.sum("_v").alias("_v"), F.sum("_f").alias("_f"))
     before = Window.partitionBy("scene").orderBy("mesh").rowsBetween(Window.unboundedPreceding, -1)
     moved = counts.select("scene", "mesh", *(F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(c) for c in ("_v", "_f")))
+    moved = moved.hint("shuffle_hash")
     corners = vertices.join(moved, ["scene", "mesh"]).select("scene", (F.col("vertex") + F.col("_v")).alias("vertex"), "x", "y", "z")
     rebased = [(F.col(c) + F.col(by)).alias(c) for c, by in (("tri_id", "_f"), ("va", "_v"), ("vb", "_v"), ("vc", "_v"))]
     return corners, faces.join(moved, ["scene", "mesh"]).select("scene", *rebased)

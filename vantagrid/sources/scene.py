@@ -15,6 +15,8 @@ RIG = 100
 #: Parts of a room stand as boxes on its floor, so many to a row, this far apart.
 ROW, PITCH = 50, 2.0
 VOXEL, CHUNK, HEIGHT = 0.5, 10.0, 3.0
+#: A task makes what stands in so many rooms, where there are enough of them.
+TASK_ROOMS = 4
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,8 @@ def regions(spark: SparkSession, sf_dir: str, of: Layout) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str, of: Layout) -> DataFrame:
-    return _sql(spark, sf_dir, "part", BOXES_SQL, of)
+    """Dealt to many tasks: a file of parts is small, but what is made of each box is not."""
+    return _sql(spark, sf_dir, "part", BOXES_SQL, of).repartition(max(spark.sparkContext.defaultParallelism, of.rooms // TASK_ROOMS), "box")
 
 
 def triangles(spark: SparkSession, sf_dir: str, of: Layout) -> DataFrame:
