@@ -35,7 +35,7 @@ def _rate(n: Column, of: Column) -> Column:
 
 def _by_camera(held: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """How many of the points held under ``key`` each camera sees."""
-    return held.select(key, "point").join(seen.select("point", "cam_idx"), "point").groupBy(key, "cam_idx").agg(F.count("*").alias("n"))
+    return held.select(key, "point").join(seen.select("point", "cam_idx").hint("merge"), "point").groupBy(key, "cam_idx").agg(F.count("*").alias("n"))
 
 
 def zone_cameras(space, points: DataFrame, seen: DataFrame, volumes: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def _pool(s, d):
     """The places, and the sets that they reach."""
     r = Room(s, d)
     places = _places(r)
-    seen = visibility.sees(r.valid(), places.withColumnRenamed("place", "cam_idx"), r.of(scene.triangles), most=2 * visibility.MOST_CAMERAS)
+    seen = r.sights(places.withColumnRenamed("place", "cam_idx"), 2 * visibility.MOST_CAMERAS)[1]
     return places, checkpointed(reachsets.reach_sets(seen.withColumnRenamed("cam_idx", "place")))
 
 

@@ -24,8 +24,8 @@ def a13(s, d):
 def a15(s, d):
     """Image histograms over chunks of even and of odd number, merged."""
     r = Room(s, d)
-    valid, masked = r.kept_valid(), r.kept_masked()
-    seen, cameras = checkpointed(r.seen(valid)), r.of(scene.cameras)
+    seen, cameras = checkpointed(r.traced()), r.of(scene.cameras)
+    masked = r.kept_masked(seen)
     return summaries.merge_projections(*(A.image_histogram(masked.where(F.col("chunk_id") % 2 == half), seen, cameras, 8, _W) for half in (0, 1)))
 
 
@@ -40,7 +40,7 @@ _PER_ZONE = {"sizes": "SELECT group_id, count(*) AS valid FROM once GROUP BY gro
 @_query("a17_zone_cameras", O.sql("SELECT z.group_id AS zone_id, c.cam_idx, round(coalesce(n::DOUBLE / nullif(valid, 0), 0), 9) AS rate FROM (SELECT DISTINCT scene, group_id FROM regions) AS z JOIN cams AS c ON c.scene = z.scene AND enabled LEFT JOIN sizes ON sizes.group_id = z.group_id LEFT JOIN looks ON looks.group_id = z.group_id AND looks.cam_idx = c.cam_idx", "held", more=_ONCE | _PER_ZONE))
 def a17_cameras(s, d):
     r = Room(s, d)
-    valid = r.kept_valid()
+    valid = r.valid_of(r.region_voxels())
     return summaries.zone_cameras(r.space, valid, r.seen(valid), _zones(r)[0], r.of(scene.cameras)).select("zone_id", "cam_idx", _rate())
 
 
