@@ -63,6 +63,8 @@ def s7_captures(s, d):
     return D.check_captures(rows).select("scene", "pos", "problem")
 
 
+#: A task decodes so many small files, where there are enough of them: the table of parts is one small file.
+TASK_FILES = 20_000
 _LF, _CRLF = "chr(10)", "concat(chr(13), chr(10))"
 _HEADERS = f"SELECT o_orderkey, concat_ws(CASE WHEN o_orderkey % 2 = 1 THEN {_CRLF} ELSE {_LF} END, CASE WHEN o_orderkey % 6 = 3 THEN 'plyx' ELSE 'ply' END, concat('comment ', repeat('x', CAST(o_orderkey % 4300 AS INT))), 'element vertex 3', CASE o_orderkey % 6 WHEN 1 THEN 'property float opacity' WHEN 5 THEN 'property float my_opacity' ELSE 'property float x' END, CASE o_orderkey % 6 WHEN 2 THEN 'comment element face' WHEN 5 THEN '  element  face 0 ' ELSE 'element face 1' END, CASE WHEN o_orderkey % 6 = 4 THEN 'end' ELSE 'end_header' END, '') AS head FROM orders"
 
@@ -79,7 +81,8 @@ _QUAD = {"ax": "0", "ay": "0", "az": "1", "bx": "p_size", "by": "CASE t WHEN 0 T
 @_query("s15_meshes", "SELECT 'parts/' || p_partkey || '.ply' AS path, CASE WHEN p_partkey % 10 <> 9 THEN t END AS tri_id, " + ", ".join(f"CASE WHEN p_partkey % 10 <> 9 THEN CAST({v} AS DOUBLE) END AS {n}" for n, v in _QUAD.items()) + ", CASE WHEN p_partkey % 10 = 9 THEN 'no faces' END AS problem FROM part, (SELECT unnest([0, 1])::BIGINT AS t) WHERE p_partkey % 10 <> 9 OR t = 0")
 def s15(s, d):
     """Every part as a mesh file of one square."""
-    return assets.decode_meshes(_said(s, d, "part", _FILES).select("path", F.encode("text", "UTF-8").alias("content")))
+    files = _said(s, d, "part", _FILES).select("path", F.encode("text", "UTF-8").alias("content"))
+    return assets.decode_meshes(files.repartition(max(s.sparkContext.defaultParallelism, table(s, d, "part").count() // TASK_FILES), "path"))
 
 
 _TURNS = "SELECT CAST(c_nationkey AS BIGINT) AS scene, CAST(c_custkey AS BIGINT) AS pos, concat('cam-', c_custkey) AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, c_custkey % 359 - 179 AS a, c_custkey % 179 - 89 AS b, c_custkey % 353 - 176 AS c, CAST(c_custkey % 97 - 40 AS DOUBLE) / 8 AS x, CAST(c_custkey % 9 AS DOUBLE) AS y FROM customer"
