@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,11 +120,16 @@ _ELEMENTS = {
 }
 
 
+def _of_line(e: str) -> str:
+    """An expression over the columns of a line as one over the element ``l`` of an order's lines."""
+    return re.sub(r"\b([npsq])\b", r"l.\1", e)
+
+
 def _descriptors(s, d) -> DataFrame:
-    """One for each order, from its lines."""
+    """One for each order, from its lines: lines are grouped as they are, their elements are made behind the shuffle."""
     lines = _said(s, d, "lineitem", _LINES)
-    made = lines.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", "p", "s", "q", *(F.array_repeat(F.expr(e), F.expr(_TIMES[c]).cast("int")).alias(c) for c, e in _ELEMENTS.items())))).alias("lines"))
-    lists = {c: F.flatten(F.col(f"lines.{c}")) for c in _ELEMENTS}
+    made = lines.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", "p", "s", "q"))).alias("lines"))
+    lists = {c: F.expr(f"flatten(transform(lines, l -> array_repeat({_of_line(e)}, cast({_of_line(_TIMES[c])} AS int))))") for c, e in _ELEMENTS.items()}
     rows = made.select(F.col("o").alias("scene"), F.when(F.col("o") % 2 == 0, F.lit(5)).alias("num_cameras"), *(v.alias(c) for c, v in lists.items()))
     leaf = F.array(F.when(F.col("scene") % 23 == 0, F.size("regions")).otherwise(0).cast("double"))
     return rows.withColumn("leaf_mask", leaf).withColumn("camera_words", F.array_repeat(F.lit(0).cast("long"), F.when(F.col("scene") % 7 == 0, 2).otherwise(1)))
