@@ -204,7 +204,8 @@ def solid_cells(space: Workspace, mixed: DataFrame) -> DataFrame:
 
     Empty voxels are first joined to runs along x, and runs that stand above or beside each other in the
     same scene are linked; a lone line without walls is open at both ends and needs no link, so only lines with walls and their
-    neighbours take part.  Each step of the fill is written to the shared folder.
+    neighbours take part.  Each step of the fill is written to the shared folder.  Steps are small as files and large as rows, so none is left to
+    Spark's estimate: it would broadcast them.
     """
     nx, ny, nz = space.dims
     lines = mixed.groupBy("scene", "j", "k").agg(F.sort_array(F.collect_set("i")).alias("walls"))  # at most nx each
@@ -215,19 +216,19 @@ def solid_cells(space: Workspace, mixed: DataFrame) -> DataFrame:
     aside = F.explode(F.array(*(F.struct((F.col("j") + dj).alias("j"), (F.col("k") + dk).alias("k")) for dj, dk in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
     beside = spans.withColumn("p", aside).select("scene", "p.j", "p.k", "j", "k", "a", "b").toDF("scene", "j", "k", "oj", "ok", "a", "b")
     # A run next to a line without walls reaches the border through it.
-    bare = beside.join(lines.select("scene", "j", "k"), ["scene", "j", "k"], "left_anti").select("scene", F.col("oj").alias("j"), F.col("ok").alias("k"), "a", "b")
+    bare = beside.join(lines.select("scene", "j", "k").hint("shuffle_hash"), ["scene", "j", "k"], "left_anti").select("scene", F.col("oj").alias("j"), F.col("ok").alias("k"), "a", "b")
     border = (F.col("a") == 0) | (F.col("b") == nx - 1) | F.col("j").isin(0, ny - 1) | F.col("k").isin(0, nz - 1)
     keys = ["scene", "j", "k", "a", "b"]
     inside = ((F.col("j") >= 0) & (F.col("j") < ny)) & ((F.col("k") >= 0) & (F.col("k") < nz))
-    open_ = checkpointed(spans.where(border).union(bare.where(inside)).distinct())
-    fresh = open_
-    while not fresh.isEmpty():
-        near = fresh.withColumn("p", aside).select("scene", "p.j", "p.k", F.col("a").alias("fa"), F.col("b").alias("fb"))
-        reached = spans.join(near, ["scene", "j", "k"]).where("a <= fb AND fa <= b").select(*keys).distinct()
-        fresh = checkpointed(reached.join(open_, keys, "left_anti"))
-        open_ = checkpointed(open_.union(fresh))
-    closed = spans.join(open_, keys, "left_anti")
-    return closed.select("scene", F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
+    fresh = checkpointed(spans.where(border).union(bare.where(inside)).distinct())
+    rest = checkpointed(spans.join(fresh.hint("merge"), keys, "left_anti"))
+    while not fresh.isEmpty():  # what is open already isn't asked again
+        near = fresh.select("scene", F.col("j").alias("nj"), F.col("k").alias("nk"), F.col("a").alias("fa"), F.col("b").alias("fb")).hint("merge")
+        asked = rest.withColumn("p", aside).select(*keys, F.col("p.j").alias("pj"), F.col("p.k").alias("pk")).alias("r")
+        meets = (F.col("r.scene") == F.col("n.scene")) & (F.col("pj") == F.col("nj")) & (F.col("pk") == F.col("nk")) & (F.col("a") <= F.col("fb")) & (F.col("fa") <= F.col("b"))
+        fresh = checkpointed(asked.join(near.alias("n"), meets, "left_semi").select(*keys).distinct())
+        rest = checkpointed(rest.join(fresh.hint("merge"), keys, "left_anti"))
+    return rest.select("scene", F.explode(F.sequence("a", "b")).alias("i"), "j", "k")
 
 
 def occupancy(space: Workspace, triangles: DataFrame, solid: bool) -> DataFrame:
@@ -274,7 +275,7 @@ def validity(voxels: DataFrame, occupied: DataFrame, regions: list[dict] | None
 
 def cells_at(space: Workspace, asked: DataFrame, occupied: DataFrame) -> DataFrame:
     """``asked`` (scene, i, j, k) with the kind of each cell; 0 for empty ones and outside of the grid."""
-    return asked.join(occupied.select("scene", *CELLS, "kind"), ["scene", *CELLS], "left").fillna(0, ["kind"])
+    return asked.join(occupied.select("scene", *CELLS, "kind").hint("merge"), ["scene", *CELLS], "left").fillna(0, ["kind"])
 
 
 def effective_cameras(space: Workspace, cameras: DataFrame, occupied: DataFrame) -> DataFrame:
