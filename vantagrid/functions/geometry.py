@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,9 +90,27 @@ def halton(index: Column, base: int) -> Column:
     return F.aggregate(digits, F.lit(0.0), lambda total, d: total + (F.floor(index / power(d)) % base).cast("double") / power(d + 1))
 
 
+def inverses(index: Column, bases: Sequence[int]) -> Column:
+    """``halton`` of an index in several bases, as an array: digit by digit for a batch of rows at once, with the same sums."""
+
+    @F.pandas_udf("array<double>")
+    def digits(places: pd.Series) -> pd.Series:
+        at, out = places.to_numpy(np.int64), np.zeros((len(places), len(bases)))
+        for n, base in enumerate(bases):
+            for d in range(math.ceil(math.log(max(int(at.max(initial=1)), 1) + 1) / math.log(base)) + 1):
+                out[:, n] += np.fmod(np.floor(at / float(base) ** d).astype(np.int64), base) / float(base) ** (d + 1)
+        return pd.Series(list(out))
+
+    return F.when(index.isNotNull(), digits(F.coalesce(index.cast("long"), F.lit(0))))
+
+
 def ball_point(index: Column, radius: float, bases: tuple[int, int, int] = (2, 3, 5)) -> Vec:
     """A low-discrepancy point of a ball: distance, height and turn from the radical inverses in three bases."""
-    first, second, third = (halton(index, b) for b in bases)
+    return ball_point_of(*(halton(index, b) for b in bases), radius)
+
+
+def ball_point_of(first: Column, second: Column, third: Column, radius: float) -> Vec:
+    """``ball_point`` of radical inverses that are known."""
     far, height, turn = radius * F.cbrt(first), 2 * second - 1, 2 * math.pi * third
     flat = far * F.sqrt(1 - height * height)
     return flat * F.cos(turn), far * height, flat * F.sin(turn)

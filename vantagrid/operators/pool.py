@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import add, ball_point, fnv1a, halton, length, rotate, scale, sub
+from ..functions.geometry import add, ball_point_of, fnv1a, inverses, length, rotate, scale, sub
 from .records import BALL_BASES
 
 #: Draws start at one of so many places of the sequence, by the constraint's id and the group's seed.
@@ -38,8 +38,8 @@ def measure() -> Column:
     return F.when(F.col("kind") == "point", F.lit(1.0)).when(F.col("kind") == "plane", F.get("size", 0) * F.get("size", 1)).otherwise(way)
 
 
-def _on_polyline(u: Column) -> tuple[Column, Column, Column]:
-    """The place at the share ``u`` of a polyline's length."""
+def _on_polyline(u: Column) -> Column:
+    """The place (an array) at the share ``u`` of a polyline's length."""
     segments = _segments(F.col("points"))
     none = F.struct(F.lit(None).cast("array<double>").alias("at"), (u * measure()).alias("left"))
 
@@ -49,7 +49,7 @@ def _on_polyline(u: Column) -> tuple[Column, Column, Column]:
         # Until a stretch holds the place, its far end stands in: rounding may leave a rest behind the last one.
         return F.struct(F.when(state["left"] < 0, state["at"]).otherwise(at).alias("at"), F.when(state["left"] <= s["len"], F.lit(-1.0)).otherwise(state["left"] - s["len"]).alias("left"))
 
-    return _triple(F.aggregate(segments, none, walk)["at"])
+    return F.aggregate(segments, none, walk)["at"]
 
 
 def drawn(constraints: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -57,16 +57,18 @@ def drawn(constraints: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Draw k depends on the constraint and its group's seed alone. Constraints of unknown kind give null positions.
     """
-    rows = constraints.join(wanted.where("last >= first"), ["scene", "id"]).withColumn("draw", F.explode(F.sequence("first", "last")))
-    index = start_of(F.col("id"), F.col("seed")) + F.col("draw")
-    u, v = halton(index, 2), halton(index, 3)
-    rows = rows.withColumns({"_u": u, "_v": v, "_index": index})
+    # The start is hashed once for a constraint: inside of the inverses it would be worked out again for each digit.
+    rows = constraints.join(wanted.where("last >= first").hint("merge"), ["scene", "id"]).withColumn("_start", start_of(F.col("id"), F.col("seed")))
+    rows = rows.withColumn("draw", F.explode(F.sequence("first", "last")))
+    rows = rows.withColumn("_h", inverses(F.col("_start") + F.col("draw"), (2, 3, *BALL_BASES)))
+    rows = rows.withColumns({"_u": F.get("_h", 0), "_v": F.get("_h", 1)})
+    rows = rows.withColumn("_line", F.when(F.col("kind") == "polyline", _on_polyline(F.col("_u"))))
     turn = [F.get("rotation", i) for i in range(4)]
     flat = ((F.col("_u") - 0.5) * F.get("size", 0), F.lit(0.0), (F.col("_v") - 0.5) * F.get("size", 1))
     at = _triple_of("position")
-    plane, line = add(at, rotate(turn, flat)), _on_polyline(F.col("_u"))
+    plane, line = add(at, rotate(turn, flat)), _triple_of("_line")
     base = [F.when(F.col("kind") == "point", p).when(F.col("kind") == "plane", q).when(F.col("kind") == "polyline", r) for p, q, r in zip(at, plane, line)]
-    off = ball_point(F.col("_index"), 1.0, BALL_BASES)
+    off = ball_point_of(*(F.get("_h", n) for n in range(2, 5)), 1.0)
     placed = add(tuple(base), tuple(F.when(F.col("distance") > 0, F.col("distance") * c).otherwise(F.lit(0.0)) for c in off))
     return rows.select("scene", "id", "draw", *(c.alias(n) for n, c in zip("xyz", placed)))
 
