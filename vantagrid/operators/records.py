@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import file_stem
-from ..functions.geometry import add, ball_point, in_box, vec
+from ..functions.geometry import add, ball_point, in_box, length, sub, vec
 
 KINDS = ("point", "polyline", "plane")
 ORIENTATIONS = ("horizontal", "vertical-x", "vertical-z")
@@ -156,13 +156,21 @@ def file_names(rows: DataFrame, extension: str) -> DataFrame:
 
 def mount_overlap(constraints: DataFrame, volumes: DataFrame) -> DataFrame:
     """The share of ``DRAWS`` positions around each point constraint (scene, id, px, py, pz, distance, start) that lie in a volume of its scene."""
-    drawn = constraints.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    offset = ball_point(F.col("start") + F.col("draw"), 1.0, BALL_BASES)
-    at = add(vec("px", "py", "pz"), tuple(F.col("distance") * c for c in offset))
-    drawn = drawn.select("scene", "id", "draw", *(c.alias(n) for n, c in zip("xyz", at)))
-    inside = in_box(vec("x", "y", "z"), vec("rx", "ry", "rz"), vec("hx", "hy", "hz"), [F.col(f"rq{a}") for a in "xyzw"])
-    hits = drawn.join(volumes.select("scene", *(f"{k}{a}" for k in ("r", "h", "rq") for a in "xyz"), "rqw"), "scene").where(inside)
-    counts = hits.groupBy("scene", "id").agg(F.count_distinct("draw").alias("n"))
+    keys, boxes = ["scene", "id"], volumes.select("scene", *(f"{k}{a}" for k in ("r", "h", "rq") for a in "xyz"), "rqw")
+    turn = [F.col(f"rq{a}") for a in "xyzw"]
+    # Mounts meet volumes before they are drawn around: most of a scene's volumes lie further away than any draw.
+    far = F.abs("distance") + length(vec("hx", "hy", "hz"))
+    apart = length(sub(vec("px", "py", "pz"), vec("rx", "ry", "rz")))
+    slack = 1e-5 * (1 + far + length(vec("px", "py", "pz")) + length(vec("rx", "ry", "rz")))  # centres and sides count in single precision
+    unit = F.abs(sum((q * q for q in turn[1:]), turn[0] * turn[0]) - 1) < 1e-6
+    pairs = constraints.select(*keys, "px", "py", "pz", "distance", "start").join(boxes.hint("shuffle_hash"), "scene").where((apart <= far + slack) | ~unit)
+    # Offsets hang on the start alone.
+    starts = constraints.select("start").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    offsets = starts.select("start", "draw", F.array(*ball_point(F.col("start") + F.col("draw"), 1.0, BALL_BASES)).alias("_off"))
+    at = add(vec("px", "py", "pz"), tuple(F.col("distance") * F.get("_off", i) for i in range(3)))
+    drawn = pairs.join(offsets.hint("merge"), "start").withColumns(dict(zip("xyz", at)))
+    hits = drawn.where(in_box(vec("x", "y", "z"), vec("rx", "ry", "rz"), vec("hx", "hy", "hz"), turn))
+    counts = hits.select(*keys, "draw").distinct().groupBy(*keys).agg(F.count("*").alias("n")).hint("merge")
     return constraints.select("scene", "id").join(counts, ["scene", "id"], "left").select("scene", "id", (F.coalesce("n", F.lit(0)) / DRAWS).alias("share"))
 
 
