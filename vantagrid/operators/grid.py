@@ -73,23 +73,25 @@ class Workspace:
 
         x runs fastest; points and chunks are numbered through all scenes.
         """
-        nx, ny, nz = self.dims
         total = scenes * self.size
-        rows = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // TASK_VOXELS)).withColumnRenamed("id", "point")
-        rows = rows.withColumn("scene", F.floor(F.col("point") / self.size)).withColumn("_v", F.col("point") % self.size)
-        rows = rows.withColumn("i", F.col("_v") % nx).withColumn("j", F.floor(F.col("_v") / nx) % ny).withColumn("k", F.floor(F.col("_v") / (nx * ny))).drop("_v")
-        rows = rows.withColumn("chunk_id", F.col("scene") * self.chunk_total + self.chunk_of(F.col("i"), F.col("k")))
-        return rows.select("*", *(self.centre(a, F.col(c)).alias(n) for a, (c, n) in enumerate(zip(CELLS, "xyz"))))
+        return self.placed(spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // TASK_VOXELS)).withColumnRenamed("id", "point"))
 
     def spanned(self, rows: DataFrame, extents: list[tuple[Column, Column]], scenes: int) -> DataFrame:
         """``rows`` (with a scene) once for every voxel of ``scenes`` workspaces whose centre lies within their extents along x, y and z, with the columns of ``voxels``."""
-        rows = rows.where(F.col("scene").between(0, scenes - 1))
+        rows = self.bounded(rows.where(F.col("scene").between(0, scenes - 1)), extents)
+        # Few rows become many, so they are dealt to tasks; what is made of them is compiled apart from the extents.
+        return self.filled(rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, scenes // TASK_SCENES)))
+
+    def bounded(self, rows: DataFrame, extents: list[tuple[Column, Column]]) -> DataFrame:
+        """``rows`` with the first and last index along each axis of the voxels whose centres lie within their extents; null where a number is missing."""
         for axis, (c, (low, high)) in enumerate(zip(CELLS, extents)):
-            first = F.when(low <= high, F.greatest(F.ceil((low - self.low[axis]) / self.voxel - 0.5), F.lit(0)))  # null where a number is missing
+            first = F.when(low <= high, F.greatest(F.ceil((low - self.low[axis]) / self.voxel - 0.5), F.lit(0)))
             last = F.least(F.floor((high - self.low[axis]) / self.voxel - 0.5), F.lit(self.dims[axis] - 1))
             rows = rows.withColumns({f"_first_{c}": first.cast("long"), f"_last_{c}": last.cast("long")})
-        # Few rows become many, so they are dealt to tasks; what is made of them is compiled apart from the extents.
-        rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, scenes // TASK_SCENES))
+        return rows
+
+    def filled(self, rows: DataFrame) -> DataFrame:
+        """``bounded`` rows once for each of their voxels, with the columns of ``voxels``."""
         for c in CELLS:
             rows = rows.withColumn(c, F.explode(F.expr(f"if(_first_{c} <= _last_{c}, sequence(_first_{c}, _last_{c}), null)"))).drop(f"_first_{c}", f"_last_{c}")
         rows = self.numbered(rows).withColumn("chunk_id", F.col("scene") * self.chunk_total + self.chunk_of(F.col("i"), F.col("k")))
@@ -100,6 +102,22 @@ class Workspace:
         nx, ny, _ = self.dims
         return cells.withColumn("point", F.col("scene") * self.size + F.col("i") + nx * (F.col("j") + ny * F.col("k")))
 
+    def placed(self, points: DataFrame) -> DataFrame:
+        """Points by their number with the other columns of ``voxels``: only numbers need to be kept or shuffled."""
+        nx, ny, _ = self.dims
+        rows = points.withColumn("scene", F.floor(F.col("point") / self.size)).withColumn("_v", F.col("point") % self.size)
+        rows = rows.withColumn("i", F.col("_v") % nx).withColumn("j", F.floor(F.col("_v") / nx) % ny).withColumn("k", F.floor(F.col("_v") / (nx * ny))).drop("_v")
+        rows = rows.withColumn("chunk_id", F.col("scene") * self.chunk_total + self.chunk_of(F.col("i"), F.col("k")))
+        return rows.select("*", *(self.centre(a, F.col(c)).alias(n) for a, (c, n) in enumerate(zip(CELLS, "xyz"))))
+
+    def words(self, points: DataFrame) -> DataFrame:
+        """Points as a ``bit`` each of the word of their stretch (chunk_id, line, part): 64 voxels along x at most, all of one row and one chunk."""
+        nx, n = self.dims[0], self.chunk_voxels
+        rows = points.select("point", F.floor(F.col("point") / nx).alias("line")).withColumn("_x", F.col("point") % nx)
+        at = F.col("_x") % n
+        chunk = F.floor(F.col("point") / self.size) * self.chunk_total + self.chunk_of(F.col("_x"), F.floor(F.col("point") % self.size / (nx * self.dims[1])))
+        return rows.select("point", "line", chunk.alias("chunk_id"), F.floor(at / 64).alias("part"), F.expr("1L").alias("_one"), (at % 64).cast("int").alias("_at")).select("chunk_id", "line", "part", F.call_function("shiftleft", "_one", "_at").alias("bit"))
+
     def chunks(self, spark: SparkSession, scenes: int = 1) -> DataFrame:
         """chunk_id, its scene and place and size; chunks at the far edges may be smaller."""
         cx, _ = self.chunk_counts
