@@ -23,6 +23,20 @@ def chunk_stats(masked: DataFrame) -> DataFrame:
     return masked.groupBy("chunk_id").agg(F.count("*").alias("valid"), F.count_if(F.col("cameras") > 0).alias("covered"))
 
 
+def chunk_counts(space, chunks: DataFrame, occupied: DataFrame, seen: DataFrame) -> DataFrame:
+    """``chunk_stats`` of all of the ``chunks``' voxels that aren't ``occupied`` (point), from what is ``seen`` (point) alone, once or often.
+
+    No voxel is made or shuffled: a chunk has as many valid ones as are left of its size, and what is seen is a bit in the word of its stretch of
+    a chunk's row.  Chunks without a valid voxel have no row.
+    """
+    words = lambda rows: space.words(rows).groupBy("chunk_id", "line", "part").agg(F.bit_or("bit").alias("bits"))
+    full, lit = words(occupied), words(seen).withColumnRenamed("bits", "lit")
+    rows = full.join(lit.hint("merge"), ["chunk_id", "line", "part"], "full").fillna(0, ["bits", "lit"])
+    counts = rows.groupBy("chunk_id").agg(F.sum(F.bit_count("bits")).alias("_full"), F.sum(F.bit_count(F.col("lit").bitwiseAND(F.bitwise_not("bits")))).alias("covered"))
+    rows = chunks.select("chunk_id", (F.col("size_x") * F.col("size_y") * F.col("size_z")).alias("_size")).join(counts.hint("merge"), "chunk_id", "left").fillna(0, ["_full", "covered"])
+    return rows.select("chunk_id", (F.col("_size") - F.col("_full")).alias("valid"), F.col("covered").cast("long")).where("valid > 0")
+
+
 def summary(masked: DataFrame) -> DataFrame:
     """Voxels, covered voxels and the rate over all; 0 where there are none."""
     n = masked.agg(F.count("*").alias("valid_voxels"), F.count_if(F.col("cameras") > 0).alias("covered"))

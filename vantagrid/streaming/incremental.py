@@ -35,7 +35,7 @@ def merge_stats(baseline: DataFrame, recomputed: DataFrame, dirty: DataFrame) ->
 
 
 def recompute(space, chunks: DataFrame, points: DataFrame, old: DataFrame, new: DataFrame, baseline: DataFrame, stats: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Chunk statistics under ``new``: ``stats(points, cameras)`` runs over the dirty chunks only."""
+    """Chunk statistics under ``new``: ``stats(points, cameras)`` runs over the dirty chunks only; ``points`` may be any relation with a chunk_id that it takes, the chunks too."""
     dirty = checkpointed(dirty_chunks(space, chunks, old, new))
     return merge_stats(baseline, stats(points.join(dirty, "chunk_id", "left_semi"), new), dirty)
 
