@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,6 +118,25 @@ class Workspace:
         chunk = F.floor(F.col("point") / self.size) * self.chunk_total + self.chunk_of(F.col("_x"), F.floor(F.col("point") % self.size / (nx * self.dims[1])))
         return rows.select("point", "line", chunk.alias("chunk_id"), F.floor(at / 64).alias("part"), F.expr("1L").alias("_one"), (at % 64).cast("int").alias("_at")).select("chunk_id", "line", "part", F.call_function("shiftleft", "_one", "_at").alias("bit"))
 
+    def others(self, told: DataFrame, scenes: int, deal: Callable[[DataFrame], DataFrame] = lambda words: words) -> DataFrame:
+        """The voxels of ``scenes`` workspaces that aren't among the ``told`` (point), with the columns of ``voxels``.
+
+        Only words are shuffled (see ``words``); each becomes its voxels behind that.  ``deal`` may join the words by their chunk_id and so adds columns.
+        """
+        spark, (nx, ny, nz), n, (cx, _) = told.sparkSession, self.dims, self.chunk_voxels, self.chunk_counts
+        parts = -(-n // 64)
+        total = scenes * ny * nz * cx * parts
+        rows = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // TASK_VOXELS)).select(F.floor(F.col("id") / (cx * parts)).alias("line"), F.floor(F.col("id") / parts % cx).alias("_cx"), (F.col("id") % parts).alias("part"))
+        k = F.floor(F.col("line") % (ny * nz) / ny)
+        rows = rows.withColumn("chunk_id", F.floor(F.col("line") / (ny * nz)) * self.chunk_total + self.chunk_of(F.col("_cx") * n, k))
+        full = self.words(told).groupBy("chunk_id", "line", "part").agg(F.bit_or("bit").alias("bits"))
+        rows = deal(rows.join(full.hint("shuffle_hash"), ["chunk_id", "line", "part"], "left").drop("_cx").fillna(0, ["bits"]))
+        start = (F.col("chunk_id") % self.chunk_total % cx * n + F.col("part") * 64).cast("long")
+        last = (F.least(F.lit(64), n - F.col("part") * 64, nx - F.col("_start")) - 1).cast("int")
+        rows = rows.withColumn("_start", start).withColumn("_last", last).where("_last >= 0").withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        rows = rows.where(F.call_function("getbit", F.col("bits"), F.col("_at")) == 0).withColumn("point", F.col("line") * nx + F.col("_start") + F.col("_at"))
+        return self.placed(rows.drop("line", "part", "bits", "chunk_id", "_start", "_last", "_at"))
+
     def chunks(self, spark: SparkSession, scenes: int = 1) -> DataFrame:
         """chunk_id, its scene and place and size; chunks at the far edges may be smaller."""
         cx, _ = self.chunk_counts

@@ -298,6 +298,18 @@ def masks(points: DataFrame, seen: DataFrame) -> DataFrame:
     return filled.withColumn("cameras", (F.bit_count("mask") + F.bit_count("mask_high")).cast("long"))
 
 
+def told(space, seen: DataFrame, occupied: DataFrame) -> DataFrame:
+    """point, mask, mask_high and ``valid`` of the voxels that are seen or ``occupied`` (point); those of all others are zeros and true (see ``Workspace.others``).
+
+    Dealt by chunk, so that what lies side by side stays together.
+    """
+    rows = seen.select("point", "cam_idx").unionByName(occupied.select("point", F.lit(-1).alias("cam_idx")))
+    rows = space.placed(rows).select("chunk_id", "point", "cam_idx").repartition("chunk_id")
+    bit, zero, free = F.expr("shiftleft(1L, cast(cam_idx % 64 as int))"), F.lit(0).cast("long"), F.min("cam_idx") >= 0
+    word = lambda low: F.when(free, F.coalesce(F.bit_or(F.when(F.col("cam_idx").between(low, low + 63), bit)), zero)).otherwise(zero)
+    return rows.groupBy("chunk_id", "point").agg(word(0).alias("mask"), word(64).alias("mask_high"), free.alias("valid")).drop("chunk_id")
+
+
 def _ray_cells(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """Rays (scene, p, d) once for each cell of the ground plane that they pass between entering and leaving the extent of their scene's triangles."""
     slack = 1e-6
