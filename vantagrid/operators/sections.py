@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ def section_slabs(space, sections: DataFrame) -> DataFrame:
     return rows.withColumn("length", F.when(F.col("axis") == 0, span("i")).when(F.col("axis") == 1, span("j")).otherwise(span("k")))
 
 
-def section_columns(space, cells: DataFrame, slabs: DataFrame) -> DataFrame:
+def section_columns(space, cells: DataFrame, slabs: DataFrame, others: Callable[[Callable[[DataFrame], DataFrame]], DataFrame] | None = None) -> DataFrame:
     """Column statistics (see ``aggregates.column_stats``) of slabs that belong to a scene each, by scene and section.
 
     ``cells`` has chunk_id and ``regions``, the numbers of the regions that hold it (null for none).  Slabs are dealt to the chunks that they reach, so a
-    cell meets those of its chunk alone.  A scene with more slabs than its cap fails.
+    cell meets those of its chunk alone.  A scene with more slabs than its cap fails.  ``others`` makes further cells out of what a function that it is given
+    has joined with the slabs by chunk_id, as ``Workspace.others`` does.
     """
     n = space.chunk_voxels
     steps = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / n), F.floor(F.col(f"{c}1") / n)))
@@ -45,7 +48,9 @@ def section_columns(space, cells: DataFrame, slabs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("chunk_id", F.col("scene") * space.chunk_total + F.col("_cx") + space.chunk_counts[0] * F.col("_cz"))
     dealt = dealt.select("chunk_id", "section", "axis", "mask_regions", *(f"{c}{e}" for c in "ijk" for e in (0, 1)))
     within = [F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")) for c in "ijk"]
-    rows = cells.join(dealt, "chunk_id").where(within[0] & within[1] & within[2])
+    meet = lambda rows: rows.join(dealt.hint("shuffle_hash"), "chunk_id")
+    rows = meet(cells) if others is None else meet(cells).unionByName(others(meet), allowMissingColumns=True)
+    rows = rows.where(within[0] & within[1] & within[2])
     rows = rows.withColumn("a", F.when(F.col("axis") == 0, F.col("j")).otherwise(F.col("i"))).withColumn("b", F.when(F.col("axis") == 2, F.col("j")).otherwise(F.col("k")))
     rows = rows.withColumn("out", ~admitted(F.col("mask_regions"), F.col("regions")))
     counts, zero = F.col("valid") & ~F.col("out"), F.lit(0).cast("long")

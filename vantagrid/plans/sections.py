@@ -38,11 +38,13 @@ def _columns(r: Room) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sections, their slabs, and their columns over every cell of the rooms."""
     sections = _sections(r)
     slabs = S.section_slabs(r.space, sections)
-    cells = r.voxels()
-    held = A.in_regions(r.space, cells, r.of(scene.regions)).groupBy("point").agg(F.collect_set("region").alias("regions"))
-    cells = cells.join(r.kept_masked().select("point", "mask", "mask_high", "cameras"), "point", "left").join(held, "point", "left")
-    cells = cells.withColumn("valid", F.col("cameras").isNotNull()).fillna(0, ["mask", "mask_high", "cameras"])
-    return sections, slabs, S.section_columns(r.space, cells, slabs)
+    held = A.in_regions(r.space, r.region_voxels(), r.of(scene.regions)).groupBy("point").agg(F.collect_set("region").alias("regions"))
+    # Voxels that nothing is known of, neither seen nor in geometry or regions, are made where they are counted.
+    named = checkpointed(r.kept_told().join(held.hint("merge"), "point", "full"))
+    zeros, told = {c: F.lit(0).cast("long") for c in ("mask", "mask_high", "cameras")}, named.withColumn("cameras", (F.bit_count("mask") + F.bit_count("mask_high")).cast("long"))
+    cells = r.space.placed(told.fillna(0, list(zeros)).fillna(True, ["valid"]))
+    plain = lambda meet: r.space.others(named, r.rooms, meet).withColumns(zeros | {"valid": F.lit(True)})
+    return sections, slabs, S.section_columns(r.space, cells, slabs, plain)
 
 
 def _grid(r: Room) -> tuple[DataFrame, DataFrame]:
